@@ -166,7 +166,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         WHERE nth = 1 AND label = '5-LEGACY'
           AND NOT EXISTS (SELECT 1 FROM legacy x WHERE x.ticker = l.ticker AND x.day = DATE '1998-07-01')"""),
     "log_gap": (("log",), """
-        SELECT * REPLACE (CASE WHEN new_gics_sector = '2-HIGH' THEN first_trading_day - 3 ELSE effective_after_close END
+        SELECT * REPLACE (CASE WHEN new_gics_sector = '2-HIGH' THEN greatest(first_trading_day - 3,
+                              lag(first_trading_day) OVER (PARTITION BY ticker ORDER BY first_trading_day)) ELSE effective_after_close END
                           AS effective_after_close) FROM log"""),
     "dim_broken": (("dim",), """
         SELECT ticker, gics_sector, gics_sub_industry,
@@ -238,5 +239,7 @@ def with_ctes(select: str, *names: str, recursive: bool = False) -> str:
         visit(name)
     if not ordered:
         return select
-    body = ",\n".join(f"{name} AS ({CTES[name][1]})" for name in ordered)
+    # A recursive walk reads its input once per step: compute that input once.
+    how = "MATERIALIZED " if recursive else ""
+    body = ",\n".join(f"{name} AS {how}({CTES[name][1]})" for name in ordered)
     return f"WITH {'RECURSIVE ' if recursive else ''}{body}\n{select}"

@@ -136,11 +136,17 @@ class Inputs:
         )
 
     def gapped_log(self) -> DataFrame:
-        """Changes to 2-HIGH leave two days uncovered before them."""
+        """Changes to 2-HIGH leave up to two days uncovered before them.
+
+        The closing version keeps at least its first day.
+        """
+        opened = F.lag("first_trading_day").over(
+            Window.partitionBy("ticker").orderBy("first_trading_day")
+        )
+        early = F.greatest(F.date_sub("first_trading_day", 3), opened)
         late = F.col("new_gics_sector") == "2-HIGH"
         return self.change_log().withColumn(
-            "effective_after_close",
-            F.when(late, F.date_sub("first_trading_day", 3)).otherwise(F.col("effective_after_close")),
+            "effective_after_close", F.when(late, early).otherwise(F.col("effective_after_close"))
         )
 
     def universe(self, relabel: bool = False) -> DataFrame:
@@ -181,12 +187,14 @@ class Inputs:
         )
 
     def registry(self) -> DataFrame:
-        rows = [
-            ("5-LOW", RENAME_DAY, None),
-            ("5-LEGACY", date(1900, 1, 1), date(1998, 6, 30)),
-            ("1-URGENT", date(1996, 6, 1), None),
-        ]
-        return self.spark.createDataFrame(rows, "gics_sector string, existed_from date, existed_to date")
+        return self.spark.sql(
+            """
+            SELECT * FROM VALUES
+                ('5-LOW', DATE '1998-07-01', CAST(NULL AS DATE)),
+                ('5-LEGACY', DATE '1900-01-01', DATE '1998-06-30'),
+                ('1-URGENT', DATE '1996-06-01', CAST(NULL AS DATE))
+            AS t(gics_sector, existed_from, existed_to)"""
+        )
 
     # --- named entities for the universe ----------------------------------
     def named_snapshot(self) -> DataFrame:
