@@ -189,10 +189,9 @@ def anchor_metric(
 ) -> DataFrame:
     """One row per label: what joining with today's label costs.
 
-    ``daily`` has one row per basis, label and day; it also supplies the
-    calendar, since every fact day appears in it.
+    ``daily`` has one row per basis, label and day.
     """
-    pairs = rebased_pairs(daily).withColumn("_calendar", _calendar(daily, window))
+    pairs = rebased_pairs(daily).withColumn("_calendar", _calendar(fact, window))
     joined = assemble(
         pairs,
         [misattribution(fact, window, exclude_reasons=exclude_reasons, dim=dim), group_birth(dim)],

@@ -30,6 +30,7 @@ def pit_join(
     how: str = "inner",
     strategy: str = "range",
     slice_unit: str = "year",
+    co_located: bool = False,
 ) -> DataFrame:
     """Join each fact to the version of its key in force on the fact's day.
 
@@ -43,6 +44,10 @@ def pit_join(
     * ``asof``   – versions and facts are merged in one ordered pass per key.
       Linear in both, but one key is one task, and an overlap is resolved
       silently instead of showing up twice.
+
+    ``co_located`` says that both sides are stored bucketed by the key. The
+    versions of one bucket are then hashed in the task that reads the facts of
+    that bucket: no shuffle, no sort, nothing collected for a broadcast.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
@@ -59,6 +64,8 @@ def pit_join(
     )
     in_force = F.col(time).between(F.col("_from"), F.col("_until"))
     if strategy == "range":
+        if co_located:
+            span = span.hint("shuffle_hash")
         joined = facts.join(span, (F.col(key) == F.col("_key")) & in_force, how)
         return joined.drop("_key", "_from", "_until")
 
@@ -156,6 +163,7 @@ def dual_label(
     label: str = "gics_sector",
     measure: str = "daily_return",
     strategy: str = "range",
+    co_located: bool = False,
 ) -> DataFrame:
     """Every measured fact with the label of its day and the label of today."""
     versions = both_labels(dim, key, label).withColumnRenamed(label, "sector_at_trade_date")
@@ -166,6 +174,7 @@ def dual_label(
         time=time,
         attributes=("version_number", "sector_at_trade_date", "sector_today"),
         strategy=strategy,
+        co_located=co_located,
     )
     return joined.withColumn(
         "is_misattributed", differs(F.col("sector_at_trade_date"), F.col("sector_today"))
@@ -194,10 +203,17 @@ def lookup_many(
 
 
 def range_join_count(
-    facts: DataFrame, dim: DataFrame, *, key: str = "ticker", time: str = "trade_date"
+    facts: DataFrame,
+    dim: DataFrame,
+    *,
+    key: str = "ticker",
+    time: str = "trade_date",
+    co_located: bool = False,
 ) -> DataFrame:
     """Number of fact and version pairs of the range join."""
-    pairs = pit_join(facts.select(key, time), dim, key=key, time=time, attributes=())
+    pairs = pit_join(
+        facts.select(key, time), dim, key=key, time=time, attributes=(), co_located=co_located
+    )
     return pairs.agg(F.count(F.lit(1)).alias("joined_rows"))
 
 

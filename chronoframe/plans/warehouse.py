@@ -128,7 +128,7 @@ def build_all(
         dim = spark.table("silver.dim_sector_scd")
         fact = store(
             "gold.fact_returns_pit",
-            lambda: layers.build_fact_pit(spark.table("silver.fact_returns"), dim),
+            lambda: layers.build_fact_pit(spark.table("silver.fact_returns"), dim, co_located=True),
             range_by=("sector_at_trade_date", "trade_date"),
         )
         daily = store(

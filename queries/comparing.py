@@ -28,10 +28,13 @@ def daily(i: Inputs, relabel: bool = False) -> DataFrame:
 
 
 def anchor(i: Inputs, relabel: bool = False) -> DataFrame:
-    """The daily cube, label pairs times days, is stored once; it has three readers."""
-    labelled = fact(i, relabel)
-    cube = cut_lineage(comparison.day_cube(labelled, WINDOW))
-    return comparison.anchor_metric(comparison.daily_from_cube(cube), labelled, i.dim(relabel), WINDOW)
+    """Dimension and labelled fact are stored once; each has several readers."""
+    dim = cut_lineage(i.dim(relabel))
+    labelled = joins.dual_label(i.returns(), dim).select(
+        "ticker", "trade_date", "daily_return", "sector_at_trade_date", "sector_today", "is_misattributed"
+    )
+    stored = cut_lineage(labelled)
+    return comparison.anchor_metric(comparison.group_daily(stored, WINDOW), stored, dim, WINDOW)
 
 
 @FAMILY.query(DAILY + " FROM daily", "daily")

@@ -19,6 +19,7 @@ exactly reproducible number whatever the order of rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,16 +37,24 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        self._planned: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Plan a frame once per query; readers of one frame can share its shuffles."""
+        if name not in self._planned:
+            self._planned[name] = build()
+        return self._planned[name]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._once(name, lambda: self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
     # --- observations -----------------------------------------------------
     def _shipments(self, orders: DataFrame) -> DataFrame:
         items = self.table("lineitem").select(
             "l_orderkey",
             F.col("l_shipdate").cast("date").alias("trade_date"),
-            F.round(F.col("l_discount") * 100).cast("bigint").alias("percent_off"),
+            # Nearest whole percent; ``round`` would go through decimals row by row.
+            (F.col("l_discount") * 100 + 0.5).cast("bigint").alias("percent_off"),
             F.col("l_quantity").cast("bigint").alias("units"),
         )
         return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -111,11 +120,14 @@ class Inputs:
     def _walked_states(self, relabel: bool) -> DataFrame:
         """States with their neighbours; the change log and the snapshot both read this."""
         history = Window.partitionBy("ticker").orderBy("day")
-        return self.states(relabel).select(
-            "*",
-            F.lag("label").over(history).alias("old_label"),
-            F.lag("sub_label").over(history).alias("old_sub_label"),
-            F.lead("day").over(history).isNull().alias("is_last"),
+        return self._once(
+            f"walked states, relabelled {relabel}",
+            lambda: self.states(relabel).select(
+                "*",
+                F.lag("label").over(history).alias("old_label"),
+                F.lag("sub_label").over(history).alias("old_sub_label"),
+                F.lead("day").over(history).isNull().alias("is_last"),
+            ),
         )
 
     def change_log(self, relabel: bool = False) -> DataFrame:
@@ -162,7 +174,10 @@ class Inputs:
         )
 
     def dim(self, relabel: bool = False) -> DataFrame:
-        return scd2.build_scd2(self.universe(relabel), self.change_log(relabel))
+        return self._once(
+            f"dimension, relabelled {relabel}",
+            lambda: scd2.build_scd2(self.universe(relabel), self.change_log(relabel)),
+        )
 
     def gapped_dim(self) -> DataFrame:
         return scd2.build_scd2(self.universe(), self.gapped_log())
