@@ -79,7 +79,8 @@ def replace_table(
         spark.sql(f"DROP TABLE {retired}")
     comment = TABLE_COMMENTS.get(name)
     if comment:
-        spark.sql(f"COMMENT ON TABLE {name} IS '{comment}'")
+        quoted = comment.replace("'", "\\'")
+        spark.sql(f"COMMENT ON TABLE {name} IS '{quoted}'")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

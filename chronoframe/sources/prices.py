@@ -7,9 +7,12 @@ be read in full goes to the rejects, whole; it never costs the other files.
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Mapping
 from dataclasses import dataclass
+from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,16 @@ def _counted_broadcast(df: DataFrame) -> tuple[DataFrame, int]:
     return (F.broadcast(df) if n <= BROADCAST_ROWS else df), n
 
 
+def _listed_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """Names of all files, empty ones included, which no reader yields a row for.
+
+    The listing is the one the file source keeps on the driver in any case.
+    """
+    source = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    names = [posixpath.basename(unquote(urlparse(uri).path)) for uri in source.inputFiles()]
+    return spark.createDataFrame(pa.table({"file": names})) if names else None
+
+
 def _cells(line: Column) -> Column:
     return F.transform(F.split(line, ","), lambda cell: F.trim(F.regexp_replace(cell, '["﻿]', "")))
 
@@ -61,13 +74,8 @@ def read_keyed_csv(
     on_all_failed: str = "error",
 ) -> Landing:
     expected = sorted([date_column, *renames])
-    listed = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
-        .load(path)
-        .select(F.col("_metadata.file_name").alias("file"))
-    )
-    if listed.isEmpty():
+    listed = _listed_files(spark, path)
+    if listed is None:
         raise SourceError(f"no CSV files found in {path}")
 
     lines = (

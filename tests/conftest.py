@@ -28,6 +28,7 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.sql.warehouse.dir": f"{folder}/warehouse",
             "spark.checkpoint.dir": f"{folder}/shared",
+            "spark.sql.maxMetadataStringLength": "1000",
         },
     )
     yield session
