@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions import covers, differs, effective_end
+from chronoframe.model import OPEN_END
 from chronoframe.operators.shaping import distinct_keys, require, union_all
 
 STRATEGIES = ("range", "sliced", "asof")
@@ -248,14 +249,44 @@ def members_on(
     start: str = "start_date",
     end: str = "end_date",
 ) -> DataFrame:
-    """Facts whose key was a member on the fact's day; several intervals per key."""
-    spans = intervals.select(
+    """Facts whose key was a member on the fact's day; several intervals per key.
+
+    Overlapping and repeated intervals are merged first, so that a fact meets
+    only disjoint ones, however many rows the interval table has.
+    """
+    spans = merged_intervals(intervals, key=key, start=start, end=end).select(
         F.col(key).alias("_key"), F.col(start).alias("_start"), effective_end(F.col(end)).alias("_end")
     )
     inside = (F.col(key) == F.col("_key")) & F.col(time).between(F.col("_start"), F.col("_end"))
     return facts.join(spans, inside, "left_semi")
 
 
+def merged_intervals(
+    intervals: DataFrame, *, key: str = "ticker", start: str = "start_date", end: str = "end_date"
+) -> DataFrame:
+    """Disjoint intervals covering the same days.
+
+    Rows are reduced to one per key and start before the ordered pass, which is
+    therefore bounded by the calendar for every key.
+    """
+    longest = (
+        intervals.groupBy(key, F.col(start).alias("_from"))
+        .agg(F.max(effective_end(F.col(end))).alias("_until"))
+        .filter(F.col("_from") <= F.col("_until"))
+    )
+    in_order = Window.partitionBy(key).orderBy("_from")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    up_to_here = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max("_until").over(before)
+    begins = longest.withColumn("_begins", F.coalesce(F.col("_from") > reach, F.lit(True)).cast("int"))
+    return (
+        begins.withColumn("_island", F.sum("_begins").over(up_to_here))
+        .groupBy(key, "_island")
+        .agg(F.min("_from").alias(start), F.max("_until").alias("_last"))
+        .select(key, start, F.when(F.col("_last") != F.lit(OPEN_END), F.col("_last")).alias(end))
+    )
+
+
 def match_counts(
     facts: DataFrame, dim: DataFrame, *, key: str = "ticker", time: str = "trade_date"
 ) -> DataFrame:
@@ -266,22 +297,33 @@ def match_counts(
     nothing and is left out.
     """
     upright = dim.filter(F.col("valid_from") <= effective_end(F.col("valid_to")))
-    days = facts.groupBy(key, F.col(time).alias("_day")).agg(F.count(F.lit(1)).alias("_facts"))
-    none = F.lit(None).cast("bigint")
-    begins = upright.select(key, F.col("valid_from").alias("_day"), F.lit(0).alias("_kind"), F.lit(1).alias("_delta"), none.alias("_facts"))
-    ends = upright.filter(F.col("valid_to").isNotNull()).select(
-        key, F.col("valid_to").alias("_day"), F.lit(2).alias("_kind"), F.lit(-1).alias("_delta"), none.alias("_facts")
+    def marks(df: DataFrame, day: str, kind: int, opened: int, seen: int) -> DataFrame:
+        return df.select(
+            key,
+            F.col(day).alias("_day"),
+            F.lit(kind).alias("_kind"),
+            F.lit(opened).cast("bigint").alias("_opened"),
+            F.lit(seen).cast("bigint").alias("_seen"),
+        )
+
+    # On one day: versions begin, facts are seen, versions end.
+    marked = union_all(
+        marks(upright, "valid_from", 0, 1, 0),
+        marks(facts, time, 1, 0, 1),
+        marks(upright.filter(F.col("valid_to").isNotNull()), "valid_to", 2, -1, 0),
     )
-    seen = days.select(key, "_day", F.lit(1).alias("_kind"), F.lit(0).alias("_delta"), "_facts")
-    order = (
+    # One row per key, day and kind, whatever the number of facts or versions.
+    per_day = marked.groupBy(key, "_day", "_kind").agg(
+        F.sum("_opened").alias("_opened"), F.sum("_seen").alias("_seen")
+    )
+    in_order = (
         Window.partitionBy(key)
         .orderBy("_day", "_kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    swept = union_all(begins, ends, seen).withColumn("_open", F.sum("_delta").over(order))
+    swept = per_day.withColumn("_open", F.sum("_opened").over(in_order))
     return swept.filter(F.col("_kind") == 1).select(
         key,
         F.col("_day").alias(time),
-        (F.col("_open") * F.col("_facts")).cast("bigint").alias("matching_dimension_rows"),
+        (F.col("_open") * F.col("_seen")).alias("matching_dimension_rows"),
     )
-

@@ -129,7 +129,7 @@ def build_all(
         fact = store(
             "gold.fact_returns_pit",
             lambda: layers.build_fact_pit(spark.table("silver.fact_returns"), dim, co_located=True),
-            range_by=("sector_at_trade_date", "trade_date"),
+            cluster_by=("sector_at_trade_date", "trade_date"),
         )
         daily = store(
             "gold.sector_daily_returns", lambda: layers.build_group_series(fact, window)[0]

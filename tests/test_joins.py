@@ -141,3 +141,19 @@ def test_match_counts_see_gaps_and_overlaps(frame, rows):
 def test_mismatches_in_both_directions(frame, rows):
     left, right = frame("ticker:s", [("A",), ("A",), ("B",)]), frame("ticker:s", [("B",), ("C",)])
     assert rows(joins.mismatches(left, right)) == [("A", "left_only"), ("C", "right_only")]
+
+
+def test_merged_intervals(frame, rows):
+    spans = frame(
+        "ticker:s start_date:d end_date:d",
+        [
+            ("A", "2020-01-01", "2020-01-05"), ("A", "2020-01-03", "2020-01-04"), ("A", "2020-01-05", "2020-01-09"),
+            ("A", "2020-01-11", "2020-01-12"), ("A", "2020-01-11", "2020-01-11"), ("A", "2020-02-01", None),
+            ("A", "2020-03-01", "2020-03-02"), ("B", "2020-01-02", "2020-01-01"),
+        ],
+    )
+    assert rows(joins.merged_intervals(spans)) == [
+        ("A", date(2020, 1, 1), date(2020, 1, 9)),
+        ("A", date(2020, 1, 11), date(2020, 1, 12)),
+        ("A", date(2020, 2, 1), None),
+    ]
