@@ -10,8 +10,9 @@ skewed fact partitions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions import covers, differs, effective_end
@@ -31,6 +32,7 @@ def pit_join(
     how: str = "inner",
     strategy: str = "range",
     slice_unit: str = "year",
+    days: tuple[date, date] | None = None,
     co_located: bool = False,
 ) -> DataFrame:
     """Join each fact to the version of its key in force on the fact's day.
@@ -42,9 +44,12 @@ def pit_join(
     * ``sliced`` – versions are repeated once per calendar slice they touch and
       the slice joins the equi key. Work per fact is the number of versions in
       one slice, and a hot key is spread over its slices. For long histories.
-    * ``asof``   – versions and facts are merged in one ordered pass per key.
-      Linear in both, but one key is one task, and an overlap is resolved
-      silently instead of showing up twice.
+    * ``asof``   – versions and facts are merged in one ordered pass per key and
+      slice. Linear in both, whatever the number of versions, but an overlap is
+      resolved silently instead of showing up twice.
+
+    The last two need the first and last day of the facts; ``days`` gives them
+    (any enclosing period will do), otherwise one aggregate finds them.
 
     ``co_located`` says that both sides are stored bucketed by the key. The
     versions of one bucket are then hashed in the task that reads the facts of
@@ -54,9 +59,6 @@ def pit_join(
         raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
-    if strategy == "asof":
-        return _asof(facts, dim, key, time, attributes, how)
-
     span = dim.select(
         F.col(key).alias("_key"),
         F.col("valid_from").alias("_from"),
@@ -70,8 +72,10 @@ def pit_join(
         joined = facts.join(span, (F.col(key) == F.col("_key")) & in_force, how)
         return joined.drop("_key", "_from", "_until")
 
-    by_slice = span.withColumn("_slice", F.explode(_touched_slices(facts, time, slice_unit)))
+    by_slice = span.withColumn("_slice", F.explode(_touched_slices(facts, time, slice_unit, days)))
     sliced_facts = facts.withColumn("_fact_slice", F.trunc(F.col(time), slice_unit))
+    if strategy == "asof":
+        return _merge_in_order(sliced_facts, by_slice, key, time, attributes, how)
     joined = sliced_facts.join(
         by_slice,
         (F.col(key) == F.col("_key")) & (F.col("_fact_slice") == F.col("_slice")) & in_force,
@@ -80,54 +84,62 @@ def pit_join(
     return joined.drop("_key", "_from", "_until", "_slice", "_fact_slice")
 
 
-def _touched_slices(facts: DataFrame, time: str, unit: str):
+_STEPS = {"year": "INTERVAL 1 YEAR", "quarter": "INTERVAL 3 MONTH", "month": "INTERVAL 1 MONTH"}
+
+
+def _touched_slices(facts: DataFrame, time: str, unit: str, days: tuple[date, date] | None) -> Column:
     """Slice starts touched by an interval, clipped to the days the facts span.
 
-    One scalar subquery, a partial aggregate, bounds the slices; no fact lies
-    outside them, so nothing is lost.
+    No fact lies outside those days, so nothing is lost; an interval outside
+    them touches no slice.
     """
-    bounds = facts.select(F.struct(F.min(time).alias("first"), F.max(time).alias("last"))).scalar()
-    lower = F.greatest(F.col("_from"), bounds["first"])
-    upper = F.least(F.col("_until"), bounds["last"])
-    step = {"year": "INTERVAL 1 YEAR", "quarter": "INTERVAL 3 MONTH", "month": "INTERVAL 1 MONTH"}[unit]
+    if days is None:
+        span = facts.select(F.struct(F.min(time).alias("first"), F.max(time).alias("last"))).scalar()
+        first, last = span["first"], span["last"]
+    else:
+        first, last = F.lit(days[0]), F.lit(days[1])
+    lower, upper = F.greatest(F.col("_from"), first), F.least(F.col("_until"), last)
     return F.when(
-        lower <= upper, F.sequence(F.trunc(lower, unit), F.trunc(upper, unit), F.expr(step))
+        lower <= upper, F.sequence(F.trunc(lower, unit), F.trunc(upper, unit), F.expr(_STEPS[unit]))
     )
 
 
-def _asof(facts, dim, key, time, attributes, how):
-    version = F.struct(
-        F.col("valid_from"), effective_end(F.col("valid_to")).alias("until"), *attributes
-    )
-    changes = dim.select(
-        F.col(key),
-        F.col("valid_from").alias("_day"),
-        F.lit(0).alias("_is_fact"),
-        version.alias("_version"),
-        F.lit(None).cast(facts.select(F.struct("*").alias("s")).schema["s"].dataType).alias("_fact"),
-    )
+def _merge_in_order(
+    facts: DataFrame, by_slice: DataFrame, key: str, time: str, attributes: Sequence[str], how: str
+) -> DataFrame:
+    """Give each fact the last version begun by its day, if that version is still in force.
+
+    A version enters every slice it touches, at its start or at the slice's.
+    """
+    fact_columns = [c for c in facts.columns if c != "_fact_slice"]
     observed = facts.select(
-        F.col(key),
+        F.col(key).alias("_key"),
+        F.col("_fact_slice").alias("_slice"),
         F.col(time).alias("_day"),
         F.lit(1).alias("_is_fact"),
-        F.lit(None).cast(changes.schema["_version"].dataType).alias("_version"),
-        F.struct("*").alias("_fact"),
+        F.struct(*fact_columns).alias("_fact"),
+    )
+    begun = by_slice.select(
+        "_key",
+        "_slice",
+        F.greatest("_from", "_slice").alias("_day"),
+        F.lit(0).alias("_is_fact"),
+        F.struct("_until", *attributes).alias("_version"),
     )
     # A version sorts before a fact of the same day: valid_from is inclusive.
     so_far = (
-        Window.partitionBy(key)
+        Window.partitionBy("_key", "_slice")
         .orderBy("_day", "_is_fact")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    walked = changes.unionByName(observed).withColumn(
-        "_version", F.last("_version", ignorenulls=True).over(so_far)
-    )
-    matched = F.col("_day") <= F.col("_version.until")
+    merged = observed.unionByName(begun, allowMissingColumns=True)
+    walked = merged.withColumn("_latest", F.last("_version", ignorenulls=True).over(so_far))
+    in_force = F.col("_day") <= F.col("_latest._until")
     kept = walked.filter(F.col("_is_fact") == 1)
     if how == "inner":
-        kept = kept.filter(matched)
+        kept = kept.filter(in_force)
     return kept.select(
-        "_fact.*", *[F.when(matched, F.col(f"_version.{a}")).alias(a) for a in attributes]
+        "_fact.*", *[F.when(in_force, F.col(f"_latest.{a}")).alias(a) for a in attributes]
     )
 
 

@@ -112,6 +112,11 @@ def versions(dim: DataFrame, key: str = "ticker", order: str = "valid_from") ->
     return dim.withColumn("rn", position.cast("bigint"))
 
 
+def next_version(dim: DataFrame, key: str = "ticker", version: str = "version_number") -> DataFrame:
+    """The version number each key's next change would get."""
+    return dim.groupBy(key).agg((F.max(version) + F.lit(1)).alias("next_version"))
+
+
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """The earliest row of each key: a partial aggregate, no sort and no window."""
     rest = [c for c in df.columns if c != key]
