@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.model import ReportingWindow
-from chronoframe.operators import comparison, joins, windows
+from chronoframe.operators import comparison, joins, scd2, windows
 from chronoframe.session import cut_lineage
 from queries.family import Family, r, rs
 from queries.mapping import WINDOW, Inputs
@@ -27,9 +27,15 @@ def daily(i: Inputs, relabel: bool = False) -> DataFrame:
     return comparison.group_daily(fact(i, relabel), WINDOW)
 
 
-def anchor(i: Inputs, relabel: bool = False) -> DataFrame:
-    """Dimension and labelled fact are stored once; each has several readers."""
+def anchor(i: Inputs, relabel: bool = False, hold_out: bool = False) -> DataFrame:
+    """Dimension and labelled fact are stored once; each has several readers.
+
+    ``hold_out`` leaves out customers whose history claims 5-LOW before it existed.
+    """
     dim = cut_lineage(i.dim(relabel))
+    if hold_out:
+        early = scd2.existence_violations(dim, i.registry(), WINDOW).filter(F.col("gics_sector") == "5-LOW")
+        dim = joins.exclude(dim, early.select("ticker").distinct())
     labelled = joins.dual_label(i.returns(), dim).select(
         "ticker", "trade_date", "daily_return", "sector_at_trade_date", "sector_today", "is_misattributed"
     )
@@ -131,6 +137,12 @@ def anchor_metric_relabelled(i: Inputs) -> DataFrame:
     return anchor(i, relabel=True)
 
 
+@FAMILY.query(f"SELECT {ANCHOR} FROM anchor_held", "anchor_held")
+def anchor_metric_held_out(i: Inputs) -> DataFrame:
+    """With the doubtful histories held out, 5-LOW is born within the window."""
+    return anchor(i, relabel=True, hold_out=True)
+
+
 @FAMILY.query(
     f"""
 SELECT trade_date, gics_sector,

@@ -221,6 +221,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     **_dimension("_user", "log_user", "universe_user"),
     **_facts(""),
     **_facts("_rl"),
+    "dim_held": (("dim_rl",), """
+        SELECT * FROM dim_rl WHERE ticker NOT IN (
+            SELECT ticker FROM dim_rl
+            WHERE gics_sector = '5-LOW' AND greatest(valid_from, DATE '1996-01-01') < DATE '1998-07-01'
+              AND coalesce(valid_to, DATE '9999-12-31') >= DATE '1996-01-01')"""),
+    **_facts("_held"),
 }
 
 

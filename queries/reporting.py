@@ -24,11 +24,11 @@ def report_anchor(i: Inputs) -> DataFrame:
 
 @FAMILY.query(
     f"""SELECT gics_sector, sector_existed_from, {rs('pct_period_sector_absent', 'naive_full_window_return', 'naive_cumulative_return')}
-        FROM anchor_rl WHERE pct_period_sector_absent > 0""",
-    "anchor_rl",
+        FROM anchor_held WHERE pct_period_sector_absent > 0""",
+    "anchor_held",
 )
 def report_absent(i: Inputs) -> DataFrame:
-    return reports.absent_report(anchor(i, relabel=True))
+    return reports.absent_report(anchor(i, relabel=True, hold_out=True))
 
 
 @FAMILY.query(
