@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import language
+from chronoframe.llm import language, simhash
 
 
 def fold(column: str, folds: int):
@@ -20,5 +20,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), names, prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op7_language_id,)}
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op7_language_id)}
 ORACLES: dict[str, str] = {}
