@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import language, simhash
+from chronoframe.llm import language, simhash, topk, warc
 
 
 def fold(column: str, folds: int):
@@ -24,5 +24,45 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op7_language_id)}
-ORACLES: dict[str, str] = {}
+def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    kind = pages.schema["page_id"].dataType
+    captures = warc.transactions(warc.read(spark, warc.write(pages), payload=False))
+    revisit = F.col("response.type") == "revisit"
+    return captures.select(
+        F.col("metadata.fields")["page-id"].cast(kind).alias("page_id"),
+        F.when(revisit, F.col("response.fields")["content-length"].cast("long")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("response.stated_digest")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.col("response.refers_to_page").cast(kind).alias("refers_to"),
+    )
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), F.col("id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_warc_transactions, op7_language_id, op8_exact_top_k)}
+ORACLES: dict[str, str] = {
+    "op5_warc_transactions": """
+        WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        digests AS (SELECT page_id, octet_length(encode(body)) AS n, sha256(encode(body)) AS d FROM bodies),
+        firsts AS (SELECT d, min(page_id) AS first_id FROM digests WHERE n >= 100 GROUP BY d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM digests LEFT JOIN firsts USING (d)
+    """,
+    "op8_exact_top_k": """
+        WITH usable AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scores AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        ),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+}
