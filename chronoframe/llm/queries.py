@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import language, simhash, topk, warc
+from chronoframe.llm import bpe, language, simhash, topk, warc
 
 
 def fold(column: str, folds: int):
@@ -13,6 +13,14 @@ def fold(column: str, folds: int):
     return F.crc32(F.col(column).cast("string")) % folds
 
 
+def vocabulary_file(name: str = "word_bpe_49k.json") -> bytes:
+    """A public tokenizer's file; tasks get its bytes."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
@@ -42,7 +50,18 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_warc_transactions, op7_language_id, op8_exact_top_k)}
+def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    file = vocabulary_file()
+    ids = bpe.encode(docs, file, bpe.build_lexicon(docs, file)).select("doc_id", "ids")
+    return bpe.decode(ids, file).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_warc_transactions, op7_language_id, op8_exact_top_k, op10_bpe_lexicon)}
 ORACLES: dict[str, str] = {
     "op5_warc_transactions": """
         WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
