@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bpe, language, simhash, topk, warc
+from chronoframe.llm import bpe, language, simhash, suffixes, topk, warc
 
 
 def fold(column: str, folds: int):
@@ -28,6 +28,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), names, prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    lost = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda total, run: total + run["end"] - run["start"])
+    return suffixes.deduplicate(docs).select(
+        "doc_id", F.col("text_bytes").alias("n_bytes"), lost.alias("n_removed"), F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
@@ -61,7 +69,7 @@ def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_warc_transactions, op7_language_id, op8_exact_top_k, op10_bpe_lexicon)}
+QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_simhash_near_dedup, op5_warc_transactions, op7_language_id, op8_exact_top_k, op10_bpe_lexicon)}
 ORACLES: dict[str, str] = {
     "op5_warc_transactions": """
         WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
