@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bpe, language, simhash, suffixes, topk, warc
+from chronoframe.llm import bpe, contamination, language, simhash, suffixes, topk, toxicity, warc
 
 
 def fold(column: str, folds: int):
@@ -28,6 +28,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), names, prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.learn(docs, labels.where(fold("doc_id", 5) != 0))
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return toxicity.score(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     lost = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda total, run: total + run["end"] - run["start"])
@@ -58,6 +66,12 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), F.col("id") % 100 == 0)
 
 
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return contamination.find(docs, items).select("doc_id", "item_id", "shared", "item_shingles", "containment")
+
+
 def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     file = vocabulary_file()
@@ -69,7 +83,7 @@ def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_simhash_near_dedup, op5_warc_transactions, op7_language_id, op8_exact_top_k, op10_bpe_lexicon)}
+QUERIES = {f.__name__: f for f in (op2_toxic_passages, op3_suffix_dedup, op4_simhash_near_dedup, op5_warc_transactions, op7_language_id, op8_exact_top_k, op9_benchmark_leaks, op10_bpe_lexicon)}
 ORACLES: dict[str, str] = {
     "op5_warc_transactions": """
         WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
