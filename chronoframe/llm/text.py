@@ -53,9 +53,13 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Words:
-    """Finds and hashes the words of many texts at once."""
+    """Finds and hashes the words of many texts at once.
 
-    def __init__(self) -> None:
+    With ``prefixes``, hashes have a row for the whole word and one for its first k bytes, for each k.
+    """
+
+    def __init__(self, prefixes: tuple[int, ...] = ()) -> None:
+        self.prefixes = prefixes
         self.table = word_bytes()
         self.up = powers(BASE, PIECE + 1)
         self.down = powers(pow(BASE, -1, 1 << 64), PIECE + 1)
@@ -63,6 +67,9 @@ class Words:
     def piece(self, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and hash of each word; no word crosses a border."""
         inside = self.table[data]
+        if not len(data):
+            none = np.zeros(0, np.int64)
+            return none, none, np.zeros((1 + len(self.prefixes), 0) if self.prefixes else 0, np.uint64)
         cut = np.zeros(len(data) + 1, bool)
         cut[borders] = True
         cut[[0, -1]] = True
@@ -72,7 +79,12 @@ class Words:
         begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=total[1:])
-        return begins, ends, mix((total[ends] - total[begins]) * self.down[begins])
+        down = self.down[begins]
+        hashes = mix((total[ends] - total[begins]) * down)
+        if self.prefixes:
+            heads = [mix((total[np.minimum(begins + k, ends)] - total[begins]) * down + np.uint64(k)) for k in self.prefixes]
+            hashes = np.stack([hashes, *heads])
+        return begins, ends, hashes
 
     def groups(self, data: np.ndarray, offsets: np.ndarray):
         """(first text, past the last, where each text's words begin, starts, ends, hashes), group by group.
@@ -94,8 +106,8 @@ class Words:
                 found.append((starts + at, ends + at, hashes))
                 at = end
             if not found:
-                found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
-            starts, ends, hashes = (x[0] if len(found) == 1 else np.concatenate(x) for x in zip(*found))
+                found = [self.piece(np.zeros(0, np.uint8), np.zeros(0, np.int64))]
+            starts, ends, hashes = (x[0] if len(found) == 1 else np.concatenate(x, axis=-1) for x in zip(*found))
             yield first, last, np.searchsorted(starts, offsets[first : last + 1]), starts, ends, hashes
             first = last
 

@@ -1,17 +1,20 @@
 """Toxic passages as maximum-scoring segments.
 
-Words are counted over the whole corpus and over toxic and clean labelled texts; the
+The tokens of a word are the word itself and its first 4, 6 and 8 bytes, so compounds
+share what is known of their heads. Texts with a token are counted over the whole corpus and over toxic and clean labelled texts; the
 log-odds of a word are estimated with a Dirichlet prior whose shape is the corpus itself
-(Monroe et al., 2008). Words that are significantly toxic keep their log-odds, all others
-share the rest of the mass, so the scores are log-likelihood ratios: their mean is
-negative on clean text. A linear scan (Ruzzo and Tompa, 1999) finds every maximal segment
+(Monroe et al., 2008). A word scores the best of its tokens' log-odds, each lowered by
+``doubt`` standard errors, if that is above log 3; all other words share the rest of the
+mass, so the scores are like log-likelihood ratios and their mean is negative on clean text. A linear scan (Ruzzo and Tompa, 1999) finds every maximal segment
 of positive score. A segment's score is judged by extreme-value statistics (Karlin and
 Altschul, 1990) whose constants are fitted on the best segments of clean labelled texts;
 the segments of a text are combined by the sum statistic, and a logistic curve turns the
 evidence into a probability.
 
-Words are hashed into ``2**BITS`` places, so the tables sent to all tasks have a fixed
-size; words that share a place share a score.
+Tokens are hashed into ``2**BITS`` places, so the tables sent to all tasks have a fixed
+size; tokens that share a place share a score.
+
+The prior weighs as much as the share ``prior`` of the labelled counts.
 
 The classifier is fitted on at most ``max_labelled`` labelled rows, those with the smallest
 hash of the id; the corpus counts cover all texts.
@@ -31,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoframe.llm.storage import stored
 from chronoframe.llm.text import Words, text_buffer
 
-BITS = 20
+BITS = 22  # a quarter for each kind of token
+HEADS = (4, 6, 8)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -64,14 +69,20 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    """What scoring needs: a score for each place, and the constants of the calibration."""
+    """What scoring needs: log-odds of each place (0 where not toxic), and the calibration."""
 
-    scores: np.ndarray
+    odds: np.ndarray
+    rest: float = -1e-3
     decay: float = 1.0
     chance: float = 1.0
     slope: float = 0.0
     offset: float = 0.0
 
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """Scores of words; ``places`` has a row for each kind of token."""
+        odds = self.odds[places].max(axis=0)
+        return np.where(odds > 0, odds, np.float32(self.rest))
+
     def evidence(self, found: list[float], words: int) -> float:
         """-log of the smallest p-value over the sums of the best segments."""
         best, total = 0.0, 0.0
@@ -89,47 +100,64 @@ class Model:
         return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
+def _place(hashes: np.ndarray) -> np.ndarray:
+    share = (1 << BITS) // len(hashes)
+    return (hashes % np.uint64(share)).astype(np.int64) + share * np.arange(len(hashes))[:, None]
+
+
 def _places(finder: Words, column: pa.Array):
-    """(row, places of its words) of each text."""
+    """(row, places of the tokens of its words) of each text."""
     data, offsets = text_buffer(column)
     for first, last, at, _, _, hashes in finder.groups(data, offsets):
-        places = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+        places = _place(hashes)
         for k in range(last - first):
-            yield first + k, places[at[k] : at[k + 1]]
+            yield first + k, places[:, at[k] : at[k + 1]]
 
 
 def _count(batches):
-    finder, size = Words(), 1 << BITS
+    finder, size = Words(HEADS), 1 << BITS
     schema = pa.schema([("place", pa.int32()), ("every", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
-    counts = np.zeros((3, size), np.int64)
+    counts = np.zeros((3, size), np.int32)
+
+    def flush():
+        used = np.flatnonzero(counts[0])
+        for low in range(0, len(used), 100_000):
+            some = used[low : low + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(c[some].astype(np.int64)) for c in counts]], schema=schema)
+        counts[:] = 0
+
+    words = 0
     for batch in batches:
         labels = batch.column(0).to_pylist()
         data, offsets = text_buffer(batch.column(1))
         for first, last, at, _, _, hashes in finder.groups(data, offsets):
-            places = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-            np.add.at(counts[0], places, 1)
+            places = _place(hashes)
             for k in range(last - first):
+                own = np.unique(places[:, at[k] : at[k + 1]])  # once for each text: a text that repeats itself weighs no more
+                counts[0, own] += 1
                 if (label := labels[first + k]) in (0, 1):
-                    np.add.at(counts[1 if label else 2], places[at[k] : at[k + 1]], 1)
-    used = np.flatnonzero(counts[0])
-    for low in range(0, len(used), 100_000):
-        some = used[low : low + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(c[some]) for c in counts]], schema=schema)
-
-
-def word_scores(every: np.ndarray, toxic: np.ndarray, clean: np.ndarray, prior: float, least_z: float) -> np.ndarray:
-    """Log-likelihood ratios of toxic against clean, by place."""
-    alpha = prior * (every + 0.5) / (every.sum() + 0.5 * len(every))
-    n_toxic, n_clean = toxic.sum(), clean.sum()
+                    counts[1 if label else 2, own] += 1
+            words += places.shape[1]
+            if words > 1 << 29:  # long before a count is full
+                yield from flush()
+                words = 0
+    yield from flush()
+
+
+def token_odds(place: np.ndarray, counts: np.ndarray, totals: np.ndarray, prior: float, doubt: float) -> Model:
+    """Lowered log-odds of toxic against clean by place; rows of ``counts`` and ``totals``: every text, toxic, clean."""
+    prior = prior * (totals[1] + totals[2])
+    alpha = prior * (counts[0] + 0.5) / (totals[0] + 0.5)
     odds = lambda y, n: np.log(y + alpha) - np.log(n + prior - y - alpha)
-    delta = odds(toxic, n_toxic) - odds(clean, n_clean)
-    z = delta / np.sqrt(1 / (toxic + alpha) + 1 / (clean + alpha))
-    kept = (z >= least_z) & (delta > math.log(2))
-    share = (clean + alpha) / (n_clean + prior)
-    mass = share[kept].sum()
-    taken = min((share[kept] * np.exp(delta[kept])).sum(), 0.5)
-    rest = math.log((1 - taken) / max(1 - mass, 1e-9)) - 1e-3
-    return np.where(kept, delta, min(rest, -1e-3)).astype(np.float32)
+    delta = odds(counts[1], totals[1]) - odds(counts[2], totals[2])
+    low = delta - doubt * np.sqrt(1 / (counts[1] + alpha + 1) + 1 / (counts[2] + alpha + 1))
+    kept = low > math.log(3)
+    kinds = 1 + len(HEADS)
+    kind = place[kept] // ((1 << BITS) // kinds)
+    taken, mass = (np.bincount(kind, y[kept], kinds).max() / n for y, n in ((counts[1], totals[1]), (counts[2], totals[2])))
+    table = np.zeros(1 << BITS, np.float32)
+    table[place[kept]] = low[kept]
+    return Model(table, min(math.log((1 - min(taken, 0.5)) / (1 - min(mass, 0.49))), -1e-3))
 
 
 def fit_extremes(best: np.ndarray, words: np.ndarray) -> tuple[float, float]:
@@ -167,20 +195,19 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 0.0)), float(w[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", prior: float = 1000.0, least_z: float = 3.0, max_labelled: int = 200_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", prior: float = 0.1, doubt: float = 2.0, max_labelled: int = 200_000) -> Model:
     """Fit on ``labels`` (all of them may train) and the texts of ``docs``."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     sample = usable.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
     known = docs.join(F.broadcast(sample), F.col(doc_id) == F.col("__id"), "left")
     counted = known.select("label", F.lower(text)).mapInArrow(_count, "place int, every long, toxic long, clean long")
-    table = counted.groupBy("place").agg(*[F.sum(c).alias(c) for c in ("every", "toxic", "clean")]).toArrow()  # 2**BITS rows at most
-    every, toxic, clean = np.zeros((3, 1 << BITS))
-    place = table.column("place").to_numpy()
-    for name, out in (("every", every), ("toxic", toxic), ("clean", clean)):
-        out[place] = table.column(name).to_numpy()
-    if not toxic.sum() or not clean.sum():
-        return Model(np.full(1 << BITS, -1e-3, np.float32))
-    model = Model(word_scores(every, toxic, clean, prior, least_z))
+    by_place = stored(counted.groupBy("place").agg(*[F.sum(c).alias(c) for c in ("every", "toxic", "clean")]), "tokens")
+    totals = np.array([x or 0 for x in by_place.agg(*[F.sum(c) for c in ("every", "toxic", "clean")]).first()], float) / (1 + len(HEADS))
+    if not totals[1] or not totals[2]:
+        return Model(np.zeros(1 << BITS, np.float32))
+    table = by_place.where("toxic > 1").toArrow()  # at most 2**BITS rows
+    counts = np.stack([table.column(c).to_numpy().astype(float) for c in ("every", "toxic", "clean")])
+    model = token_odds(table.column("place").to_numpy(), counts, totals, prior, doubt)
     fitted = docs.join(F.broadcast(sample), F.col(doc_id) == F.col("__id")).select("label", F.lower(text)).mapInArrow(_passages(model), "label int, words long, scores array<double>").toArrow()  # a row for each of the sample
     truth, words = fitted.column("label").to_numpy().astype(float), fitted.column("words").to_numpy()
     found = fitted.column("scores").to_pylist()
@@ -194,12 +221,12 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def _passages(model: Model):
     def run(batches):
-        finder = Words()
+        finder = Words(HEADS)
         for batch in batches:
             words, scores = [], []
             for _, places in _places(finder, batch.column(1)):
-                words.append(len(places))
-                scores.append([s for _, _, s in segments(model.scores[places])])
+                words.append(places.shape[1])
+                scores.append([s for _, _, s in segments(model.of(places))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], names=["label", "words", "scores"])
 
     return run
@@ -217,14 +244,14 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches):
-        model, finder = shared.value, Words()
+        model, finder = shared.value, Words(HEADS)
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
             values, passages = [], []
             for _, places in _places(finder, batch.column(0)):
-                found = segments(model.scores[places])
-                base = math.log(model.chance * max(len(places), 1))
-                values.append(model.probability(model.evidence([s for _, _, s in found], len(places))))
+                found = segments(model.of(places))
+                base = math.log(model.chance * max(places.shape[1], 1))
+                values.append(model.probability(model.evidence([s for _, _, s in found], places.shape[1])))
                 passages.append([{"first": a, "last": b, "score": s} for a, b, s in found if model.decay * s > base])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values, pa.float64()), pa.array(passages, kind)], names=[*batch.schema.names[1:], "score", "passages"])
 
