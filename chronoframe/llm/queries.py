@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bpe, contamination, language, simhash, suffixes, topk, toxicity, warc
+from chronoframe.llm import bpe, contamination, language, simhash, substring, suffixes, topk, toxicity, warc
 
 
 def fold(column: str, folds: int):
@@ -28,6 +28,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), names, prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -83,7 +87,7 @@ def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_toxic_passages, op3_suffix_dedup, op4_simhash_near_dedup, op5_warc_transactions, op7_language_id, op8_exact_top_k, op9_benchmark_leaks, op10_bpe_lexicon)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxic_passages, op3_suffix_dedup, op4_simhash_near_dedup, op5_warc_transactions, op7_language_id, op8_exact_top_k, op9_benchmark_leaks, op10_bpe_lexicon)}
 ORACLES: dict[str, str] = {
     "op5_warc_transactions": """
         WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
