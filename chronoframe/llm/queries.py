@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bpe, contamination, language, simhash, substring, suffixes, topk, toxicity, warc
+from chronoframe.llm import bpe, contamination, language, packing, simhash, substring, suffixes, topk, toxicity, warc
 
 
 def fold(column: str, folds: int):
@@ -13,6 +13,13 @@ def fold(column: str, folds: int):
     return F.crc32(F.col(column).cast("string")) % folds
 
 
+def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return packing.pack(docs, vocabulary_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def vocabulary_file(name: str = "word_bpe_49k.json") -> bytes:
     """A public tokenizer's file; tasks get its bytes."""
     import public_tokenizers
@@ -87,7 +94,7 @@ def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxic_passages, op3_suffix_dedup, op4_simhash_near_dedup, op5_warc_transactions, op7_language_id, op8_exact_top_k, op9_benchmark_leaks, op10_bpe_lexicon)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxic_passages, op3_suffix_dedup, op4_simhash_near_dedup, op5_warc_transactions, op6_packed_ids, op7_language_id, op8_exact_top_k, op9_benchmark_leaks, op10_bpe_lexicon)}
 ORACLES: dict[str, str] = {
     "op5_warc_transactions": """
         WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
