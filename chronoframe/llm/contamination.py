@@ -51,14 +51,12 @@ def bands(size_class: int, item_class: int, threshold: float, miss: float, max_b
 
 def minhash_keys(shingles: np.ndarray, count: int, rows: int) -> np.ndarray:
     """One key for each band."""
-    out = np.zeros(count, np.uint64)
-    for band in range(count):
-        key = np.uint64(band + 1)
-        for row in range(rows):
-            seed = np.uint64((2 * (band * rows + row) + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))
-            key = key * np.uint64(0xBF58476D1CE4E5B9) + mix(shingles ^ seed).min()
-        out[band] = mix(np.array([key]))[0]
-    return out
+    out = np.arange(1, count + 1, dtype=np.uint64)
+    for row in range(rows):
+        seeds = [np.uint64((2 * (band * rows + row) + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)) for band in range(count)]
+        lowest = np.array([mix(shingles ^ seed).min() for seed in seeds], np.uint64)
+        out = out * np.uint64(0xBF58476D1CE4E5B9) + lowest
+    return mix(out)
 
 
 def class_of(n: int) -> int:
@@ -97,7 +95,6 @@ def _reduced(words: int, table: np.ndarray, bits: int, least: int):
             data, offsets = text_buffer(batch.column(2))
             picked, rows = [], []
             for first, last, at, _, _, hashes in finder.groups(data, offsets):
-                n = max(0, len(hashes) - words + 1)
                 all_ = shingle_hashes(hashes, words)
                 hit = np.flatnonzero(present[all_ >> np.uint64(64 - bits)])
                 if not len(hit):
@@ -110,7 +107,6 @@ def _reduced(words: int, table: np.ndarray, bits: int, least: int):
                     if len(some) >= least:
                         picked.append(first + int(d))
                         rows.append(some.view(np.int64))
-                del n
             if picked:
                 take = pa.array(picked)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), _lists(rows)], names=["row", "doc", "shingles"])

@@ -408,7 +408,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     return known.unionByName(agreed.where("kind = 1").select("dk", "th", start, count)).unionByName(single.select("dk", "th", start, count)).unionByName(settled)
 
 
-def _remove(length: int, schema: pa.Schema):
+def _remove(length: int, schema: pa.Schema, as_text: bool):
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
@@ -430,7 +430,8 @@ def _remove(length: int, schema: pa.Schema):
                         at = b
                     kept = b"".join([*parts, view[at:]])
                 out[0].append([{"start": a, "end": b} for a, b in runs])
-                out[1].append(kept.to_pybytes() if isinstance(kept, pa.Buffer) else kept)
+                kept = kept.to_pybytes() if isinstance(kept, pa.Buffer) else kept
+                out[1].append(kept.decode("utf-8", "ignore") if as_text else kept)
                 out[2].append(data.size)
                 held += data.size
                 if held > 4 << 20:
@@ -440,15 +441,17 @@ def _remove(length: int, schema: pa.Schema):
                 yield done(batch.slice(low), out)
 
     def done(part: pa.RecordBatch, out: list[list]) -> pa.RecordBatch:
-        made = [pa.array(out[0], schema.field(0).type), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())]
+        made = [pa.array(out[0], schema.field(0).type), pa.array(out[1], schema.field(1).type), pa.array(out[2], pa.int64())]
         return pa.RecordBatch.from_arrays([*part.columns[2:], *made], names=[*part.schema.names[2:], *schema.names])
 
     return run
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = 40_000) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = 40_000, as_text: bool = False) -> DataFrame:
     """``docs`` with ``removed_spans`` (maximal runs, byte offsets), ``kept`` (the bytes left) and ``text_bytes``.
 
+    With ``as_text``, ``kept`` is a string, without the parts of characters that were cut apart.
+
     Existing columns of these names are replaced; all others are kept.
     """
     made = ("removed_spans", "kept", "text_bytes")
@@ -462,5 +465,5 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     joined = whole.join(spans, (F.col("__dk") == F.col("dk")) & (F.col("__th") == F.col("th")), "left").select("__data", "spans", *[whole[f"`{c}`"] for c in rest])
     run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select([F.col(f"`{c}`") for c in rest]).schema.fields)
-    schema = pa.schema([("removed_spans", run), ("kept", pa.binary()), ("text_bytes", pa.int64())])
-    return joined.mapInArrow(_remove(length, schema), f"{fields}, removed_spans array<struct<start: long, end: long>>, kept binary, text_bytes long")
+    schema = pa.schema([("removed_spans", run), ("kept", pa.string() if as_text else pa.binary()), ("text_bytes", pa.int64())])
+    return joined.mapInArrow(_remove(length, schema, as_text), f"{fields}, removed_spans array<struct<start: long, end: long>>, kept {'string' if as_text else 'binary'}, text_bytes long")
