@@ -1,8 +1,8 @@
 """BPE encoding and decoding with a transducer lexicon for frequent words.
 
 Words are what the tokenizer's pattern cuts from the normalised text; each word is
-encoded by itself. The most frequent words of the corpus (counted over all of it,
-``lexicon_words`` of them kept) are encoded once and compiled into a minimal acyclic
+encoded by itself. The most frequent words of the corpus (counted over all of it, up to
+``lexicon_words`` kept, those of one count all or none) are encoded once and compiled into a minimal acyclic
 automaton that shares prefixes and suffixes. Its arcs carry outputs whose sum along a
 word is the word's number, which leads to its ids. The driver ships the automaton as
 one file of flat arrays; tasks map it into memory. Any other word is merged exactly,
@@ -37,8 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from chronoframe.llm.storage import stored
+
 WORD_END = "</w>"
-CACHED = 200_000
+CACHED, COUNTED = 100_000, 200_000  # words that a task remembers: with ids; with counts
+PART, NONE = (1 << 20) - 1, 1 << 62  # a pair of ids in one integer; no merge
 
 
 def byte_letters() -> list[str]:
@@ -71,7 +74,7 @@ class Vocabulary:
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if not isinstance(pair, str) else pair.split(" ")
-            self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
+            self.merges[self.ids[a] << 20 | self.ids[b]] = rank << 20 | self.ids[a + b]
         letters = byte_letters()
         self.inner = [self.ids.get(x, -1) for x in letters]
         self.final = [self.ids.get(x + WORD_END, -1) for x in letters]
@@ -83,25 +86,40 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word."""
         ids = [self.inner[b] for b in word[:-1]] + [self.final[word[-1]]]
-        merges = self.merges
-        after = list(range(1, len(ids))) + [-1]
-        before = list(range(-1, len(ids) - 1))
-        heap = [(*found, i) for i in range(len(ids) - 1) if (found := merges.get((ids[i], ids[i + 1])))]
-        heap = [(rank, i, new) for rank, new, i in heap]
+        return self._merge_long(ids) if len(ids) > 100 else self._merge_short(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        get, none = self.merges.get, NONE
+        found = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) != none:
+            i = found.index(best)
+            ids[i] = best & PART
+            del ids[i + 1], found[i]
+            if i < len(found):
+                found[i] = get(ids[i] << 20 | ids[i + 1], none)
+            if i:
+                found[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap, for words of any length."""
+        get, none = self.merges.get, NONE
+        after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
+        heap = [(found, i) for i in range(len(ids) - 1) if (found := get(ids[i] << 20 | ids[i + 1], none)) != none]
         heapq.heapify(heap)
         while heap:
-            _, i, new = heapq.heappop(heap)
+            found, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j < 0 or (now := merges.get((ids[i], ids[j]))) is None or now[1] != new:
+            if ids[i] < 0 or j < 0 or get(ids[i] << 20 | ids[j], none) != found:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = found & PART, -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if found := merges.get((new, ids[k])):
-                    heapq.heappush(heap, (found[0], i, found[1]))
-            if (h := before[i]) >= 0 and (found := merges.get((ids[h], new))):
-                heapq.heappush(heap, (found[0], h, found[1]))
+                if (right := get(ids[i] << 20 | ids[k], none)) != none:
+                    heapq.heappush(heap, (right, i))
+            if (h := before[i]) >= 0 and (left := get(ids[h] << 20 | ids[i], none)) != none:
+                heapq.heappush(heap, (left, h))
         return [x for x in ids if x >= 0]
 
     def words(self, text: str) -> list[str]:
@@ -192,24 +210,19 @@ class Lexicon:
         view, at, parts = memoryview(self.map), 64, []
         for k, size in enumerate(sizes):
             parts.append(view[at : at + size].cast("I" if k < 5 else "B"))
+            self.labels = at if k == 5 else 0 if k < 5 else self.labels
             at += size
-        self.first, self.target, self.output, self.start, self.ids, self.label, self.final = parts
+        self.first, self.target, self.output, self.start, self.ids, _, self.final = parts
 
     def find(self, word: bytes) -> list[int] | None:
         node, number = self.root, 0
-        first, label = self.first, self.label
+        first, target, output, find, base = self.first, self.target, self.output, self.map.find, self.labels
         for c in word:
-            low, high = first[node], first[node + 1]
-            while low < high:
-                mid = (low + high) // 2
-                if label[mid] < c:
-                    low = mid + 1
-                else:
-                    high = mid
-            if low == first[node + 1] or label[low] != c:
+            arc = find(c.to_bytes(), base + first[node], base + first[node + 1]) - base
+            if arc < 0:
                 return None
-            number += self.output[low]
-            node = self.target[low]
+            number += output[arc]
+            node = target[arc]
         return self.ids[self.start[number] : self.start[number + 1]].tolist() if self.final[node] else None
 
 
@@ -259,7 +272,7 @@ def word_counts(docs: DataFrame, file: bytes, text: str = "text") -> DataFrame:
         for batch in batches:
             for one in batch.column(0).to_pylist():
                 seen.update(vocabulary.words(one) if one else ())
-                if len(seen) > CACHED:
+                if len(seen) > COUNTED:
                     yield pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())})
                     seen.clear()
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
@@ -270,7 +283,15 @@ def word_counts(docs: DataFrame, file: bytes, text: str = "text") -> DataFrame:
 def build_lexicon(docs: DataFrame, file: bytes, text: str = "text", lexicon_words: int = 32_768) -> str:
     """Compile the ``lexicon_words`` most frequent words and ship the file; gives its name."""
     vocabulary = Vocabulary(file)
-    top = word_counts(docs, file, text).orderBy(F.desc("n"), "word").limit(lexicon_words).collect()
+    # The counts above which words number fewer than that; so the driver gets no list from every task.
+    counts = stored(word_counts(docs, file, text).where("n > 1"), "words")
+    frequent, least = 0, None
+    for row in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(lexicon_words).collect():
+        frequent += row["words"]
+        if frequent > lexicon_words:
+            break
+        least = row["n"]
+    top = counts.where(F.col("n") >= least).select("word").collect() if least else []
     words = sorted(r["word"].encode() for r in top if r["word"] not in vocabulary.special)
     name = f"lexicon-{uuid.uuid4().hex}"
     path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
@@ -309,10 +330,14 @@ def decode(docs: DataFrame, file: bytes, ids: str = "ids", decoded: str = "decod
 
     def run(batches):
         tokens = Vocabulary(file).tokens
-        known = range(len(tokens))
+        known = np.array([bool(t) for t in tokens])
         for batch in batches:
             for part in _slices(batch):
-                texts = [" ".join([tokens[i] for i in row if i in known and tokens[i]]) if row else "" for row in part.column(0).to_pylist()]
+                texts = []
+                for row in part.column(0):
+                    values = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.zeros(0, np.int32)
+                    values = values[(values >= 0) & (values < len(known))]
+                    texts.append(" ".join(map(tokens.__getitem__, values[known[values]].tolist())))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], names=[*part.schema.names[1:], decoded])
 
     out = StructType([*kept, StructField(decoded, StringType())])
