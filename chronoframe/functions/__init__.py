@@ -4,7 +4,6 @@ from chronoframe.functions.labels import (
     blank_to_null,
     differs,
     distinct_from,
-    iso_date,
     normalise_key,
     open_end_label,
     opening_value,
@@ -24,6 +23,7 @@ from chronoframe.functions.measures import (
 )
 from chronoframe.functions.validity import (
     covers,
+    day_of,
     effective_end,
     overlaps_window,
     violates_lifetime,
@@ -31,8 +31,8 @@ from chronoframe.functions.validity import (
 )
 
 __all__ = [
-    "blank_to_null", "compound", "covers", "differs", "distinct_from", "effective_end",
-    "guarded_growth", "iso_date", "log_return", "normalise_key", "open_end_label",
+    "blank_to_null", "compound", "covers", "day_of", "differs", "distinct_from", "effective_end",
+    "guarded_growth", "log_return", "normalise_key", "open_end_label",
     "opening_value", "overlaps_window", "padded_identifier", "pct", "polarity", "present",
     "rounded", "simple_return", "starts", "tagged", "violates_lifetime", "violation_kind",
 ]

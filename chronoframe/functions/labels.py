@@ -50,10 +50,6 @@ def polarity(gap: Column) -> Column:
     return F.when(gap >= 0, F.lit("overstates")).otherwise(F.lit("understates"))
 
 
-def iso_date(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM-dd")
-
-
 def padded_identifier(raw: Column, width: int = 10) -> Column:
     """Numeric identifier as text with leading zeros; NULL stays NULL.
 

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from chronoframe.model import OPEN_END, ReportingWindow
 
 
+def day_of(time: str | Column) -> Column:
+    """The calendar day of a date or timestamp; intervals are closed and count whole days."""
+    return (F.col(time) if isinstance(time, str) else time).cast("date")
+
+
 def effective_end(valid_to: Column) -> Column:
     return F.coalesce(valid_to, F.lit(OPEN_END))
 

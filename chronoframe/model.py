@@ -57,7 +57,7 @@ class ReportingWindow:
         return cls(as_date(start), as_date(end))
 
     def contains(self, day: Column) -> Column:
-        return day.between(F.lit(self.start), F.lit(self.end))
+        return day.cast("date").between(F.lit(self.start), F.lit(self.end))
 
     @property
     def calendar_days(self) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions import compound, distinct_from, pct, present
@@ -25,16 +25,20 @@ def day_cube(fact: DataFrame, window: ReportingWindow) -> DataFrame:
     return (
         in_window(fact, "trade_date", window)
         .groupBy("sector_at_trade_date", "sector_today", "trade_date")
-        .agg(F.count(F.lit(1)).alias("observations"), F.sum("daily_return").alias("return_sum"))
+        .agg(
+            F.count(F.lit(1)).alias("observations"),
+            F.count("daily_return").alias("measured"),
+            F.sum("daily_return").alias("return_sum"),
+        )
     )
 
 
 def daily_from_cube(cube: DataFrame) -> DataFrame:
     """Unpivot the two labels of the cube and finish the means."""
-    sides = to_bases(cube, LABEL_OF_BASIS, _LABEL, ["trade_date", "observations", "return_sum"])
+    sides = to_bases(cube, LABEL_OF_BASIS, _LABEL, ["trade_date", "observations", "measured", "return_sum"])
     return sides.groupBy("join_basis", _LABEL, "trade_date").agg(
         F.sum("observations").alias("constituent_count"),
-        (F.sum("return_sum") / F.sum("observations")).alias("mean_return"),
+        (F.sum("return_sum") / F.nullif(F.sum("measured"), F.lit(0))).alias("mean_return"),
     )
 
 
@@ -189,9 +193,10 @@ def anchor_metric(
 ) -> DataFrame:
     """One row per label: what joining with today's label costs.
 
-    ``daily`` has one row per basis, label and day.
+    ``daily`` has one row per basis, label and day, and so has the calendar in it:
+    the fact itself is read for the moved observations only.
     """
-    pairs = rebased_pairs(daily).withColumn("_calendar", _calendar(fact, window))
+    pairs = rebased_pairs(daily).withColumn("_calendar", _calendar(daily, window))
     joined = assemble(
         pairs,
         [misattribution(fact, window, exclude_reasons=exclude_reasons, dim=dim), group_birth(dim)],
@@ -231,9 +236,9 @@ def group_summary(fact: DataFrame, value: str, window: ReportingWindow, label: s
     )
 
 
-def kpis(anchor: DataFrame) -> DataFrame:
+def kpi_totals() -> tuple[Column, Column]:
     """Totals over the labels. They count each observation under both labels."""
-    return anchor.agg(
+    return (
         F.sum("misattributed_observations").alias("role_assignments"),
         F.sum("reclassified_tickers").alias("entity_label_moves"),
     )

@@ -15,8 +15,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.functions import covers, differs, effective_end
-from chronoframe.model import OPEN_END
+from chronoframe.functions import covers, day_of, differs, effective_end
+from chronoframe.model import OPEN_END, OPEN_START
 from chronoframe.operators.shaping import distinct_keys, require, union_all
 
 STRATEGIES = ("range", "sliced", "asof")
@@ -33,7 +33,6 @@ def pit_join(
     strategy: str = "range",
     slice_unit: str = "year",
     days: tuple[date, date] | None = None,
-    co_located: bool = False,
 ) -> DataFrame:
     """Join each fact to the version of its key in force on the fact's day.
 
@@ -48,12 +47,13 @@ def pit_join(
       slice. Linear in both, whatever the number of versions, but an overlap is
       resolved silently instead of showing up twice.
 
-    The last two need the first and last day of the facts; ``days`` gives them
-    (any enclosing period will do), otherwise one aggregate finds them.
+    The last two cut the calendar within ``days``; what lies outside goes to the
+    first or last slice, so any period is right and a good one is fast. By default
+    it spans the days on which versions end and begin, from one aggregate over the
+    dimension; the facts are not read for it.
 
-    ``co_located`` says that both sides are stored bucketed by the key. The
-    versions of one bucket are then hashed in the task that reads the facts of
-    that bucket: no shuffle, no sort, nothing collected for a broadcast.
+    A fact's time may be a date or a timestamp; the day of it counts. Tables that
+    are stored bucketed by the key join without a shuffle, by sort and merge.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
@@ -65,17 +65,24 @@ def pit_join(
         effective_end(F.col("valid_to")).alias("_until"),
         *attributes,
     )
-    in_force = F.col(time).between(F.col("_from"), F.col("_until"))
+    in_force = day_of(time).between(F.col("_from"), F.col("_until"))
     if strategy == "range":
-        if co_located:
-            span = span.hint("shuffle_hash")
         joined = facts.join(span, (F.col(key) == F.col("_key")) & in_force, how)
         return joined.drop("_key", "_from", "_until")
 
-    by_slice = span.withColumn("_slice", F.explode(_touched_slices(facts, time, slice_unit, days)))
-    sliced_facts = facts.withColumn("_fact_slice", F.trunc(F.col(time), slice_unit))
+    first, last = _slice_bounds(dim, days)
+    within = lambda day: F.greatest(F.least(day, last), first)
+    lower, upper = within(F.col("_from")), within(F.col("_until"))
+    touched = F.when(
+        F.col("_from") <= F.col("_until"),
+        F.sequence(F.trunc(lower, slice_unit), F.trunc(upper, slice_unit), F.expr(_STEPS[slice_unit])),
+    )
+    by_slice = span.withColumn("_slice", F.explode(touched))
+    sliced_facts = facts.withColumn("_fact_slice", F.trunc(within(day_of(time)), slice_unit))
     if strategy == "asof":
-        return _merge_in_order(sliced_facts, by_slice, key, time, attributes, how)
+        opens_early = F.col("_slice") == F.trunc(first, slice_unit)
+        begun = by_slice.withColumn("_day", F.when(opens_early, F.col("_from")).otherwise(F.greatest("_from", "_slice")))
+        return _merge_in_order(sliced_facts, begun, key, time, attributes, how)
     joined = sliced_facts.join(
         by_slice,
         (F.col(key) == F.col("_key")) & (F.col("_fact_slice") == F.col("_slice")) & in_force,
@@ -87,21 +94,14 @@ def pit_join(
 _STEPS = {"year": "INTERVAL 1 YEAR", "quarter": "INTERVAL 3 MONTH", "month": "INTERVAL 1 MONTH"}
 
 
-def _touched_slices(facts: DataFrame, time: str, unit: str, days: tuple[date, date] | None) -> Column:
-    """Slice starts touched by an interval, clipped to the days the facts span.
-
-    No fact lies outside those days, so nothing is lost; an interval outside
-    them touches no slice.
-    """
-    if days is None:
-        span = facts.select(F.struct(F.min(time).alias("first"), F.max(time).alias("last"))).scalar()
-        first, last = span["first"], span["last"]
-    else:
-        first, last = F.lit(days[0]), F.lit(days[1])
-    lower, upper = F.greatest(F.col("_from"), first), F.least(F.col("_until"), last)
-    return F.when(
-        lower <= upper, F.sequence(F.trunc(lower, unit), F.trunc(upper, unit), F.expr(_STEPS[unit]))
-    )
+def _slice_bounds(dim: DataFrame, days: tuple[date, date] | None) -> tuple[Column, Column]:
+    """First and last day between which the calendar is cut; nothing changes outside the default."""
+    if days is not None:
+        return F.lit(days[0]), F.lit(days[1])
+    changes = dim.agg(F.min("valid_to").alias("first"), F.max("valid_from").alias("last"))
+    first = F.coalesce(F.least("first", "last"), "last", F.lit(OPEN_END))
+    span = changes.select(F.struct(first.alias("first"), F.greatest("first", "last", F.lit(OPEN_START)).alias("last"))).scalar()
+    return span["first"], span["last"]
 
 
 def _merge_in_order(
@@ -109,20 +109,21 @@ def _merge_in_order(
 ) -> DataFrame:
     """Give each fact the last version begun by its day, if that version is still in force.
 
-    A version enters every slice it touches, at its start or at the slice's.
+    A version enters every slice it touches, at its start or at the slice's; the
+    first slice also holds all days before it.
     """
     fact_columns = [c for c in facts.columns if c != "_fact_slice"]
     observed = facts.select(
         F.col(key).alias("_key"),
         F.col("_fact_slice").alias("_slice"),
-        F.col(time).alias("_day"),
+        day_of(time).alias("_day"),
         F.lit(1).alias("_is_fact"),
         F.struct(*fact_columns).alias("_fact"),
     )
     begun = by_slice.select(
         "_key",
         "_slice",
-        F.greatest("_from", "_slice").alias("_day"),
+        "_day",
         F.lit(0).alias("_is_fact"),
         F.struct("_until", *attributes).alias("_version"),
     )
@@ -160,10 +161,13 @@ def both_labels(dim: DataFrame, key: str = "ticker", label: str = "gics_sector")
 
     The naive label is attached on the dimension, so the facts are joined once
     instead of twice. Keys without a current version drop out, as they would in
-    the naive join.
+    the naive join. A key with two current versions is an error: see
+    ``quality.current_row_violations`` for all of them.
     """
     whole_key = Window.partitionBy(key)
-    today = F.max(F.when(F.col("is_current"), F.col(label))).over(whole_key)
+    several = F.count_if(F.col("is_current")).over(whole_key) > 1
+    complaint = F.raise_error(F.concat(F.lit("more than one current version of "), F.col(key).cast("string")))
+    today = F.when(several, complaint.cast(dim.schema[label].dataType)).otherwise(F.max(F.when(F.col("is_current"), F.col(label))).over(whole_key))
     return require(dim.withColumn("sector_today", today), "sector_today")
 
 
@@ -176,7 +180,6 @@ def dual_label(
     label: str = "gics_sector",
     measure: str = "daily_return",
     strategy: str = "range",
-    co_located: bool = False,
 ) -> DataFrame:
     """Every measured fact with the label of its day and the label of today."""
     versions = both_labels(dim, key, label).withColumnRenamed(label, "sector_at_trade_date")
@@ -187,7 +190,6 @@ def dual_label(
         time=time,
         attributes=("version_number", "sector_at_trade_date", "sector_today"),
         strategy=strategy,
-        co_located=co_located,
     )
     return joined.withColumn(
         "is_misattributed", differs(F.col("sector_at_trade_date"), F.col("sector_today"))
@@ -199,7 +201,7 @@ def lookup(
 ) -> DataFrame:
     """Attributes of one key on one day."""
     return dim.filter(
-        (F.col(key) == F.lit(value)) & covers(F.lit(day), F.col("valid_from"), F.col("valid_to"))
+        (F.col(key) == F.lit(value)) & covers(day_of(F.lit(day)), F.col("valid_from"), F.col("valid_to"))
     ).select(*attributes)
 
 
@@ -221,12 +223,9 @@ def range_join_count(
     *,
     key: str = "ticker",
     time: str = "trade_date",
-    co_located: bool = False,
 ) -> DataFrame:
     """Number of fact and version pairs of the range join."""
-    pairs = pit_join(
-        facts.select(key, time), dim, key=key, time=time, attributes=(), co_located=co_located
-    )
+    pairs = pit_join(facts.select(key, time), dim, key=key, time=time, attributes=())
     return pairs.agg(F.count(F.lit(1)).alias("joined_rows"))
 
 
@@ -238,10 +237,6 @@ def scope_to(df: DataFrame, universe: DataFrame, key: str = "ticker") -> DataFra
     return df.join(universe.select(key), key, "left_semi")
 
 
-def join_on(left: DataFrame, right: DataFrame, key: str = "ticker") -> DataFrame:
-    return left.join(right, key)
-
-
 def mismatches(
     left: DataFrame, right: DataFrame, *, key: str = "ticker", tags: tuple[str, str] = ("left_only", "right_only")
 ) -> DataFrame:
@@ -269,7 +264,7 @@ def members_on(
     spans = merged_intervals(intervals, key=key, start=start, end=end).select(
         F.col(key).alias("_key"), F.col(start).alias("_start"), effective_end(F.col(end)).alias("_end")
     )
-    inside = (F.col(key) == F.col("_key")) & F.col(time).between(F.col("_start"), F.col("_end"))
+    inside = (F.col(key) == F.col("_key")) & day_of(time).between(F.col("_start"), F.col("_end"))
     return facts.join(spans, inside, "left_semi")
 
 
@@ -302,17 +297,18 @@ def merged_intervals(
 def match_counts(
     facts: DataFrame, dim: DataFrame, *, key: str = "ticker", time: str = "trade_date"
 ) -> DataFrame:
-    """How many versions cover each (key, day) of the facts, overlaps included.
+    """How many versions cover each (key, day) of the facts, times the facts of that day.
 
     Versions covering a day = versions begun by then minus versions ended before
     it: one ordered pass per key instead of a join. An inverted interval covers
     nothing and is left out.
     """
     upright = dim.filter(F.col("valid_from") <= effective_end(F.col("valid_to")))
+
     def marks(df: DataFrame, day: str, kind: int, opened: int, seen: int) -> DataFrame:
         return df.select(
             key,
-            F.col(day).alias("_day"),
+            day_of(day).alias("_day"),
             F.lit(kind).alias("_kind"),
             F.lit(opened).cast("bigint").alias("_opened"),
             F.lit(seen).cast("bigint").alias("_seen"),

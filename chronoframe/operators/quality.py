@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.functions import effective_end
+from chronoframe.functions import day_of, effective_end
 from chronoframe.model import CHANGE_REASONS, IntegrityError
 from chronoframe.operators.joins import match_counts
 
@@ -60,8 +60,8 @@ def gap_days(
         F.col("valid_to").alias("gap_starts_after"),
         F.lead("valid_from").over(history).alias("gap_ends_before"),
     ).filter(F.col("gap_ends_before") > F.date_add("gap_starts_after", 1))
-    inside = (F.col("_key") == F.col(key)) & (F.col(time) > F.col("gap_starts_after")) & (
-        F.col(time) < F.col("gap_ends_before")
+    inside = (F.col("_key") == F.col(key)) & (day_of(time) > F.col("gap_starts_after")) & (
+        day_of(time) < F.col("gap_ends_before")
     )
     observed = facts.select(F.col(key).alias("_key"), time)
     return observed.join(boundaries, inside).select(

@@ -52,9 +52,9 @@ def build_returns(prices: DataFrame, analysable: DataFrame, slice_unit: str | No
 
 
 def build_fact_pit(
-    fact_returns: DataFrame, dim: DataFrame, strategy: str = "range", co_located: bool = False
+    fact_returns: DataFrame, dim: DataFrame, strategy: str = "range"
 ) -> DataFrame:
-    labelled = dual_label(fact_returns, dim, strategy=strategy, co_located=co_located)
+    labelled = dual_label(fact_returns, dim, strategy=strategy)
     keyed = labelled.withColumn("sector_key", F.xxhash64("ticker", "version_number"))
     return keyed.select(*GOLD_FACT)
 

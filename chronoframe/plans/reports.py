@@ -48,22 +48,14 @@ def absent_report(anchor: DataFrame) -> DataFrame:
     )
 
 
-def worst_group(anchor: DataFrame) -> DataFrame:
-    return top_n(anchor, GAP, 1, tie="gics_sector")
-
-
 def kpi_report(anchor: DataFrame) -> DataFrame:
-    """The label with the largest gap, and totals over all labels."""
-    worst = worst_group(anchor)
-    totals = comparison.kpis(anchor)
-    return worst.select(
-        "gics_sector",
-        "difference_pp",
-        "comparison_start",
-        "analysis_end",
-        totals.select("role_assignments").scalar().alias("role_assignments"),
-        totals.select("entity_label_moves").scalar().alias("entity_label_moves"),
-    )
+    """The label with the largest gap (the first of equals), and totals over all labels; one aggregate."""
+    shown = ("gics_sector", "difference_pp", "comparison_start", "analysis_end")
+    ranked = F.struct((-F.col(GAP)).alias("_rank"), *shown)
+    worst = anchor.agg(
+        F.min(F.when(F.col(GAP).isNotNull(), ranked)).alias("_worst"), *comparison.kpi_totals()
+    ).filter(F.col("_worst").isNotNull())
+    return worst.select(*[F.col(f"_worst.{c}").alias(c) for c in shown], "role_assignments", "entity_label_moves")
 
 
 def gap_report(anchor: DataFrame) -> DataFrame:

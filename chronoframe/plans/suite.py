@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronoframe.model import CHANGE_REASONS, CHANGE_TYPES, EXCLUSION_CLASSES, JOIN_BASES
 from chronoframe.operators import quality as dq
+from chronoframe.plans.warehouse import MEMBERSHIP_TABLE
 
 NOT_NULL = {
     "bronze.daily_prices": ("ticker", "trade_date"),
@@ -30,6 +31,8 @@ UNIQUE = {
     "bronze.gics_sector_registry": (("gics_sector",),),
     "bronze.daily_prices": (("ticker", "trade_date"),),
     "bronze.sector_history": (("ticker", "first_trading_day"),),
+    "bronze.sp500_membership": (("ticker", "start_date"),),
+    "bronze.excluded_entities": (("ticker",),),
     "silver.ticker_universe": (("ticker",),),
     "silver.excluded_tickers": (("ticker", "present_in"),),
     "silver.stg_sector_events": (("ticker", "first_trading_day"),),
@@ -71,6 +74,8 @@ def warehouse_checks(spark: SparkSession) -> dict[str, DataFrame]:
     for name, columns in NOT_NULL.items():
         checks[f"not null: {name}"] = dq.not_null(table(name), columns)
     for name, keys in UNIQUE.items():
+        if name == MEMBERSHIP_TABLE and not spark.catalog.tableExists(name):
+            continue  # memberships need not be loaded
         for key in keys:
             checks[f"unique: {name} ({', '.join(key)})"] = dq.unique(table(name), key)
     for name, column, values in ACCEPTED:

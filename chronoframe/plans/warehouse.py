@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronoframe.model import IntegrityError, ReportingWindow
 from chronoframe.operators import scd2
-from chronoframe.operators.quality import warnings
+from chronoframe.operators.quality import assert_empty, current_row_violations, unique, warnings
 from chronoframe.plans import layers
 from chronoframe.sinks import analyze, create_namespaces, replace_table
 
@@ -73,14 +73,16 @@ def read_bronze(spark: SparkSession) -> layers.Bronze:
 
 
 def build_all(
-    spark: SparkSession, window: ReportingWindow, *, only: Sequence[str] = LAYERS, buckets: int = 64,
+    spark: SparkSession, window: ReportingWindow, *, buckets: int, only: Sequence[str] = LAYERS,
     strict: bool = False,
 ) -> BuildReport:
     """Build silver, gold or both, in dependency order.
 
     ``buckets`` is the bucket count of the fact tables; choose it so that one
-    bucket is a few hundred megabytes. ``strict`` turns non-empty diagnostics
-    into an error before the gold layer is touched.
+    bucket is a few hundred megabytes. Repeated (key, day) events or prices, a
+    replay that closes and opens unlike numbers of versions, and keys without
+    exactly one current version stop the build before gold is touched;
+    ``strict`` does the same for non-empty diagnostics.
     """
     unknown = set(only) - set(LAYERS)
     if unknown:
@@ -103,12 +105,16 @@ def build_all(
         events = store(
             "silver.stg_sector_events", lambda: scd2.stage_events(bronze.sector_history, analysable)
         )
+        assert_empty(unique(events, ["ticker", "first_trading_day"]), "repeated change events")
+        assert_empty(unique(bronze.daily_prices, ["ticker", "trade_date"]), "repeated prices")
+        assert_empty(scd2.replay_imbalance(analysable, events), "closed and opened versions")
         dim = store(
             "silver.dim_sector_scd",
             lambda: layers.build_dimension(analysable, events),
             sort_by=("ticker", "valid_from"),
             **by_key,
         )
+        assert_empty(current_row_violations(dim), "current versions")
         store("silver.dim_reconciliation", lambda: scd2.reconcile(dim, analysable))
         store(
             "silver.sector_existence_violations",
@@ -128,7 +134,7 @@ def build_all(
         dim = spark.table("silver.dim_sector_scd")
         fact = store(
             "gold.fact_returns_pit",
-            lambda: layers.build_fact_pit(spark.table("silver.fact_returns"), dim, co_located=True),
+            lambda: layers.build_fact_pit(spark.table("silver.fact_returns"), dim),
             cluster_by=("sector_at_trade_date", "trade_date"),
         )
         daily = store(

@@ -1,11 +1,10 @@
-"""Session helpers: where lineage is cut, and default settings for tests."""
+"""Session helpers: the shared folder, and default settings for tests."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "*", app: str = "chronoframe", **conf: str) -> SparkSession:
@@ -41,14 +40,3 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute once, write to the shared folder, and read the columns needed from there.
-
-    For a frame with several readers. Written Parquet survives the loss of any
-    executor, and every reader prunes columns and filters on its own.
-    """
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

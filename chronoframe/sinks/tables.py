@@ -44,7 +44,8 @@ def replace_table(
     """Replace the contents of a table; a failed write leaves the old contents.
 
     The new rows are written in full under another name and swapped in
-    afterwards, so ``df`` may read the table it replaces. ``bucket_by`` stores
+    afterwards, so ``df`` may read the table it replaces; if the swap fails half-way
+    the old table gets its name back. ``bucket_by`` stores
     the table hash-partitioned for shuffle-free joins and windows on that key.
     ``cluster_by`` takes a label and a date column and keeps each label's months
     together, sorted, so that filters on both skip files and row groups. The
@@ -80,9 +81,15 @@ def replace_table(
         spark.sql(f"DROP TABLE IF EXISTS {incoming}")
         raise
     replaces = spark.catalog.tableExists(name)
-    if replaces:
-        spark.sql(f"ALTER TABLE {name} RENAME TO {retired}")
-    spark.sql(f"ALTER TABLE {incoming} RENAME TO {name}")
+    try:
+        if replaces:
+            _rename(spark, name, retired)
+        _rename(spark, incoming, name)
+    except BaseException:
+        if replaces and not spark.catalog.tableExists(name):
+            _rename(spark, retired, name)
+        spark.sql(f"DROP TABLE IF EXISTS {incoming}")
+        raise
     if replaces:
         spark.sql(f"DROP TABLE {retired}")
     comment = TABLE_COMMENTS.get(name)
@@ -91,6 +98,10 @@ def replace_table(
         spark.sql(f"COMMENT ON TABLE {name} IS '{quoted}'")
 
 
+def _rename(spark: SparkSession, name: str, to: str) -> None:
+    spark.sql(f"ALTER TABLE {name} RENAME TO {to}")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Store a diagnostic as a table and read it back."""
     replace_table(df, name)

@@ -1,7 +1,10 @@
 """Readers. Every one returns typed frames; nothing is inferred from the data."""
 
-from chronoframe.sources.prices import Landing, corpus_profile, read_keyed_csv
+from chronoframe.sources.prices import Landing, corpus_profile, parse_lines, read_keyed_csv
 from chronoframe.sources.reference import (
+    idle_changes,
+    intervals_from_text,
+    log_from_text,
     read_change_log,
     read_holdouts,
     read_intervals,
@@ -9,11 +12,12 @@ from chronoframe.sources.reference import (
     read_seed,
     read_snapshot,
     read_table,
+    snapshot_from_text,
     validate_changes,
 )
 
 __all__ = [
-    "Landing", "corpus_profile", "read_change_log", "read_holdouts", "read_intervals",
+    "Landing", "corpus_profile", "idle_changes", "intervals_from_text", "log_from_text", "parse_lines", "read_change_log", "read_holdouts", "read_intervals",
     "read_keyed_csv", "read_registry", "read_seed", "read_snapshot", "read_table",
-    "validate_changes",
+    "snapshot_from_text", "validate_changes",
 ]

@@ -7,13 +7,12 @@ be read in full goes to the rejects, whole; it never costs the other files.
 
 from __future__ import annotations
 
-import posixpath
 from collections.abc import Mapping
 from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoframe.model import DAILY_PRICES, SourceError
@@ -33,10 +32,6 @@ MARKERS = ("Ticker", "Date")
 # Spellings of a missing number.
 MISSING = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None")
 
-# A side of at most this many short rows, counted first, is broadcast.
-BROADCAST_ROWS = 100_000
-
-
 @dataclass(frozen=True)
 class Landing:
     """Parsed rows, and the files left out as (file, reason)."""
@@ -45,24 +40,14 @@ class Landing:
     rejects: DataFrame
 
 
-def _counted_broadcast(df: DataFrame) -> tuple[DataFrame, int]:
-    """Broadcast a frame only after counting that it is small; the count stops early."""
-    n = df.limit(BROADCAST_ROWS + 1).count()
-    return (F.broadcast(df) if n <= BROADCAST_ROWS else df), n
-
-
-def _listed_files(spark: SparkSession, path: str) -> DataFrame | None:
-    """Names of all files, empty ones included, which no reader yields a row for.
-
-    The listing is the one the file source keeps on the driver in any case.
-    """
-    source = spark.read.option("pathGlobFilter", "*.csv").text(path)
-    names = [posixpath.basename(unquote(urlparse(uri).path)) for uri in source.inputFiles()]
-    return spark.createDataFrame(pa.table({"file": names})) if names else None
+# A comma that an even number of quotes follows.
+_BETWEEN_CELLS = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def _cells(line: Column) -> Column:
-    return F.transform(F.split(line, ","), lambda cell: F.trim(F.regexp_replace(cell, '["﻿]', "")))
+    """Cells of one line; a quoted cell may hold commas and doubled quotes."""
+    bare = lambda cell: F.regexp_replace(F.regexp_replace(F.trim(cell), '^"(.*)"$', "$1"), '""', '"')
+    return F.transform(F.split(F.regexp_replace(line, "^\ufeff", ""), _BETWEEN_CELLS), lambda cell: F.trim(bare(cell)))
 
 
 def read_keyed_csv(
@@ -73,99 +58,98 @@ def read_keyed_csv(
     renames: Mapping[str, str] = RENAMES,
     on_all_failed: str = "error",
 ) -> Landing:
-    expected = sorted([date_column, *renames])
-    listed = _listed_files(spark, path)
-    if listed is None:
+    """All CSV files of a folder; see ``parse_lines``. A file without any line is rejected too."""
+    source = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    # No reader yields a row for an empty file; the listing is the one the source keeps on the driver anyway.
+    names = [unquote(urlparse(uri).path).rpartition("/")[2] for uri in source.inputFiles()]
+    if not names:
         raise SourceError(f"no CSV files found in {path}")
-
-    lines = (
-        spark.read.option("pathGlobFilter", "*.csv")
-        .text(path)
-        .select(F.col("_metadata.file_name").alias("file"), "value")
-        .filter(F.trim("value") != "")
-    )
-    named = F.array_contains(_cells(F.col("value")), date_column)
-    headers = (
-        lines.filter(F.col("value").contains(date_column) & named)
-        .groupBy("file")
-        .agg(F.min("value").alias("header"))
-    )
-    layouts = listed.join(headers, "file", "left").select(
-        "file",
-        F.array_except(F.array(*[F.lit(c) for c in expected]), F.coalesce(_cells(F.col("header")), F.array())).alias("missing"),
-        "header",
-    )
-    incomplete = layouts.filter(F.size("missing") > 0).select(
-        "file",
-        F.concat(F.lit("missing expected columns ["), F.array_join("missing", ", "), F.lit("]")).alias("reason"),
-    )
-    complete = layouts.filter(F.size("missing") == 0).select("file", "header")
-
-    parsed = _parse(_with_layout(lines, complete), date_column, renames)
-    unreadable = (
-        parsed.groupBy("file")
-        .agg(F.count_if("_bad_date").alias("dates"), F.count_if("_bad_number").alias("numbers"))
-        .filter((F.col("dates") > 0) | (F.col("numbers") > 0))
-        .select(
-            "file",
-            F.concat(
-                F.lit("unparseable values: "), F.col("dates"), F.lit(" dates, "), F.col("numbers"), F.lit(" numbers")
-            ).alias("reason"),
-        )
-    )
-    good = parsed
-    bad, n_bad = _counted_broadcast(unreadable)
-    if n_bad:
-        good = parsed.join(bad.select("file"), "file", "left_anti")
-    rejects = incomplete.unionByName(unreadable) if n_bad else incomplete
-    if on_all_failed == "error" and listed.join(rejects, "file", "left_anti").isEmpty():
+    files = spark.createDataFrame(pa.table({"file": names}))
+    lines = source.select(F.col("_metadata.file_name").alias("file"), "value")
+    landed = parse_lines(lines, date_column=date_column, renames=renames)
+    nothing = F.lit(_missing_text(sorted([date_column, *renames])))
+    empty = files.join(lines.filter(F.trim("value") != "").select("file"), "file", "left_anti").select("file", nothing.alias("reason"))
+    rejects = landed.rejects.unionByName(empty)
+    if on_all_failed == "error" and files.join(rejects, "file", "left_anti").isEmpty():
         raise SourceError(f"every file in {path} failed to parse")
+    return Landing(landed.rows, rejects)
 
-    key = F.regexp_replace("file", r"\.csv$", "").alias("ticker")
-    columns = [f.name for f in DAILY_PRICES.fields if f.name in {"trade_date", *renames.values()}]
-    return Landing(good.select(key, *columns), rejects)
 
+def _missing_text(columns: list[str]) -> str:
+    return f"missing expected columns [{', '.join(columns)}]"
 
-def _with_layout(lines: DataFrame, complete: DataFrame) -> DataFrame:
-    """Give each line the header of its file.
 
-    When all files share one layout, the usual case, it is a constant and no
-    line moves. Otherwise headers are joined by file.
+def parse_lines(
+    lines: DataFrame, *, date_column: str = DATE_COLUMN, renames: Mapping[str, str] = RENAMES
+) -> Landing:
+    """Rows and rejected files from lines given as (file, value), in one shuffle by file.
+
+    A file is rejected as a whole when its header lacks a column or comes twice, a
+    marker line comes twice, a line has other than the header's number of cells, or a
+    date or number cannot be read. One file is one entity's series, which the calendar
+    bounds.
     """
-    known, _ = _counted_broadcast(complete)
-    distinct = complete.select("header").distinct().limit(2).collect()
-    if len(distinct) == 1:
-        scoped = lines.join(known.select("file"), "file", "left_semi")
-        return scoped.withColumn("header", F.lit(distinct[0]["header"]))
-    return lines.join(known, "file")
+    of_file = Window.partitionBy("file")
+    cells = lines.filter(F.trim("value") != "").select("file", _cells(F.col("value")).alias("_cells"))
+    is_header = F.array_contains("_cells", date_column)
+    first = F.get("_cells", F.lit(0))
+    known = cells.withColumns(
+        {
+            "_header": F.max(F.when(is_header, F.col("_cells"))).over(of_file),
+            "_headers": F.count_if(is_header).over(of_file),
+            "_is_header": is_header,
+            "_marker": F.when(~is_header & first.isin(*MARKERS), first),
+        }
+    )
+    names = F.coalesce("_header", F.array().cast("array<string>"))
+    expected = F.array(*[F.lit(c) for c in sorted([date_column, *renames])])
+    parsed = _values(known.withColumn("_missing", F.array_except(expected, names)), date_column, renames)
+    body = ~F.col("_is_header") & F.col("_marker").isNull()
+    problems = {
+        "headers": F.max("_headers") - 1,
+        **{f"{m} lines": F.count_if(F.col("_marker") == m) - 1 for m in MARKERS},
+        "lines of other length": F.count_if(F.size("_cells") != F.size("_header")),
+        "dates": F.count_if(body & F.col("_bad_date")),
+        "numbers": F.count_if(body & F.col("_bad_number")),
+    }
+    texts = [F.when(n > 0, F.concat_ws(" ", n.cast("string"), F.lit(what))) for what, n in problems.items()]
+    lacking = F.array_join(F.max("_missing"), ", ")
+    reason = F.when(lacking != "", F.concat(F.lit("missing expected columns ["), lacking, F.lit("]"))).otherwise(
+        F.concat(F.lit("unusable: "), F.nullif(F.concat_ws(", ", *texts), F.lit("")))
+    )
+    rejects = parsed.groupBy("file").agg(reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+    over = lambda flag: F.sum(flag.cast("int")).over(of_file)
+    faults = (F.size("_cells") != F.size("_header")) | (body & (F.col("_bad_date") | F.col("_bad_number")))
+    sound = (F.size("_missing") == 0) & (F.col("_headers") == 1) & (over(F.coalesce(faults, F.lit(True))) == 0)
+    for marker in MARKERS:
+        sound = sound & (over(F.coalesce(F.col("_marker") == marker, F.lit(False))) <= 1)
+    key = F.regexp_replace("file", r"\.csv$", "").alias("ticker")
+    columns = [f.name for f in DAILY_PRICES.fields if f.name in {"trade_date", *renames.values()}]
+    rows = parsed.withColumn("_sound", sound).filter(F.col("_sound") & body).select(key, *columns)
+    return Landing(rows, rejects)
 
 
-def _parse(lines: DataFrame, date_column: str, renames: Mapping[str, str]) -> DataFrame:
-    names, cells = _cells(F.col("header")), _cells(F.col("value"))
-    split = lines.select("file", names.alias("_names"), cells.alias("_cells"))
+def _values(lines: DataFrame, date_column: str, renames: Mapping[str, str]) -> DataFrame:
+    """Typed values of each line under its file's header, and whether they could be read."""
 
     def raw(column: str) -> Column:
-        position = F.array_position("_names", column).cast("int")
-        text = F.get("_cells", position - 1)
+        text = F.get("_cells", F.array_position("_header", column).cast("int") - 1)
         return F.when(~text.isin(list(MISSING)), text)
 
-    first = F.get("_cells", F.lit(0))
-    body = split.filter(~F.coalesce(raw(date_column), first).isin(date_column, *MARKERS))
     day = raw(date_column).try_cast("date")
-    values, bad = [], F.lit(False)
+    values, bad = {}, F.lit(False)
     for source, target in renames.items():
         text = raw(source)
         number = text.try_cast("double")
         number = F.when(~F.isnan(number), number)
         bad = bad | (text.isNotNull() & number.isNull())
         if target in INTEGRAL:
-            whole = number.cast("bigint")
-            bad = bad | F.coalesce(whole.cast("double") != number, F.lit(False))
+            whole = number.try_cast("bigint")
+            bad = bad | F.coalesce(whole.cast("double") != number, number.isNotNull())
             number = whole
-        values.append(number.alias(target))
-    return body.select(
-        "file", day.alias("trade_date"), *values, day.isNull().alias("_bad_date"), bad.alias("_bad_number")
-    )
+        values[target] = number
+    return lines.withColumns({"trade_date": day, **values, "_bad_date": day.isNull(), "_bad_number": bad})
 
 
 def corpus_profile(df: DataFrame, key: str = "ticker", time: str = "trade_date") -> DataFrame:

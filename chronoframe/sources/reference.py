@@ -32,15 +32,22 @@ SNAPSHOT_RENAMES = {
 }
 
 
-def _text_columns(spark: SparkSession, path: str, names: Mapping[str, str]) -> DataFrame:
-    """All columns as text, selected by name, blanks as NULL."""
+def _text_columns(spark: SparkSession, path: str, names: Mapping[str, str], lines_within: bool = False) -> DataFrame:
+    """All columns as text, selected by name, blanks as NULL.
+
+    Files are split between tasks, unless cells may hold line breaks (``lines_within``).
+    """
     try:
-        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        raw = spark.read.option("header", True).option("multiLine", lines_within).option("escape", '"').csv(path)
     except AnalysisException as error:
         raise SourceError(f"cannot read {path}: {error.getErrorClass()}") from error
     missing = sorted(set(names) - set(raw.columns))
     if missing:
         raise SourceError(f"{path}: missing expected columns {missing}")
+    return _named(raw, names)
+
+
+def _named(raw: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return raw.select([blank_to_null(F.col(f"`{c}`")).alias(alias) for c, alias in names.items()])
 
 
@@ -65,32 +72,44 @@ def _shaped(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Today's attributes; the identifier keeps its leading zeros."""
-    text = _text_columns(spark, path, SNAPSHOT_RENAMES)
-    typed = text.withColumns(
+def snapshot_from_text(raw: DataFrame) -> DataFrame:
+    """Today's attributes from columns of text; the identifier keeps its leading zeros."""
+    typed = _named(raw, SNAPSHOT_RENAMES).withColumns(
         {"date_added": lenient_date(F.col("date_added")), "cik": padded_identifier(F.col("cik"))}
     )
     return _shaped(typed, CURRENT_SNAPSHOT)
 
 
-def read_change_log(spark: SparkSession, path: str) -> DataFrame:
-    """The change log, with strict dates and no change that changes nothing."""
-    text = _text_columns(spark, path, _by_schema(SECTOR_HISTORY))
-    dated = text.withColumns(
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    same = {c: c for c in SNAPSHOT_RENAMES}
+    return snapshot_from_text(_text_columns(spark, path, same, lines_within=True))
+
+
+def log_from_text(raw: DataFrame) -> DataFrame:
+    """The change log from columns of text, with strict dates."""
+    dated = _named(raw, _by_schema(SECTOR_HISTORY)).withColumns(
         {c: strict_date(F.col(c)) for c in ("effective_after_close", "first_trading_day")}
     )
-    log = _shaped(dated, SECTOR_HISTORY)
+    return _shaped(dated, SECTOR_HISTORY)
+
+
+def read_change_log(spark: SparkSession, path: str) -> DataFrame:
+    """The change log; a change that changes nothing is an error."""
+    log = log_from_text(_text_columns(spark, path, _by_schema(SECTOR_HISTORY)))
     validate_changes(log)
     return log
 
 
-def validate_changes(log: DataFrame, shown: int = 20) -> None:
-    """Raise on events whose old and new label are the same, naming the first few keys."""
-    idle = log.filter(F.col("old_gics_sector") == F.col("new_gics_sector")).select("ticker")
-    found = [row["ticker"] for row in idle.limit(shown).collect()]
-    if found:
-        raise SourceError(f"change log rows with identical old/new sector: {found}")
+def idle_changes(log: DataFrame) -> DataFrame:
+    """All events whose old and new label are the same."""
+    return log.filter(F.col("old_gics_sector") == F.col("new_gics_sector"))
+
+
+def validate_changes(log: DataFrame) -> None:
+    """Raise when ``idle_changes`` has rows, with their number and one key as a sample."""
+    found = idle_changes(log).agg(F.count(F.lit(1)).alias("n"), F.min("ticker").alias("sample")).first()
+    if found["n"]:
+        raise SourceError(f"{found['n']} events leave their label as it was, for instance of {found['sample']}")
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -105,17 +124,22 @@ def read_holdouts(spark: SparkSession, path: str) -> DataFrame:
     return _shaped(_text_columns(spark, path, _by_schema(EXCLUDED_ENTITIES)), EXCLUDED_ENTITIES)
 
 
+def intervals_from_text(raw: DataFrame) -> DataFrame:
+    """Membership intervals from columns of text; a start that cannot be read is NULL."""
+    dated = _named(raw, _by_schema(MEMBERSHIP)).withColumns({c: lenient_date(F.col(c)) for c in ("start_date", "end_date")})
+    return _shaped(dated, MEMBERSHIP)
+
+
 def read_intervals(spark: SparkSession, path: str) -> tuple[DataFrame, Observation]:
     """Membership intervals. Rows without a start are dropped.
 
     The observation holds ``dropped`` after the first action on the frame, so
     counting costs no pass of its own.
     """
-    text = _text_columns(spark, path, _by_schema(MEMBERSHIP))
-    dated = text.withColumns({c: lenient_date(F.col(c)) for c in ("start_date", "end_date")})
+    dated = intervals_from_text(_text_columns(spark, path, _by_schema(MEMBERSHIP)))
     dropped = Observation()
     counted = dated.observe(dropped, F.count_if(F.col("start_date").isNull()).alias("dropped"))
-    return _shaped(counted.filter(F.col("start_date").isNotNull()), MEMBERSHIP), dropped
+    return counted.filter(F.col("start_date").isNotNull()), dropped
 
 
 def read_seed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from chronoframe.model import ReportingWindow
 from chronoframe.operators import comparison, joins, scd2, windows
-from chronoframe.session import cut_lineage
 from queries.family import Family, r, rs
 from queries.mapping import WINDOW, Inputs
 
@@ -28,19 +27,15 @@ def daily(i: Inputs, relabel: bool = False) -> DataFrame:
 
 
 def anchor(i: Inputs, relabel: bool = False, hold_out: bool = False) -> DataFrame:
-    """Dimension and labelled fact are stored once; each has several readers.
-
-    ``hold_out`` leaves out customers whose history claims 5-LOW before it existed.
-    """
-    dim = cut_lineage(i.dim(relabel))
+    """``hold_out`` leaves out customers whose history claims 5-LOW before it existed."""
+    dim = i.dim(relabel)
     if hold_out:
         early = scd2.existence_violations(dim, i.registry(), WINDOW).filter(F.col("gics_sector") == "5-LOW")
         dim = joins.exclude(dim, early.select("ticker").distinct())
     labelled = joins.dual_label(i.returns(), dim).select(
         "ticker", "trade_date", "daily_return", "sector_at_trade_date", "sector_today", "is_misattributed"
     )
-    stored = cut_lineage(labelled)
-    return comparison.anchor_metric(comparison.group_daily(stored, WINDOW), stored, dim, WINDOW)
+    return comparison.anchor_metric(comparison.group_daily(labelled, WINDOW), labelled, dim, WINDOW)
 
 
 @FAMILY.query(DAILY + " FROM daily", "daily")
@@ -48,6 +43,18 @@ def group_daily(i: Inputs) -> DataFrame:
     return daily(i)
 
 
+@FAMILY.query(
+    f"""SELECT join_basis, gics_sector, trade_date, count(*) AS constituent_count,
+        {r("avg(CASE WHEN CAST(round(daily_return * 1000000) AS BIGINT) % 2 = 0 THEN daily_return END)", 'mean_return')}
+        FROM roles GROUP BY join_basis, gics_sector, trade_date""",
+    "roles",
+)
+def group_daily_null_returns(i: Inputs) -> DataFrame:
+    """Every other return, by its last digit, is missing; a mean is over those present."""
+    even = F.floor(F.col("daily_return") * 1000000 + 0.5).cast("bigint") % 2 == 0
+    return comparison.group_daily(fact(i).withColumn("daily_return", F.when(even, F.col("daily_return"))), WINDOW)
+
+
 @FAMILY.query(DAILY + " FROM daily_rl", "daily_rl")
 def group_daily_relabelled(i: Inputs) -> DataFrame:
     return daily(i, relabel=True)
@@ -72,30 +79,35 @@ def series_bounds(i: Inputs) -> DataFrame:
     return comparison.series_bounds(daily(i, relabel=True))
 
 
-@FAMILY.query("SELECT * FROM comparison_rl", "comparison_rl")
+@FAMILY.query("SELECT gics_sector, comparison_start, bases_present FROM labels_rl", "labels_rl")
 def comparison_window(i: Inputs) -> DataFrame:
     return comparison.comparison_window(daily(i, relabel=True))
 
 
-@FAMILY.query(f"SELECT join_basis, gics_sector, {r('cumulative_return')} FROM comparable_rl", "comparable_rl")
+@FAMILY.query(
+    f"""SELECT 'naive' AS join_basis, gics_sector, {r('naive_common', 'cumulative_return')} FROM labels_rl WHERE naive_common IS NOT NULL
+        UNION ALL SELECT 'point_in_time', gics_sector, {r('pit_common', 'cumulative_return')} FROM labels_rl WHERE pit_common IS NOT NULL""",
+    "labels_rl",
+)
 def comparable_returns(i: Inputs) -> DataFrame:
     return comparison.comparable(daily(i, relabel=True))
 
 
-@FAMILY.query(f"SELECT gics_sector, {r('cumulative_return')} FROM fullnaive_rl", "fullnaive_rl")
+@FAMILY.query(f"SELECT gics_sector, {r('naive_whole', 'cumulative_return')} FROM labels_rl WHERE naive_whole IS NOT NULL", "labels_rl")
 def full_window_naive(i: Inputs) -> DataFrame:
     return comparison.full_window_naive(daily(i, relabel=True))
 
 
 @FAMILY.query(
-    f"SELECT gics_sector, {rs('naive_cumulative_return', 'pit_cumulative_return')}, exists_in_naive_basis, exists_in_pit_basis FROM paired_rl",
-    "paired_rl",
+    f"""SELECT gics_sector, {r('naive_common', 'naive_cumulative_return')}, {r('pit_common', 'pit_cumulative_return')},
+        naive_common IS NOT NULL AS exists_in_naive_basis, pit_common IS NOT NULL AS exists_in_pit_basis FROM labels_rl""",
+    "labels_rl",
 )
 def paired_bases(i: Inputs) -> DataFrame:
     return comparison.pair_bases(comparison.comparable(daily(i, relabel=True)))
 
 
-@FAMILY.query("SELECT * FROM misattribution", "misattribution")
+@FAMILY.query("SELECT * FROM movers", "movers")
 def misattribution(i: Inputs) -> DataFrame:
     return comparison.misattribution(fact(i), WINDOW)
 
@@ -103,8 +115,7 @@ def misattribution(i: Inputs) -> DataFrame:
 @FAMILY.query(
     """
 SELECT gics_sector, count(*) AS misattributed_observations, count(DISTINCT ticker) AS reclassified_tickers
-FROM (SELECT ticker, sector_at_trade_date AS gics_sector FROM moved_rl UNION ALL SELECT ticker, sector_today FROM moved_rl)
-WHERE ticker IN (SELECT ticker FROM dim_rl WHERE change_reason = 'reclassification')
+FROM moved_rl SEMI JOIN (SELECT ticker FROM dim_rl WHERE change_reason = 'reclassification') real USING (ticker)
 GROUP BY gics_sector""",
     "moved_rl",
 )
@@ -115,7 +126,7 @@ def misattribution_without_renames(i: Inputs) -> DataFrame:
 
 
 @FAMILY.query(
-    "SELECT count(*) AS distinct_observations, count(DISTINCT ticker) AS distinct_entities FROM moved", "moved"
+    "SELECT count(*) AS distinct_observations, count(DISTINCT ticker) AS distinct_entities FROM moved WHERE join_basis = 'naive'", "moved"
 )
 def misattribution_counted_once(i: Inputs) -> DataFrame:
     return comparison.distinct_misattribution(fact(i), WINDOW)

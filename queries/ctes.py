@@ -1,4 +1,4 @@
-"""SQL definitions of the same roles, for the oracle; written independently of the operators."""
+"""SQL definitions of the same roles, for the oracle: other formulations than those of the operators."""
 
 from __future__ import annotations
 
@@ -63,70 +63,54 @@ def _facts(tag: str) -> dict[str, tuple[tuple[str, ...], str]]:
             JOIN dim{tag} p ON p.ticker = r.ticker AND r.trade_date BETWEEN p.valid_from AND coalesce(p.valid_to, DATE '9999-12-31')
             JOIN dim{tag} n ON n.ticker = r.ticker AND n.is_current
             WHERE r.daily_return IS NOT NULL"""),
-        f"daily{tag}": ((f"fact{tag}",), f"""
+        # Both roles of an observation as a list, spread once: every later figure is taken from these rows.
+        f"roles{tag}": ((f"fact{tag}",), f"""
+            SELECT ticker, trade_date, daily_return, is_misattributed,
+                   unnest(['point_in_time', 'naive']) AS join_basis,
+                   unnest([sector_at_trade_date, sector_today]) AS gics_sector
+            FROM fact{tag} WHERE trade_date {WINDOW_SQL}"""),
+        f"daily{tag}": ((f"roles{tag}",), f"""
             SELECT join_basis, gics_sector, trade_date, count(*) AS constituent_count,
-                   avg(daily_return) AS mean_return
-            FROM (SELECT 'point_in_time' AS join_basis, sector_at_trade_date AS gics_sector, trade_date, daily_return FROM fact{tag}
-                  UNION ALL
-                  SELECT 'naive', sector_today, trade_date, daily_return FROM fact{tag})
-            WHERE trade_date {WINDOW_SQL}
-            GROUP BY ALL"""),
-        f"comparison{tag}": ((f"daily{tag}",), f"""
-            SELECT gics_sector, max(first_date) AS comparison_start, count(*) AS bases_present
-            FROM (SELECT join_basis, gics_sector, min(trade_date) AS first_date FROM daily{tag} GROUP BY ALL)
-            GROUP BY gics_sector"""),
-        f"comparable{tag}": ((f"daily{tag}", f"comparison{tag}"), f"""
-            SELECT join_basis, gics_sector, exp(sum({GUARD})) - 1 AS cumulative_return
-            FROM daily{tag} JOIN comparison{tag} USING (gics_sector)
-            WHERE trade_date >= comparison_start GROUP BY ALL"""),
-        f"fullnaive{tag}": ((f"daily{tag}",), f"""
-            SELECT gics_sector, exp(sum({GUARD})) - 1 AS cumulative_return
-            FROM daily{tag} WHERE join_basis = 'naive' GROUP BY ALL"""),
-        f"paired{tag}": ((f"comparable{tag}",), f"""
-            SELECT coalesce(p.gics_sector, n.gics_sector) AS gics_sector,
-                   n.cumulative_return AS naive_cumulative_return, p.cumulative_return AS pit_cumulative_return,
-                   n.gics_sector IS NOT NULL AS exists_in_naive_basis, p.gics_sector IS NOT NULL AS exists_in_pit_basis
-            FROM (SELECT * FROM comparable{tag} WHERE join_basis = 'point_in_time') p
-            FULL JOIN (SELECT * FROM comparable{tag} WHERE join_basis = 'naive') n ON n.gics_sector = p.gics_sector"""),
-        f"moved{tag}": ((f"fact{tag}",), f"""
-            SELECT ticker, sector_at_trade_date, sector_today FROM fact{tag}
-            WHERE is_misattributed AND trade_date {WINDOW_SQL}"""),
-        f"misattribution{tag}": ((f"moved{tag}",), f"""
-            SELECT gics_sector, count(*) AS misattributed_observations, count(DISTINCT ticker) AS reclassified_tickers
-            FROM (SELECT ticker, sector_at_trade_date AS gics_sector FROM moved{tag}
-                  UNION ALL SELECT ticker, sector_today FROM moved{tag})
+                   sum(daily_return) / count(daily_return) AS mean_return
+            FROM roles{tag} GROUP BY join_basis, gics_sector, trade_date"""),
+        f"growth{tag}": ((f"daily{tag}",), f"""
+            SELECT gics_sector, join_basis, trade_date, {GUARD} AS g,
+                   min(trade_date) FILTER (join_basis = 'naive') OVER label AS naive_from,
+                   min(trade_date) FILTER (join_basis <> 'naive') OVER label AS pit_from
+            FROM daily{tag} WINDOW label AS (PARTITION BY gics_sector)"""),
+        f"labels{tag}": ((f"growth{tag}",), f"""
+            SELECT gics_sector, max(greatest(naive_from, pit_from)) AS comparison_start,
+                   count(DISTINCT join_basis) AS bases_present,
+                   exp(sum(g) FILTER (join_basis = 'naive')) - 1 AS naive_whole,
+                   exp(sum(g) FILTER (join_basis = 'naive' AND trade_date >= greatest(naive_from, pit_from))) - 1 AS naive_common,
+                   exp(sum(g) FILTER (join_basis <> 'naive' AND trade_date >= greatest(naive_from, pit_from))) - 1 AS pit_common
+            FROM growth{tag} GROUP BY gics_sector"""),
+        f"days{tag}": ((f"daily{tag}",), f"SELECT DISTINCT trade_date FROM daily{tag}"),
+        f"moved{tag}": ((f"roles{tag}",), f"SELECT ticker, gics_sector, join_basis FROM roles{tag} WHERE is_misattributed"),
+        f"movers{tag}": ((f"moved{tag}",), f"""
+            SELECT gics_sector, sum(times)::BIGINT AS misattributed_observations, count(*) AS reclassified_tickers
+            FROM (SELECT gics_sector, ticker, count(*) AS times FROM moved{tag} GROUP BY gics_sector, ticker)
             GROUP BY gics_sector"""),
-        f"birth{tag}": ((f"dim{tag}",), f"""
-            SELECT gics_sector, min(valid_from) AS sector_existed_from FROM dim{tag} GROUP BY gics_sector"""),
-        f"days{tag}": ((f"fact{tag}",), f"""
-            SELECT DISTINCT trade_date FROM fact{tag} WHERE trade_date {WINDOW_SQL}"""),
-        f"absent{tag}": ((f"birth{tag}", f"days{tag}"), f"""
-            SELECT b.gics_sector, b.sector_existed_from,
-                   (SELECT count(*) FROM days{tag}) AS trading_days_in_window,
-                   (SELECT count(*) FROM days{tag} d WHERE d.trade_date < b.sector_existed_from) AS trading_days_sector_absent
-            FROM birth{tag} b"""),
-        f"anchor{tag}": (
-            (f"paired{tag}", f"comparison{tag}", f"fullnaive{tag}", f"misattribution{tag}", f"absent{tag}", f"days{tag}"), f"""
-            SELECT p.gics_sector, DATE '1996-01-01' AS analysis_start, DATE '2000-12-31' AS analysis_end,
-                   c.comparison_start,
-                   100 * p.naive_cumulative_return AS naive_cumulative_return,
-                   100 * p.pit_cumulative_return AS pit_cumulative_return,
-                   100 * (p.naive_cumulative_return - p.pit_cumulative_return) AS difference_pp,
-                   abs(100 * (p.naive_cumulative_return - p.pit_cumulative_return)) AS abs_difference_pp,
-                   100 * f.cumulative_return AS naive_full_window_return,
-                   p.exists_in_naive_basis, p.exists_in_pit_basis,
-                   coalesce(m.reclassified_tickers, 0) AS reclassified_tickers,
-                   coalesce(m.misattributed_observations, 0) AS misattributed_observations,
-                   a.sector_existed_from,
-                   (SELECT count(*) FROM days{tag}) AS trading_days_in_window,
-                   coalesce(a.trading_days_sector_absent, 0) AS trading_days_sector_absent,
-                   round(100.0::DOUBLE * coalesce(a.trading_days_sector_absent, 0)
-                         / nullif((SELECT count(*) FROM days{tag}), 0), 4) AS pct_period_sector_absent
-            FROM paired{tag} p
-            LEFT JOIN comparison{tag} c USING (gics_sector)
-            LEFT JOIN fullnaive{tag} f USING (gics_sector)
-            LEFT JOIN misattribution{tag} m USING (gics_sector)
-            LEFT JOIN absent{tag} a USING (gics_sector)"""),
+        f"absent{tag}": ((f"dim{tag}", f"days{tag}"), f"""
+            WITH calendar AS (SELECT list(trade_date) AS observed FROM days{tag}),
+            born AS (SELECT gics_sector, min(valid_from) AS sector_existed_from FROM dim{tag} GROUP BY gics_sector)
+            SELECT gics_sector, sector_existed_from, len(observed) AS trading_days_in_window,
+                   len(list_filter(observed, lambda day: day < sector_existed_from)) AS trading_days_sector_absent
+            FROM born, calendar"""),
+        f"anchor{tag}": ((f"labels{tag}", f"movers{tag}", f"absent{tag}", f"days{tag}"), f"""
+            SELECT l.gics_sector, DATE '1996-01-01' AS analysis_start, DATE '2000-12-31' AS analysis_end, comparison_start,
+                   100 * naive_common AS naive_cumulative_return, 100 * pit_common AS pit_cumulative_return,
+                   100 * naive_common - 100 * pit_common AS difference_pp,
+                   abs(100 * naive_common - 100 * pit_common) AS abs_difference_pp,
+                   100 * naive_whole AS naive_full_window_return,
+                   naive_common IS NOT NULL AS exists_in_naive_basis, pit_common IS NOT NULL AS exists_in_pit_basis,
+                   ifnull(reclassified_tickers, 0) AS reclassified_tickers,
+                   ifnull(misattributed_observations, 0) AS misattributed_observations,
+                   sector_existed_from, observed.n AS trading_days_in_window,
+                   ifnull(trading_days_sector_absent, 0) AS trading_days_sector_absent,
+                   round(ifnull(trading_days_sector_absent, 0) * 100.0::DOUBLE / observed.n, 4) AS pct_period_sector_absent
+            FROM labels{tag} l CROSS JOIN (SELECT count(*) AS n FROM days{tag}) observed
+            LEFT JOIN movers{tag} USING (gics_sector) LEFT JOIN absent{tag} USING (gics_sector)"""),
     }
 
 
@@ -137,9 +121,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"""),
     "named_prices": ((), """
-        SELECT 'Customer-' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS ticker, CAST(l_shipdate AS DATE) AS trade_date
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2"""),
+        SELECT DISTINCT printf('Customer-%09d', o_custkey) AS ticker, CAST(l_shipdate AS DATE) AS trade_date
+        FROM lineitem, orders WHERE l_orderkey = o_orderkey"""),
     "chained": (("prices",), """
         SELECT *, lag(close_price) OVER (PARTITION BY ticker ORDER BY trade_date) AS prev_close FROM prices"""),
     "returns": (("chained",), """
@@ -185,7 +168,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         AS t(gics_sector, existed_from, existed_to)"""),
     "named_snapshot": ((), """
         SELECT c_name AS ticker, nullif(c_mktsegment, 'FURNITURE') AS gics_sector, CAST(c_nationkey AS VARCHAR) AS gics_sub_industry
-        FROM customer WHERE c_mktsegment <> 'MACHINERY'"""),
+        FROM customer WHERE c_mktsegment <> 'MACHINERY'
+        UNION ALL SELECT s_name, 'SUPPLIER', CAST(s_nationkey AS VARCHAR) FROM supplier"""),
     "holdouts": ((), """
         SELECT replace(c_name, '#', '-') AS ticker,
                CASE WHEN c_acctbal < -500 THEN 'entity_discontinuity' ELSE 'unverified_sector_history' END AS exclusion_class,

@@ -103,6 +103,44 @@ def pit_join_user_events(i: Inputs) -> DataFrame:
     return joins.pit_join(events, i.user_dim(), strategy="sliced", slice_unit="month")
 
 
+_STAMPED = f"""
+SELECT f.event_id, f.ticker, d.gics_sector
+FROM (SELECT event_id, user_id AS ticker, CAST(ts AS DATE) AS trade_date FROM events) f
+JOIN dim_user d ON d.ticker = f.ticker AND {IN_FORCE}"""
+
+
+def _stamped(i: Inputs, **how) -> DataFrame:
+    """Events as they come, with a timestamp; the label of the day is wanted."""
+    events = i.table("events").select("event_id", F.col("user_id").alias("ticker"), "ts")
+    return joins.pit_join(events, i.user_dim(), time="ts", **how).drop("ts")
+
+
+@FAMILY.query(_STAMPED, "dim_user")
+def pit_join_timestamp_range(i: Inputs) -> DataFrame:
+    return _stamped(i)
+
+
+@FAMILY.query(_STAMPED, "dim_user")
+def pit_join_timestamp_sliced(i: Inputs) -> DataFrame:
+    return _stamped(i, strategy="sliced", slice_unit="month")
+
+
+@FAMILY.query(_STAMPED, "dim_user")
+def pit_join_timestamp_asof(i: Inputs) -> DataFrame:
+    return _stamped(i, strategy="asof", slice_unit="month")
+
+
+@FAMILY.query(
+    f"SELECT f.ticker, f.trade_date, d.gics_sector FROM prices f JOIN dim_gap d ON d.ticker = f.ticker AND {IN_FORCE}",
+    "prices",
+    "dim_gap",
+)
+def pit_join_asof_narrow_days(i: Inputs) -> DataFrame:
+    """A calendar cut within two years only; facts before and after keep their labels."""
+    facts = i.prices().select("ticker", "trade_date")
+    return joins.pit_join(facts, i.gapped_dim(), strategy="asof", slice_unit="quarter", days=(date(1996, 5, 17), date(1998, 2, 3)))
+
+
 @FAMILY.query(
     "SELECT gics_sector FROM dim WHERE ticker = 42 AND DATE '1998-06-15' BETWEEN valid_from AND coalesce(valid_to, DATE '9999-12-31')",
     "dim",
@@ -135,9 +173,8 @@ def range_join_count(i: Inputs) -> DataFrame:
 
 @FAMILY.query(
     f"""
-SELECT f.ticker, f.trade_date, count(d.ticker) AS matching_dimension_rows
-FROM prices f LEFT JOIN dim_broken d ON d.ticker = f.ticker AND {IN_FORCE}
-GROUP BY f.ticker, f.trade_date""",
+SELECT ticker, trade_date, (SELECT count(*) FROM dim_broken d WHERE d.ticker = f.ticker AND {IN_FORCE}) AS matching_dimension_rows
+FROM prices f""",
     "prices",
     "dim_broken",
 )

@@ -64,17 +64,9 @@ class Inputs:
         return _daily_close(self._shipments(orders))
 
     def named_prices(self) -> DataFrame:
-        """Prices of urgent orders under hyphenated customer names."""
-        urgent = (
-            self.table("orders")
-            .filter(F.col("o_orderpriority") == "1-URGENT")
-            .select("o_orderkey", "o_custkey")
-        )
-        daily = _daily_close(
-            self._shipments(urgent).withColumn("ticker", F.col("o_custkey"))
-        )
+        """Prices under hyphenated customer names."""
         name = F.concat(F.lit("Customer-"), F.lpad(F.col("ticker").cast("string"), 9, "0"))
-        return daily.withColumn("ticker", name)
+        return self.prices().withColumn("ticker", name)
 
     def returns(self, slice_unit: str | None = None) -> DataFrame:
         return windows.returns(self.prices(), keep=("volume",), slice_unit=slice_unit)
@@ -213,8 +205,14 @@ class Inputs:
 
     # --- named entities for the universe ----------------------------------
     def named_snapshot(self) -> DataFrame:
-        """Customers outside MACHINERY; FURNITURE customers have no label."""
-        return (
+        """Customers outside MACHINERY, of whom FURNITURE has no label, and all suppliers, which have no price."""
+        suppliers = self.table("supplier").select(
+            F.col("s_name").alias("ticker"),
+            F.col("s_name").alias("security_name"),
+            F.lit("SUPPLIER").alias("gics_sector"),
+            F.col("s_nationkey").cast("string").alias("gics_sub_industry"),
+        )
+        customers = (
             self.table("customer")
             .filter(F.col("c_mktsegment") != "MACHINERY")
             .select(
@@ -224,6 +222,7 @@ class Inputs:
                 F.col("c_nationkey").cast("string").alias("gics_sub_industry"),
             )
         )
+        return customers.unionByName(suppliers)
 
     def holdouts(self) -> DataFrame:
         """Customers in debt."""

@@ -12,7 +12,6 @@ from queries.family import Family
 from queries.mapping import Inputs
 
 FAMILY = Family()
-IN_FORCE = "f.trade_date BETWEEN d.valid_from AND coalesce(d.valid_to, DATE '9999-12-31')"
 
 
 @FAMILY.query(
@@ -29,6 +28,23 @@ def dq_overlaps(i: Inputs) -> DataFrame:
     return dq.overlaps(i.broken_dim())
 
 
+@FAMILY.query(
+    "SELECT ticker, sum(is_current::INTEGER)::BIGINT AS current_row_count FROM dim_broken GROUP BY ticker HAVING current_row_count >= 2", "dim_broken"
+)
+def two_current_today(i: Inputs) -> DataFrame:
+    """Keys that carry two labels today; the dual-label join refuses them."""
+    return dq.current_row_violations(i.broken_dim()).filter("current_row_count > 1")
+
+
+@FAMILY.query(
+    "SELECT ticker, first_trading_day, 2::BIGINT AS occurrences FROM log WHERE new_gics_sector = '1-URGENT'", "log"
+)
+def duplicate_events(i: Inputs) -> DataFrame:
+    """A log in which the changes to 1-URGENT came twice; the build stops on it."""
+    log = i.change_log()
+    return dq.unique(log.unionByName(log.filter(F.col("new_gics_sector") == "1-URGENT")), ["ticker", "first_trading_day"])
+
+
 @FAMILY.query(
     "SELECT ticker, count(*) FILTER (is_current) AS current_row_count FROM dim_broken GROUP BY ticker HAVING count(*) FILTER (is_current) <> 1",
     "dim_broken",
@@ -39,9 +55,12 @@ def dq_current(i: Inputs) -> DataFrame:
 
 @FAMILY.query(
     """
-SELECT b.ticker, b.gap_starts_after, b.gap_ends_before, p.trade_date AS orphaned_trading_day
-FROM (SELECT ticker, valid_to AS gap_starts_after, lead(valid_from) OVER (PARTITION BY ticker ORDER BY valid_from) AS gap_ends_before FROM dim_gap) b
-JOIN prices p ON p.ticker = b.ticker AND p.trade_date > b.gap_starts_after AND p.trade_date < b.gap_ends_before""",
+-- An observed day is orphaned if the last version begun before it has ended and another one follows.
+SELECT p.ticker, d.valid_to AS gap_starts_after,
+       (SELECT min(n.valid_from) FROM dim_gap n WHERE n.ticker = p.ticker AND n.valid_from > p.trade_date) AS gap_ends_before,
+       p.trade_date AS orphaned_trading_day
+FROM prices p ASOF JOIN dim_gap d ON d.ticker = p.ticker AND p.trade_date >= d.valid_from
+WHERE d.valid_to < p.trade_date AND gap_ends_before IS NOT NULL""",
     "dim_gap",
     "prices",
 )
@@ -49,10 +68,15 @@ def dq_gaps(i: Inputs) -> DataFrame:
     return dq.gap_days(i.gapped_dim(), i.prices())
 
 
-_INTEGRITY = f"""
-SELECT f.ticker, f.trade_date, count(d.ticker) AS matching_dimension_rows
-FROM prices f LEFT JOIN dim_broken d ON d.ticker = f.ticker AND {IN_FORCE}
-GROUP BY f.ticker, f.trade_date HAVING count(d.ticker) <> 1"""
+# Covered days spelled out one by one within the calendar of the prices, then looked up.
+_INTEGRITY = """
+, edges AS (SELECT min(trade_date) AS low, max(trade_date) AS high FROM prices),
+covered AS (
+  SELECT ticker, unnest(range(greatest(valid_from, low), least(ifnull(valid_to, high), high) + 1, INTERVAL 1 DAY))::DATE AS trade_date
+  FROM dim_broken, edges),
+counted AS (SELECT ticker, trade_date, count(*) AS n FROM covered GROUP BY ALL)
+SELECT ticker, trade_date, ifnull(n, 0) AS matching_dimension_rows
+FROM prices LEFT JOIN counted USING (ticker, trade_date) WHERE n IS DISTINCT FROM 1"""
 
 
 @FAMILY.query(_INTEGRITY, "prices", "dim_broken")
@@ -62,10 +86,10 @@ def dq_integrity(i: Inputs) -> DataFrame:
 
 @FAMILY.query(
     """
-SELECT l.ticker, count(d.ticker) AS dimension_rows
-FROM (SELECT DISTINCT ticker FROM log) l JOIN universe u USING (ticker)
-LEFT JOIN (SELECT ticker FROM dim WHERE change_reason = 'initial' OR gics_sector = '1-URGENT') d ON d.ticker = l.ticker
-GROUP BY l.ticker HAVING count(d.ticker) < 2""",
+-- An opening version alone is left where no change led to 1-URGENT.
+SELECT ticker, count(*) FILTER (change_reason = 'initial' OR gics_sector = '1-URGENT') AS dimension_rows
+FROM dim WHERE ticker IN (FROM log SELECT ticker INTERSECT FROM universe SELECT ticker)
+GROUP BY ticker HAVING dimension_rows < 2""",
     "log",
     "universe",
     "dim",

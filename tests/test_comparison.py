@@ -112,7 +112,7 @@ def test_misattribution_can_ignore_renames(fact, dim, rows):
 
 
 def test_totals_count_roles_and_the_distinct_form_counts_once(fact, dim, rows):
-    assert rows(comparison.kpis(anchor(fact, dim))) == [(6, 4)]
+    assert rows(anchor(fact, dim).agg(*comparison.kpi_totals())) == [(6, 4)]
     assert rows(comparison.distinct_misattribution(fact, W)) == [(3, 2)]
 
 

@@ -157,3 +157,38 @@ def test_merged_intervals(frame, rows):
         ("A", date(2020, 1, 11), date(2020, 1, 12)),
         ("A", date(2020, 2, 1), None),
     ]
+
+
+@pytest.mark.parametrize("strategy", joins.STRATEGIES)
+@pytest.mark.parametrize("days", [None, (date(2018, 9, 22), date(2018, 9, 23)), (date(1950, 1, 1), date(1950, 1, 2)), (date(2050, 1, 1), date(2050, 1, 2))])
+def test_timestamps_count_by_their_day_and_no_period_loses_facts(frame, dim, rows, strategy, days):
+    from datetime import datetime
+
+    stamps = [("G", datetime(2018, 9, 21, 23, 59)), ("G", datetime(2018, 9, 24, 0, 1)), ("G", datetime(2018, 9, 22, 12)), ("M", datetime(1990, 5, 1, 7)), ("M", datetime(2030, 5, 1, 7))]
+    facts = frame("ticker:s trade_date:t", stamps)
+    joined = joins.pit_join(facts, dim, strategy=strategy, slice_unit="month", days=days)
+    assert rows(joined, "ticker", "trade_date", "gics_sector") == sorted([
+        ("G", stamps[0][1], "IT"), ("G", stamps[1][1], "CS"), ("M", stamps[3][1], "IT"), ("M", stamps[4][1], "IT"),
+    ], key=repr)
+
+
+def test_timestamps_in_the_other_predicates(frame, dim, rows):
+    from datetime import datetime
+
+    from chronoframe.model import ReportingWindow
+    from chronoframe.operators import quality, shaping
+
+    facts = frame("ticker:s trade_date:t", [("G", datetime(2018, 9, 21, 18)), ("G", datetime(2018, 9, 23, 18))])
+    counts = joins.match_counts(facts, dim)
+    assert rows(counts) == [("G", date(2018, 9, 21), 1), ("G", date(2018, 9, 23), 0)]
+    assert quality.gap_days(dim, facts).count() == 1
+    assert shaping.in_window(facts, "trade_date", ReportingWindow.of("2018-09-01", "2018-09-21")).count() == 1
+    members = frame("ticker:s start_date:d end_date:d", [("G", "2018-09-01", "2018-09-21")])
+    assert joins.members_on(facts, members).count() == 1
+    assert rows(joins.lookup(dim, "G", datetime(2018, 9, 21, 23))) == [("IT",)]
+
+
+def test_two_current_versions_are_refused(frame, facts):
+    dim = frame(DIM, [("G", "x", "1900-01-01", None, True, 1), ("G", "a", "2018-09-21", None, True, 2), ("M", "IT", "1900-01-01", None, True, 1)])
+    with pytest.raises(Exception, match="more than one current version of G"):
+        joins.dual_label(facts, dim).collect()

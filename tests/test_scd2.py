@@ -157,18 +157,19 @@ def test_all_chains(universe, log, rows):
     ]
 
 
-def test_windowed_walk_equals_recursion(spark, universe, log, rows):
-    dim = scd2.build_scd2(universe, log)
-    dim.createOrReplaceTempView("dim_for_walk")
-    recursive = spark.sql("""
-        WITH RECURSIVE walk(ticker, valid_from, depth, sector_path) AS (
-            SELECT ticker, valid_from, 1, gics_sector FROM dim_for_walk WHERE version_number = 1
-            UNION ALL
-            SELECT n.ticker, n.valid_from, w.depth + 1, concat(w.sector_path, ' -> ', n.gics_sector)
-            FROM walk w JOIN LATERAL (SELECT * FROM dim_for_walk d WHERE d.ticker = w.ticker
-                 AND d.valid_from > w.valid_from ORDER BY d.valid_from LIMIT 1) n)
-        SELECT ticker, depth, sector_path FROM walk""")
-    assert rows(recursive) == rows(chains.chain_successor(dim), "ticker", "depth", "sector_path")
+def test_walks_of_long_histories_stay_linear(spark):
+    """Every row carries its own and the previous label only; the whole path comes once per key."""
+    day = "date_add(DATE '1950-01-01', CAST(id AS INT))"
+    dim = spark.range(2000).selectExpr(
+        "'A' AS ticker", "concat('label ', id % 7) AS gics_sector", "CAST(NULL AS STRING) AS gics_sub_industry", f"{day} AS valid_from",
+        f"IF(id = 1999, NULL, {day}) AS valid_to", "CAST(id + 1 AS INT) AS version_number", "'reclassification' AS change_reason",
+    )
+    for walk in (chains.chain_successor, chains.chain_calendar):
+        got = walk(dim).collect()
+        assert [r.depth for r in got] == list(range(1, 2001))
+        assert all(r.previous_label == f"label {(r.depth - 2) % 7}" for r in got[1:])
+        assert sum(len(str(r)) for r in got) < 600_000
+    assert len(chains.all_chains(dim).first().sector_path.split(" -> ")) == 2000
 
 
 def test_snapshot_check_changed_unchanged_new_and_vanished(frame, rows):

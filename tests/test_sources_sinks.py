@@ -19,23 +19,27 @@ def price_file(folder, ticker, body):
 
 
 def test_three_line_header_and_key_from_the_file_name(spark, tmp_path, rows):
-    price_file(tmp_path, "TEST", "2020-01-02,100.0,101.0,99.0,100.5,1000\n2020-01-03,102.0,103.0,101.0,101.5,1100.0\n")
-    price_file(tmp_path, "BRK-B", "2020-01-02,1.5,2.0,1.0,,\n\n")
+    price_file(tmp_path, "OAK", "2011-05-09,7.25,8.5,6.75,7.0,420\n2011-05-10,7.5,7.75,7.125,7.25,35.0\n")
+    price_file(tmp_path, "ELM-X+1", "2011-05-09,3.5,4.0,3.0,,\n\n")
     landed = sources.read_keyed_csv(spark, str(tmp_path))
     assert landed.rejects.isEmpty()
     assert landed.rows.columns == [f.name for f in DAILY_PRICES.fields]
     assert dict(landed.rows.dtypes)["volume"] == "bigint"
     assert rows(landed.rows, "ticker", "trade_date", "open_price", "close_price", "volume") == sorted([
-        ("TEST", date(2020, 1, 2), 100.5, 100.0, 1000),
-        ("TEST", date(2020, 1, 3), 101.5, 102.0, 1100),
-        ("BRK-B", date(2020, 1, 2), None, 1.5, None),
+        ("OAK", date(2011, 5, 9), 7.0, 7.25, 420),
+        ("OAK", date(2011, 5, 10), 7.25, 7.5, 35),
+        ("ELM-X+1", date(2011, 5, 9), None, 3.5, None),
     ], key=repr)
-    assert rows(sources.corpus_profile(landed.rows)) == [(3, 2, date(2020, 1, 2), date(2020, 1, 3))]
+    assert rows(sources.corpus_profile(landed.rows)) == [(3, 2, date(2011, 5, 9), date(2011, 5, 10))]
 
 
 def test_unreadable_files_are_set_aside_whole(spark, tmp_path, rows):
     price_file(tmp_path, "GOOD", "2020-01-02,1.0,1.0,1.0,1.0,10\n")
-    write(tmp_path, "NARROW.csv", "Price,Close\nTicker,N\nDate,\n2020-01-02,1.0\n")
+    write(tmp_path, "LEAN.csv", "Price,Open,Volume\n2011-05-09,4.5,12\n")
+    write(tmp_path, "QUOTED.csv", HEADER.format(t="Q") + '"2011-05-09","2.5",2.5,2.5,2.5,"1,250"\n')
+    write(tmp_path, "TWICE.csv", HEADER.format(t="T") + "Ticker,T,T,T,T,T\n2011-05-09,1,1,1,1,1\n")
+    write(tmp_path, "WIDE.csv", HEADER.format(t="W") + "2011-05-09,1,1,1,1,1,1\n")
+    write(tmp_path, "HEADS.csv", HEADER.format(t="H") + "Price,Close,High,Low,Open,Volume\n2011-05-09,1,1,1,1,1\n")
     price_file(tmp_path, "BADDAY", "2020-01-02,1.0,1.0,1.0,1.0,10\nsoon,1.0,1.0,1.0,1.0,10\n")
     price_file(tmp_path, "HALF", "2020-01-02,1.0,1.0,1.0,1.0,10.5\n")
     price_file(tmp_path, "WORD", "2020-01-02,abc,1.0,1.0,1.0,10\n")
@@ -43,10 +47,13 @@ def test_unreadable_files_are_set_aside_whole(spark, tmp_path, rows):
     landed = sources.read_keyed_csv(spark, str(tmp_path))
     assert rows(landed.rows, "ticker") == [("GOOD",)]
     rejects = {r.file: r.reason for r in landed.rejects.collect()}
-    assert rejects["NARROW.csv"] == "missing expected columns [High, Low, Open, Volume]"
-    assert rejects["BADDAY.csv"] == "unparseable values: 1 dates, 0 numbers"
-    assert rejects["HALF.csv"] == rejects["WORD.csv"] == "unparseable values: 0 dates, 1 numbers"
-    assert set(rejects) == {"NARROW.csv", "BADDAY.csv", "HALF.csv", "WORD.csv", "EMPTY.csv"}
+    assert rejects["LEAN.csv"] == "missing expected columns [Close, High, Low]"
+    assert rejects["BADDAY.csv"] == "unusable: 1 dates"
+    assert rejects["HALF.csv"] == rejects["WORD.csv"] == rejects["QUOTED.csv"] == "unusable: 1 numbers"
+    assert rejects["TWICE.csv"] == "unusable: 1 Ticker lines" and rejects["WIDE.csv"] == "unusable: 1 lines of other length"
+    assert rejects["HEADS.csv"] == "unusable: 1 headers"
+    assert rejects["EMPTY.csv"] == "missing expected columns [Close, High, Low, Open, Price, Volume]"
+    assert len(rejects) == 9
 
 
 def test_files_may_order_their_columns_differently(spark, tmp_path, rows):
@@ -87,15 +94,15 @@ LOG_HEADER = (
 
 def test_change_log(spark, tmp_path, rows):
     path = tmp_path / "log.csv"
-    path.write_text(LOG_HEADER + "GOOGL,Alphabet,reclassification,Information Technology,Communication Services,,,2018-09-21,2018-09-24,S1\n")
+    path.write_text(LOG_HEADER + "ELM,Elm Works,reclassification,Timber,Paper,,,2004-03-12,2004-03-15,note 7\n")
     log = sources.read_change_log(spark, str(path))
     assert rows(log, "ticker", "effective_after_close", "first_trading_day", "old_gics_sub_industry") == [
-        ("GOOGL", date(2018, 9, 21), date(2018, 9, 24), None)
+        ("ELM", date(2004, 3, 12), date(2004, 3, 15), None)
     ]
-    path.write_text(LOG_HEADER + "BAD,Bad,reclassification,Financials,Financials,,,2018-09-21,2018-09-24,S1\n")
-    with pytest.raises(SourceError, match=r"identical old/new sector: \['BAD'\]"):
+    path.write_text(LOG_HEADER + "".join(f"K{k:02},x,reclassification,Paper,Paper,,,2004-03-12,2004-03-15,n\n" for k in range(30)))
+    with pytest.raises(SourceError, match="30 events leave their label as it was, for instance of K00"):
         sources.read_change_log(spark, str(path))
-    path.write_text(LOG_HEADER + "BAD,Bad,reclassification,Financials,Energy,,,some day,2018-09-24,S1\n")
+    path.write_text(LOG_HEADER + "OAK,Oak,reclassification,Timber,Paper,,,some day,2004-03-15,n\n")
     with pytest.raises(Exception, match="not a date: some day"):
         sources.read_change_log(spark, str(path)).collect()
 
@@ -141,6 +148,19 @@ def test_replacing_a_table_from_itself_and_surviving_a_failed_load(spark, rows):
     analyze(spark, "silver.numbers", columns=True)
 
 
+def test_a_swap_that_fails_half_way_gives_the_old_table_back(spark, rows, monkeypatch):
+    from chronoframe.sinks import tables
+
+    create_namespaces(spark)
+    replace_table(spark.range(2), "silver.swapped")
+    plain = tables._rename
+    monkeypatch.setattr(tables, "_rename", lambda s, name, to: (_ for _ in ()).throw(OSError("no second rename")) if to == "silver.swapped" and "incoming" in name else plain(s, name, to))
+    with pytest.raises(OSError, match="second rename"):
+        replace_table(spark.range(5), "silver.swapped")
+    assert rows(spark.table("silver.swapped")) == [(0,), (1,)]
+    assert [t.name for t in spark.catalog.listTables("silver") if "swapped" in t.name] == ["swapped"]
+
+
 def test_bucketed_tables_join_and_window_without_a_shuffle(spark, frame):
     from chronoframe.operators import joins, windows
 
@@ -151,9 +171,13 @@ def test_bucketed_tables_join_and_window_without_a_shuffle(spark, frame):
     replace_table(facts, "silver.f_bucketed", sort_by=("ticker", "trade_date"), **how)
     replace_table(dim, "silver.d_bucketed", sort_by=("ticker", "valid_from"), **how)
     f, d = spark.table("silver.f_bucketed"), spark.table("silver.d_bucketed")
-    joined = joins.pit_join(windows.returns(f), d, co_located=True)
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "ShuffledHashJoin" in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = joins.pit_join(windows.returns(f), d)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
     assert joined.count() == 2
 
 
