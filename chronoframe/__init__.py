@@ -1,4 +1,4 @@
-"""Point-in-time correct analytics on Spark.
+"""As-of-day analytics on Spark.
 
 Sub-packages:
 

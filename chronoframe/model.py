@@ -156,6 +156,6 @@ COLUMN_COMMENTS = {
     "prev_close": "Close of the previous observed day; NULL on the first",
     "daily_return": "close / prev_close - 1; NULL, never zero, on the first day",
     "comparison_start": "First day on which both bases have a series",
-    "difference_pp": "Naive minus point-in-time over the common period, percentage points",
+    "difference_pp": "Under the label of today minus under the label of the day, over the common period, percentage points",
     "naive_full_window_return": "What a report that ignores label lifetimes would publish",
 }
