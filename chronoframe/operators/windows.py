@@ -30,7 +30,8 @@ def previous(
 ) -> DataFrame:
     """Value of the previous *observed* row of the same key.
 
-    ``tie`` orders rows of one key and time.
+    ``tie`` orders rows of one key and time. Rows without a key follow each other
+    like those of any key.
     """
     order = [time] if tie is None else [time, tie]
     if slice_unit is None:
@@ -40,8 +41,8 @@ def previous(
     sliced = df.withColumn("_slice", F.date_trunc(slice_unit, F.col(time)))
     last_of_slice = sliced.groupBy(key, "_slice").agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
     carried = last_of_slice.select(
-        key,
-        "_slice",
+        F.col(key).alias("_carried_key"),
+        F.col("_slice").alias("_carried_slice"),
         F.lag("_last").over(Window.partitionBy(key).orderBy("_slice")).alias("_carried"),
     )
     inside = Window.partitionBy(key, "_slice").orderBy(*order)
@@ -49,9 +50,13 @@ def previous(
         sliced.withColumns(
             {"_inner": F.lag(value).over(inside), "_position": F.row_number().over(inside)}
         )
-        .join(carried, [key, "_slice"], "left")
+        .join(
+            carried,
+            F.col(key).eqNullSafe(F.col("_carried_key")) & F.col("_slice").eqNullSafe(F.col("_carried_slice")),
+            "left",
+        )
         .withColumn(into, F.when(F.col("_position") == 1, F.col("_carried")).otherwise(F.col("_inner")))
-        .drop("_slice", "_inner", "_position", "_carried")
+        .drop("_slice", "_inner", "_position", "_carried", "_carried_key", "_carried_slice")
     )
 
 

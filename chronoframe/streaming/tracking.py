@@ -24,8 +24,8 @@ def apply_batch(
     table: str,
     run_ts: datetime,
     *,
+    order: str,
     key: str = KEY,
-    order: str | None = None,
     check_cols: Sequence[str] = ("current_gics_sector", "current_sub_industry"),
 ) -> None:
     """Fold one batch of source states into the tracked table.
@@ -33,14 +33,12 @@ def apply_batch(
     Several states of a key in one batch are reduced to the latest by ``order``.
     Running a batch twice changes nothing the second time.
     """
-    states = batch
-    if order is not None:
-        rest = [c for c in batch.columns if c != key]
-        states = (
-            batch.groupBy(key)
-            .agg(F.max_by(F.struct(*rest), F.col(order)).alias("_state"))
-            .select(key, *[F.col(f"_state.{c}").alias(c) for c in rest])
-        )
+    rest = [c for c in batch.columns if c != key]
+    states = (
+        batch.groupBy(key)
+        .agg(F.max_by(F.struct(*rest), F.col(order)).alias("_state"))
+        .select(key, *[F.col(f"_state.{c}").alias(c) for c in rest])
+    )
     if spark.catalog.tableExists(table):
         following = snapshot_check(
             spark.table(table), states, run_ts, key=key, check_cols=check_cols
@@ -55,6 +53,7 @@ def track(
     table: str,
     checkpoint: str,
     *,
+    order: str,
     clock: Callable[[], datetime] = datetime.now,
     **how,
 ) -> StreamingQuery:
@@ -62,7 +61,7 @@ def track(
 
     def fold(batch: DataFrame, _batch_id: int) -> None:
         if not batch.isEmpty():
-            apply_batch(batch.sparkSession, batch, table, clock(), **how)
+            apply_batch(batch.sparkSession, batch, table, clock(), order=order, **how)
 
     return (
         source.writeStream.foreachBatch(fold)
