@@ -84,3 +84,10 @@ def test_log_return(frame):
     assert by_day(windows.returns(prices), "log_return")["2020-01-02"] == pytest.approx(math.log(2))
 
 
+
+
+def test_rows_without_a_key_are_chained_alike_in_both_forms(frame, rows):
+    prices = frame(PRICES, [(None, "2020-01-31", 1.0), (None, "2020-02-03", 2.0), (None, "2020-02-04", 3.0), ("A", "2020-02-03", 9.0)])
+    plain = windows.previous(prices, "close_price")
+    assert rows(windows.previous(prices, "close_price", slice_unit="month")) == rows(plain)
+    assert [r.previous for r in plain.filter("ticker IS NULL").orderBy("trade_date").collect()] == [None, 1.0, 2.0]
