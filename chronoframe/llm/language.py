@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoframe.llm.text import slices
+
 GRAM = 3
 DIMENSIONS = 512
 UNKNOWN = "und"
-CHARS = 1 << 20
+CHARS = 1 << 19
 BLOCK = 8192
 
 
@@ -104,7 +106,7 @@ class LetterGrams:
         return out
 
 
-def text_pieces(texts: list[str | None], rows: int = 512):
+def text_pieces(texts: list[str | None], rows: int = 256):
     """Lists of (text number, piece) of bounded size."""
     out, size = [], 0
     for i, text in enumerate(texts):
@@ -133,7 +135,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
 
     def partial(batches):
         grams = LetterGrams(gram, dimensions)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1 << 23)):
             names = batch.column(1).to_pylist()
             known = sorted(set(names))
             number = {name: k for k, name in enumerate(known)}
@@ -175,7 +177,7 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: st
 
     def predict(batches):
         grams = LetterGrams(gram, dimensions)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1 << 22)):
             lowered = batch.column(0).to_pylist()
             best, value = np.full(len(lowered), -1), np.zeros(len(lowered))
             for pieces in joined_pieces(lowered, grams, dimensions):

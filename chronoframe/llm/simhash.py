@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
 
     def run(batches):
         for batch in batches:
-            got = np.array([fingerprint_of(x or b"", size) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            got = np.array([fingerprint_of(x.as_py() or b"", size) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], names=["doc_id", "fp"])
 
     return docs.select(F.col(doc_id), F.col(text).cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")

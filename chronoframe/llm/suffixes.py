@@ -35,7 +35,7 @@ from chronoframe.llm.text import BASE, mix, powers
 
 LENGTH, GRAM = 200, 32
 PIECE = 1 << 20
-SORTED_BYTES = 3 << 20
+SORTED_BYTES = 1 << 20
 WIDE = 17  # bits below the start in a packed stretch: anchor's place 8, windows 8, doubled 1
 
 
@@ -274,10 +274,13 @@ def repeated_windows(stretches: list[bytes], counts: np.ndarray, length: int) ->
     ends = np.cumsum(counts)
     starts = np.repeat(begin - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
     words = words_at(data, length)
-    is_start = np.zeros(len(data), bool)
-    is_start[starts] = True
-    order = suffix_order(data, length, words)
-    order = order[is_start[order]]
+    if 8 * len(starts) < len(data):  # too few suffixes matter for induction to pay
+        order = sort_directly(starts.copy(), words, length)
+    else:
+        is_start = np.zeros(len(data), bool)
+        is_start[starts] = True
+        order = suffix_order(data, length, words)
+        order = order[is_start[order]]
     same = adjacent_prefixes(order, words, length) >= length
     twice = np.zeros(len(data), bool)
     twice[order[:-1][same]] = True

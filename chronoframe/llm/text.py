@@ -121,5 +121,7 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema)], schema=schema)
+def slices(batch: pa.RecordBatch, size: int = PIECE):
+    """Parts of a batch of about so many bytes, one row at least."""
+    step = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
+    return (batch.slice(k, step) for k in range(0, batch.num_rows, step))
