@@ -1,12 +1,13 @@
 """Near and exact duplicates: SimHash, suffixes, paragraphs."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from chronoframe.llm import simhash, substring, suffixes
+from chronoframe.llm import resemblance, simhash, substring, suffixes
 from chronoframe.llm.graph import components
 
 
@@ -178,3 +179,54 @@ def test_similar_paragraphs_are_linked_and_others_not(spark):
     frame = spark.createDataFrame(rows, "band long, part long, key long, shingles array<long>").coalesce(1)
     links = frame.mapInArrow(substring._verified(0.8), "a long, b long").collect()
     assert {frozenset((r.a, r.b)) for r in links} == {frozenset((1, 2)), frozenset((2, 4))} and far
+
+
+def plain_jaccard(a, b):
+    def shingles(text):
+        words = re.findall(r"[a-z0-9]+", text.lower())
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def test_similar_documents_are_grouped_down_to_a_jaccard_of_four_fifths(spark):
+    rng = random.Random(10)
+    texts = []
+    for n in (30, 64, 127, 248) * 6:
+        words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+        texts.append(" ".join(words))
+        for edits in (1, 1 + n // 100, 1 + n // 50, 1 + n // 20):
+            for at in rng.sample(range(n), edits):
+                words[at] = "edited" + str(rng.random())[2:]
+            texts.append(" ".join(words))
+    texts += ["one two", "One, two!", "two one", "?", "!", " ! ", "", "x y z v w " * 2000, "x y z v w " * 1999]
+    rows = [(len(texts) - i, t) for i, t in enumerate(texts)]
+    alike = lambda i, j: plain_jaccard(texts[i], texts[j]) >= 0.8 if any(map(str.isalnum, texts[i])) and any(map(str.isalnum, texts[j])) else texts[i].strip() == texts[j].strip()
+    groups = groups_of(len(texts), alike)
+    assert sum(plain_jaccard(a, b) < 0.9 for i, a in enumerate(texts[:120]) for b in texts[:i] if plain_jaccard(a, b) >= 0.8) > 10
+    first = {g: min(rows[i][0] for i in range(len(rows)) if groups[i] == g) for g in groups}
+    got = resemblance.similar_documents(spark.createDataFrame([*rows, (None, None)], "doc_id long, text string")).collect()
+    want = [(i, first[g]) for (i, _), g in zip(rows, groups)] + [(None, first[groups[texts.index("")]])]
+    assert sorted(map(str, ((r.doc_id, r.component_id) for r in got))) == sorted(map(str, want))
+    assert resemblance.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_all_similar_sets_of_a_band_are_connected():
+    rng = random.Random(11)
+    for size in (2, 40, 300):
+        sets = [np.array(sorted(rng.sample(range(30), rng.randint(18, 30))), np.int64) for _ in range(size)]
+        near = lambda i, j: (n := len(set(sets[i]) & set(sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - n)
+        links = resemblance.similar(list(range(size)), sets, 0.8)
+        assert all(near(i, j) for i, j in links) and len(links) == size - len(set(groups_of(size, near)))
+
+
+def test_the_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(127)]
+    edited = [w if k not in (30, 90) else "other" for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited))], "doc_id long, text string")
+    assert plain_jaccard(" ".join(words), " ".join(edited)) >= 0.8
+    assert [r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()] == [1]
