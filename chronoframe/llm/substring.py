@@ -14,7 +14,7 @@ side. A passage is then cut alike wherever it stands.
 3. Components of the verified pairs are the classes. Where a document has paragraphs of
    classes with several members side by side and they make ``least_words`` words or more,
    these are reported; all but the first place of a class (by id, then position) are marked
-   as removed.
+   as removed. Texts too short for that are compared as wholes too, and reported from five words on.
 
 What a batch must look up goes through a bit table of fixed size, which loses nothing; the
 exact join follows.
@@ -39,6 +39,7 @@ WORDS, SIMILARITY = 5, 0.8
 REACH, BANDS = 5, 3
 FILTER_BITS = 24
 FAR = np.iinfo(np.uint64).max
+WHOLE = np.uint64(0x2545F4914F6CDD1D)
 
 
 def cut_after(hashes: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
@@ -60,17 +61,23 @@ def cut_after(hashes: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
 
 
 class Paragraphs:
-    """The paragraphs of a group of texts with at least one shingle."""
+    """The paragraphs of a group of texts with at least one shingle, then the texts of fewer than ``whole`` words as they are."""
 
-    def __init__(self, hashes: np.ndarray, at: np.ndarray, words: int, reach: int) -> None:
+    def __init__(self, hashes: np.ndarray, at: np.ndarray, words: int, reach: int, whole: int) -> None:
         ends = np.flatnonzero(cut_after(hashes, at, reach)) + 1
         starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
         keep = ends - starts >= words
-        self.starts, self.ends = starts[keep], ends[keep]
+        size = np.diff(at)
+        short = np.flatnonzero((size >= words) & (size < whole))
+        self.whole = np.repeat([False, True], (int(keep.sum()), len(short)))
+        self.starts, self.ends = np.concatenate((starts[keep], at[short])), np.concatenate((ends[keep], at[short + 1]))
         self.text = np.searchsorted(at, self.starts, "right") - 1
-        self.shingles = np.append(shingle_hashes(hashes, words), np.uint64(0))
-        self.last = self.ends - words + 1
-        self.edges = np.stack([self.starts, self.last], axis=1).ravel()
+        plain = np.append(shingle_hashes(hashes, words), np.uint64(0))
+        # Whole texts have shingles of their own, or one would be similar to a paragraph of itself.
+        self.shingles = np.concatenate((plain, mix(plain + WHOLE))) if len(short) else plain
+        self.first = self.starts + self.whole * len(plain)
+        self.last = self.first + (self.ends - self.starts) - words + 1
+        self.edges = np.stack([self.first, self.last], axis=1).ravel()
         self.key = np.add.reduceat(mix(self.shingles), self.edges)[::2] if len(self.starts) else np.zeros(0, np.uint64)
 
     def minima(self, band: int) -> np.ndarray:
@@ -79,7 +86,7 @@ class Paragraphs:
         return mix(low + np.uint64(band))
 
 
-def _bands(words: int, reach: int, count: int):
+def _bands(words: int, reach: int, count: int, whole: int):
     schema = pa.schema([("band", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
@@ -96,7 +103,7 @@ def _bands(words: int, reach: int, count: int):
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             for _, _, at, _, _, hashes in finder.groups(data, offsets):
-                found = Paragraphs(hashes, at, words, reach)
+                found = Paragraphs(hashes, at, words, reach, whole)
                 waiting.append(np.stack([found.key, *[found.minima(b) for b in range(count)]]))
                 held += len(found.key)
                 if held > 500_000:
@@ -157,7 +164,7 @@ def bit_table(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def _looked_up(docs: DataFrame, table: np.ndarray, bits: int, words: int, reach: int, of_shingles: bool, kind: str):
+def _looked_up(docs: DataFrame, table: np.ndarray, bits: int, words: int, reach: int, whole: int, of_shingles: bool, kind: str):
     """Paragraphs whose key may be in the table: their shingles, or where they stand."""
     shared = docs.sparkSession.sparkContext.broadcast(table)  # of fixed size
 
@@ -166,23 +173,23 @@ def _looked_up(docs: DataFrame, table: np.ndarray, bits: int, words: int, reach:
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             for first, _, at, starts, ends, hashes in finder.groups(data, offsets):
-                found = Paragraphs(hashes, at, words, reach)
+                found = Paragraphs(hashes, at, words, reach, whole)
                 hit = np.flatnonzero(present[found.key >> np.uint64(64 - bits)])
                 if not len(hit):
                     continue
                 key = pa.array(found.key[hit].view(np.int64))
                 if of_shingles:
                     _, one = np.unique(found.key[hit], return_index=True)
-                    rows = [np.unique(found.shingles[found.starts[i] : found.last[i]]).view(np.int64) for i in hit[one]]
+                    rows = [np.unique(found.shingles[found.first[i] : found.last[i]]).view(np.int64) for i in hit[one]]
                     column = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
                     yield pa.RecordBatch.from_arrays([key.take(pa.array(one)), column], names=["key", "shingles"])
                 else:
                     text = found.text[hit]
                     take, begin = pa.array(first + text), offsets[first + text]
                     place = [pa.array(x) for x in (found.starts[hit] - at[text], found.ends[hit] - at[text], starts[found.starts[hit]] - begin, ends[found.ends[hit] - 1] - begin)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), key, *place], names=["doc_id", "th", "key", "first_word", "last_word", "start", "end"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), key, pa.array(found.whole[hit]), *place], names=["doc_id", "th", "key", "whole", "first_word", "last_word", "start", "end"])
 
-    out = "key long, shingles array<long>" if of_shingles else f"doc_id {kind}, th int, key long, first_word long, last_word long, start long, end long"
+    out = "key long, shingles array<long>" if of_shingles else f"doc_id {kind}, th int, key long, whole boolean, first_word long, last_word long, start long, end long"
     return docs.mapInArrow(run, out)
 
 
@@ -236,12 +243,13 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     of one document and component come as one row.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    bands = docs.select(F.lower(text)).mapInArrow(_bands(words, reach, count), "band long, key long, n long")
+    whole = least_words + 2 * (words - 1)  # from here on the paragraphs of a copy make least_words, without its ends
+    bands = docs.select(F.lower(text)).mapInArrow(_bands(words, reach, count, whole), "band long, key long, n long")
     met = stored(bands.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_colliding, "kind int, band long, key long"), "colliding")
     pairs = met.where("kind = 1").select("band", "key")
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.hash(text, doc_id).alias("th"), F.lower(text).alias("t"))
 
-    fetched = _looked_up(keyed, bit_table(pairs, filter_bits), filter_bits, words, reach, True, kind).groupBy("key").agg(F.first("shingles").alias("shingles"))
+    fetched = _looked_up(keyed, bit_table(pairs, filter_bits), filter_bits, words, reach, whole, True, kind).groupBy("key").agg(F.first("shingles").alias("shingles"))
     crowds = pairs.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("band", F.lit(True).alias("crowd"))
     size = F.size("shingles")
     prefix = F.slice(F.sort_array("shingles"), F.lit(1), F.least(size, (size - F.ceil(F.lit(similarity) * size) + 2).cast("int")))
@@ -252,17 +260,21 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     classes = met.where("kind = 0").select(F.col("key").alias("node"), F.col("key").alias("root")).join(near.select("node"), "node", "left_anti").unionByName(near)
     classes = stored(classes.select(F.col("node").alias("key"), "root"), "classes")
 
-    found = _looked_up(keyed, bit_table(classes.select("key"), filter_bits), filter_bits, words, reach, False, kind).join(classes, "key")
-    own = Window.partitionBy("doc_id", "th").orderBy("first_word")
+    found = _looked_up(keyed, bit_table(classes.select("key"), filter_bits), filter_bits, words, reach, whole, False, kind).join(classes, "key")
+    own = Window.partitionBy("doc_id", "th", "whole").orderBy("first_word")
     gap = F.coalesce(F.col("first_word") != F.lag("last_word").over(own), F.lit(True)).cast("int")
     island = found.distinct().withColumn("island", F.sum(gap).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.sum(F.col("last_word") - F.col("first_word")).over(Window.partitionBy("doc_id", "th", "island"))
-    long_enough = stored(island.withColumn("total", total).where(F.col("total") >= least_words).select("doc_id", "th", "root", "start", "end", "first_word", "last_word", "island"), "paragraphs")
+    total = F.sum(F.col("last_word") - F.col("first_word")).over(Window.partitionBy("doc_id", "th", "whole", "island"))
+    long_enough = stored(island.withColumn("total", total).where(F.col("whole") | (F.col("total") >= least_words)).select("doc_id", "th", "whole", "root", "start", "end", "first_word", "last_word", "island"), "paragraphs")
     firsts = long_enough.groupBy("root").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     named = long_enough.join(firsts, "root").select("*", F.col("first.doc_id").alias("component_id"))
     removed = ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("start") == F.col("first.start")))
+    # A text that is reported as a whole needs no rows for its parts, unless these go and it stays.
+    of_text = F.max(F.when(F.col("whole"), F.col("removed").cast("int"))).over(Window.partitionBy("doc_id", "th"))
     return (
-        named.groupBy("doc_id", "th", "component_id", "island", removed.alias("removed"))
+        named.groupBy("doc_id", "th", "whole", "component_id", "island", removed.alias("removed"))
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.col("last_word") - F.col("first_word")).alias("words"))
+        .withColumn("of_text", of_text)
+        .where(F.col("whole") | F.col("of_text").isNull() | (F.col("removed").cast("int") > F.col("of_text")))
         .select("doc_id", "component_id", "start", "end", "words", "removed")
     )

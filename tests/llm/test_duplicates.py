@@ -230,3 +230,17 @@ def test_the_pipeline_drops_near_copies(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited))], "doc_id long, text string")
     assert plain_jaccard(" ".join(words), " ".join(edited)) >= 0.8
     assert [r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()] == [1]
+
+
+def test_copies_of_short_texts_are_reported(spark):
+    rng = random.Random(13)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    short = [prose(n) for n in range(5, 40) for _ in range(2)]
+    alone = [prose(n) for n in range(1, 40) for _ in range(3)]
+    rows = [(i, t) for i, t in enumerate(short)] + [(1000 + i, t) for i, t in enumerate(short)] + [(5000 + i, t) for i, t in enumerate(alone)]
+    found = substring.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {i for i, _ in rows if i < 5000}
+    assert all(r.component_id == r.doc_id % 1000 and r.removed == (r.doc_id >= 1000) for r in found)
+    texts = dict(rows)
+    assert all((r.start, r.end) == (0, len(texts[r.doc_id])) for r in found if r.words < 20)
+    assert len(found) == len({r.doc_id for r in found})
