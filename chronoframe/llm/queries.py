@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bpe, contamination, language, packing, simhash, substring, suffixes, topk, toxicity, warc
+from chronoframe.llm import bpe, contamination, divergence, language, packing, simhash, substring, suffixes, topk, toxicity, warc
 
 
 def fold(column: str, folds: int):
@@ -94,7 +94,11 @@ def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxic_passages, op3_suffix_dedup, op4_simhash_near_dedup, op5_warc_transactions, op6_packed_ids, op7_language_id, op8_exact_top_k, op9_benchmark_leaks, op10_bpe_lexicon)}
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxic_passages, op3_suffix_dedup, op4_simhash_near_dedup, op5_warc_transactions, op6_packed_ids, op7_language_id, op8_exact_top_k, op9_benchmark_leaks, op10_bpe_lexicon, op12_source_divergence)}
 ORACLES: dict[str, str] = {
     "op5_warc_transactions": """
         WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -117,4 +121,28 @@ ORACLES: dict[str, str] = {
         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op12_source_divergence": """
+        WITH docs AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        words AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+        kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+        langs AS (SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        seen AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM words GROUP BY lang, source, term),
+        counts AS (SELECT lang, g.source, k.term, coalesce(s.n, 0) AS n, k.n AS lang_n
+                   FROM groups g JOIN kept k USING (lang) LEFT JOIN seen s USING (lang, source, term)),
+        sized AS (SELECT *, sum(n) OVER (PARTITION BY lang, source)::HUGEINT AS size FROM counts),
+        smooth AS (SELECT c.lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (size + v) AS p,
+                          1 + (1000000000::HUGEINT * (lang_n + 1)) // (total + v) AS q FROM sized c JOIN langs USING (lang)),
+        between_ AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+                     FROM smooth a JOIN smooth b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+                  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN between_ x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+        both_ AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL
+                  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM smooth WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }
