@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bpe, contamination, divergence, language, packing, simhash, substring, suffixes, topk, toxicity, warc
+from chronoframe.llm import bpe, contamination, divergence, language, packing, repair, simhash, substring, suffixes, topk, toxicity, warc
 
 
 def fold(column: str, folds: int):
@@ -94,11 +94,28 @@ def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(conversations: DataFrame) -> tuple[DataFrame, Column]:
+    """The damaged rows, and which of them are present."""
+    space = F.lit(" ")
+    name, turn = (F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn"))
+    kind = F.crc32(F.concat(name, F.lit(":"), turn)) % 20
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), kind.alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), "kind", copies.alias("copy")), F.col("kind") != 0
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, present = damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+    return repair.Repair(rows, present=present).digests().withColumnRenamed("conv", "conv_id")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxic_passages, op3_suffix_dedup, op4_simhash_near_dedup, op5_warc_transactions, op6_packed_ids, op7_language_id, op8_exact_top_k, op9_benchmark_leaks, op10_bpe_lexicon, op12_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxic_passages, op3_suffix_dedup, op4_simhash_near_dedup, op5_warc_transactions, op6_packed_ids, op7_language_id, op8_exact_top_k, op9_benchmark_leaks, op10_bpe_lexicon, op11_conversation_repair, op12_source_divergence)}
 ORACLES: dict[str, str] = {
     "op5_warc_transactions": """
         WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
