@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bpe, contamination, divergence, language, packing, repair, simhash, substring, suffixes, topk, toxicity, warc
+from chronoframe.llm import bpe, contamination, divergence, language, ngramjoin, packing, repair, simhash, substring, suffixes, topk, toxicity, warc
 
 
 def fold(column: str, folds: int):
@@ -115,7 +115,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxic_passages, op3_suffix_dedup, op4_simhash_near_dedup, op5_warc_transactions, op6_packed_ids, op7_language_id, op8_exact_top_k, op9_benchmark_leaks, op10_bpe_lexicon, op11_conversation_repair, op12_source_divergence)}
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxic_passages, op3_suffix_dedup, op4_simhash_near_dedup, op5_warc_transactions, op6_packed_ids, op7_language_id, op8_exact_top_k, op9_benchmark_leaks, op10_bpe_lexicon, op11_conversation_repair, op12_source_divergence, op13_ngram_jaccard_join)}
 ORACLES: dict[str, str] = {
     "op5_warc_transactions": """
         WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -162,4 +166,26 @@ ORACLES: dict[str, str] = {
         SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
         FROM ranked WHERE part = 'pair' OR rank <= 200
     """,
+    "op13_ngram_jaccard_join": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+        ),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
+            FROM words
+        ),
+        tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM sets),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id <> b.doc_id
+            WHERE 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+        ),
+        reached AS (
+            SELECT doc_id, doc_id AS low FROM documents
+            UNION SELECT l.b, r.low FROM reached r JOIN links l ON l.a = r.doc_id WHERE r.low < l.b
+        )
+        SELECT r.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(low) AS component_id FROM reached r JOIN sets USING (doc_id) GROUP BY r.doc_id, len(s)
+    """,
 }
