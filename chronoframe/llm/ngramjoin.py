@@ -366,7 +366,9 @@ class Join:
         links = stored(self.verified(self.hubs()), "links")
         roots = stored(components(links), "roots")
         for best in (True, False):
-            more = self.verified(self.apart(roots, best))
+            more = stored(self.verified(self.apart(roots, best)), "more")
+            if more.isEmpty():
+                continue
             links = stored(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "links")
             roots = stored(components(links), "roots")
         return roots

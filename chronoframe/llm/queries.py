@@ -171,21 +171,23 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
             FROM documents
         ),
-        sets AS (
-            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-                   ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
-            FROM words
+        places AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i, len(w) AS n FROM words),
+        grams AS (
+            SELECT doc_id, n, i, CASE WHEN n < 3 THEN string_agg(x, ' ') OVER o ELSE x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o END AS token
+            FROM places WINDOW o AS (PARTITION BY doc_id ORDER BY i)
         ),
-        tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM sets),
+        tokens AS (SELECT DISTINCT doc_id, token FROM grams WHERE token IS NOT NULL AND (n <> 2 OR i = 1)),
+        sizes AS (SELECT doc_id, count(token) AS n FROM documents LEFT JOIN tokens USING (doc_id) GROUP BY doc_id),
         links AS (
-            SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id <> b.doc_id
-            WHERE 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
-            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+            SELECT x.doc_id AS a, y.doc_id AS b
+            FROM tokens x JOIN tokens y ON x.token = y.token AND x.doc_id <> y.doc_id JOIN sizes s ON s.doc_id = x.doc_id JOIN sizes t ON t.doc_id = y.doc_id
+            WHERE 10 * least(s.n, t.n) >= 9 * greatest(s.n, t.n)
+            GROUP BY x.doc_id, y.doc_id, s.n, t.n HAVING 100 * count(*) >= 90 * (s.n + t.n - count(*))
         ),
         reached AS (
             SELECT doc_id, doc_id AS low FROM documents
             UNION SELECT l.b, r.low FROM reached r JOIN links l ON l.a = r.doc_id WHERE r.low < l.b
         )
-        SELECT r.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(low) AS component_id FROM reached r JOIN sets USING (doc_id) GROUP BY r.doc_id, len(s)
+        SELECT doc_id, n AS n_shingles, min(low) AS component_id FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id, n
     """,
 }
