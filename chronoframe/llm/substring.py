@@ -189,7 +189,7 @@ def _looked_up(docs: DataFrame, table: np.ndarray, bits: int, words: int, reach:
                     place = [pa.array(x) for x in (found.starts[hit] - at[text], found.ends[hit] - at[text], starts[found.starts[hit]] - begin, ends[found.ends[hit] - 1] - begin)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), key, pa.array(found.whole[hit]), *place], names=["doc_id", "th", "key", "whole", "first_word", "last_word", "start", "end"])
 
-    out = "key long, shingles array<long>" if of_shingles else f"doc_id {kind}, th int, key long, whole boolean, first_word long, last_word long, start long, end long"
+    out = "key long, shingles array<long>" if of_shingles else f"doc_id {kind}, th long, key long, whole boolean, first_word long, last_word long, start long, end long"
     return docs.mapInArrow(run, out)
 
 
@@ -247,7 +247,7 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     bands = docs.select(F.lower(text)).mapInArrow(_bands(words, reach, count, whole), "band long, key long, n long")
     met = stored(bands.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_colliding, "kind int, band long, key long"), "colliding")
     pairs = met.where("kind = 1").select("band", "key")
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.hash(text, doc_id).alias("th"), F.lower(text).alias("t"))
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("th"), F.lower(text).alias("t"))
 
     fetched = _looked_up(keyed, bit_table(pairs, filter_bits), filter_bits, words, reach, whole, True, kind).groupBy("key").agg(F.first("shingles").alias("shingles"))
     crowds = pairs.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("band", F.lit(True).alias("crowd"))

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from chronoframe.llm.storage import stored
 from chronoframe.llm.text import BASE, mix, powers
@@ -81,11 +82,11 @@ class Anchors:
         return at, start, np.diff(np.concatenate((start, [windows])))
 
 
-ANCHOR = "kind int, dk long, th int, gram long, stretch long, packed long"
+ANCHOR = "kind int, dk long, th long, gram long, stretch long, packed long"
 
 
 def _anchor_rows(length: int, gram: int):
-    schema = pa.schema([("kind", pa.int32()), ("dk", pa.int64()), ("th", pa.int32()), ("gram", pa.int64()), ("stretch", pa.int64()), ("packed", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("dk", pa.int64()), ("th", pa.int64()), ("gram", pa.int64()), ("stretch", pa.int64()), ("packed", pa.int64())])
 
     def collapse(parts: list[tuple]) -> pa.RecordBatch:
         dk, th, grams, stretches, packed = (np.concatenate(x) for x in zip(*parts))
@@ -114,7 +115,7 @@ def _anchor_rows(length: int, gram: int):
                 grams = np.array([digest(view[x : x + gram]) for x in a], np.uint64).view(np.int64)
                 stretches = np.array([digest(view[x:y]) for x, y in zip(s, e)], np.uint64).view(np.int64)
                 packed = (start << WIDE) | ((at - start) << 9) | (count << 1)
-                parts.append((np.full(len(at), ids[k]), np.full(len(at), marks[k], np.int32), grams, stretches, packed))
+                parts.append((np.full(len(at), ids[k]), np.full(len(at), marks[k], np.int64), grams, stretches, packed))
                 held += len(at)
                 if held > 400_000:
                     yield collapse(parts)
@@ -127,14 +128,14 @@ def _anchor_rows(length: int, gram: int):
 
 # --- anchors that agree ----------------------------------------------------------------
 
-AGREED = "kind int, dk long, th int, gram long, packed long"
+AGREED = "kind int, dk long, th long, gram long, packed long"
 
 
 def _agreed(batches):
     """Over rows sorted by (gram, stretch): kind 1 for stretches that occur twice, kind 0 for one of each stretch of a
     gram with several; of those the doubled bit says that all of its windows are known to be repeats."""
 
-    schema = pa.schema([("kind", pa.int32()), ("dk", pa.int64()), ("th", pa.int32()), ("gram", pa.int64()), ("packed", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("dk", pa.int64()), ("th", pa.int64()), ("gram", pa.int64()), ("packed", pa.int64())])
 
     def finish(rows: list[np.ndarray]) -> pa.RecordBatch:
         hot, dk, th, gram, stretch, packed = np.concatenate(rows, axis=1)
@@ -150,7 +151,7 @@ def _agreed(batches):
         rows_out = np.concatenate((np.flatnonzero(repeated), picked))
         kind = np.concatenate((np.ones(int(repeated.sum()), np.int32), np.where(hot[picked] > 0, 2, 0).astype(np.int32)))
         packed = packed[rows_out] | np.where(kind == 1, 0, repeated[rows_out])
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(dk[rows_out]), pa.array(th[rows_out].astype(np.int32)), pa.array(gram[rows_out]), pa.array(packed)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(dk[rows_out]), pa.array(th[rows_out]), pa.array(gram[rows_out]), pa.array(packed)], schema=schema)
 
     kept: list[np.ndarray] = []
     for batch in batches:
@@ -294,7 +295,7 @@ def repeated_windows(stretches: list[bytes], counts: np.ndarray, length: int) ->
 def _fetch(length: int):
     """Stretches of text for the open anchors of each document; kind 2 gives windows under a hash instead."""
 
-    schema = pa.schema([("gram", pa.int64()), ("other", pa.int64()), ("dk", pa.int64()), ("th", pa.int32()), ("packed", pa.int64()), ("body", pa.binary())])
+    schema = pa.schema([("gram", pa.int64()), ("other", pa.int64()), ("dk", pa.int64()), ("th", pa.int64()), ("packed", pa.int64()), ("body", pa.binary())])
 
     def run(batches):
         from xxhash import xxh3_128_intdigest as digest
@@ -323,19 +324,19 @@ def _fetch(length: int):
     def pack(out: list[tuple]) -> pa.RecordBatch:
         gram, other, dk, th, packed, body = zip(*out)
         signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-        return pa.RecordBatch.from_arrays([pa.array(map(signed, gram), pa.int64()), pa.array(map(signed, other), pa.int64()), pa.array(dk, pa.int64()), pa.array(th, pa.int32()), pa.array(packed, pa.int64()), pa.array(body, pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(map(signed, gram), pa.int64()), pa.array(map(signed, other), pa.int64()), pa.array(dk, pa.int64()), pa.array(th, pa.int64()), pa.array(packed, pa.int64()), pa.array(body, pa.binary())], schema=schema)
 
     return run
 
 
-FETCHED = "gram long, other long, dk long, th int, packed long, body binary"
-SPAN = "dk long, th int, start long, windows long"
+FETCHED = "gram long, other long, dk long, th long, packed long, body binary"
+SPAN = "dk long, th long, start long, windows long"
 
 
 def _settle(length: int):
     """Over stretches sorted by gram: runs of repeated windows in those that are not known yet."""
 
-    schema = pa.schema([("dk", pa.int64()), ("th", pa.int32()), ("start", pa.int64()), ("windows", pa.int64())])
+    schema = pa.schema([("dk", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())])
 
     def judge(rows: list[tuple]) -> list[tuple[int, np.ndarray]]:
         """(row, which of its windows are repeated)."""
@@ -461,12 +462,15 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     rest = [c for c in docs.columns if c not in made]
     number = docs.schema[doc_id].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(0).cast("long")) if number else F.xxhash64(doc_id)
-    keys = {"dk": key, "th": F.hash(text, doc_id), "data": F.coalesce(F.col(text).cast("binary"), F.lit(b""))}
+    keys = {"dk": key, "th": F.xxhash64(doc_id, text), "data": F.coalesce(F.col(text).cast("binary"), F.lit(b""))}
     keyed = docs.select(*[v.alias(k) for k, v in keys.items()])
     spans = repeated_spans(keyed, length, gram, hot).groupBy("dk", "th").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    whole = docs.select(*[v.alias(f"__{k}") for k, v in keys.items()], *[F.col(f"`{c}`") for c in rest])
-    joined = whole.join(spans, (F.col("__dk") == F.col("dk")) & (F.col("__th") == F.col("th")), "left").select("__data", "spans", *[whole[f"`{c}`"] for c in rest])
+    # What is carried along goes as one column, so that its names meet none of these.
+    carried = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("carried")
+    whole = docs.select(keys["dk"].alias("own_dk"), keys["th"].alias("own_th"), keys["data"].alias("own_data"), carried)
+    joined = whole.join(spans, (F.col("own_dk") == F.col("dk")) & (F.col("own_th") == F.col("th")), "left").select("own_data", "spans", "carried")
     run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select([F.col(f"`{c}`") for c in rest]).schema.fields)
     schema = pa.schema([("removed_spans", run), ("kept", pa.string() if as_text else pa.binary()), ("text_bytes", pa.int64())])
-    return joined.mapInArrow(_remove(length, schema, as_text), f"{fields}, removed_spans array<struct<start: long, end: long>>, kept {'string' if as_text else 'binary'}, text_bytes long")
+    span = StructType([StructField("start", LongType()), StructField("end", LongType())])
+    out = StructType([whole.schema["carried"], StructField("removed_spans", ArrayType(span)), StructField("kept", StringType() if as_text else BinaryType()), StructField("text_bytes", LongType())])
+    return joined.mapInArrow(_remove(length, schema, as_text), out).select("carried.*", *made)

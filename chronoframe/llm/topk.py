@@ -13,10 +13,14 @@ part of one block of either.
    cutoff are dropped.
 3. Vectors of which a part was not sent are scored exactly, and the k best are kept.
 
+Rows are numbered, and told apart by their number from then on.
+
 Defined cases: vectors that are null or hold a null or non-finite component, and rows
-with a null id, take no part; shorter vectors count as filled up with zeros; rows that
-repeat an id count once, with the largest of their vectors; ties go to the smaller id;
-a query with fewer than k others gets them all. Scores are 64-bit integers.
+with a null id, take no part, nor do vectors with a component of 2 ** 24 or more after
+scaling, so that scores are exact 64-bit integers up to 2 ** 13 dimensions; shorter vectors
+count as filled up with zeros; rows that repeat an id are vectors of their own, as queries
+(each with a list under that id) and as candidates of one another; ties go to the smaller id;
+a query with fewer than k others gets them all.
 """
 
 from __future__ import annotations
@@ -31,11 +35,15 @@ from chronoframe.llm.storage import stored
 VECTORS, QUERIES = 4096, 1024
 
 
+LARGEST = 1 << 24
+
+
 def prepared(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
-    """(id, v): usable vectors with components floor(scale * x), one row for each id."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    ints = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-    return vectors.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & finite).select(F.col(vec_id).alias("id"), ints.alias("v")).groupBy("id").agg(F.max("v").alias("v"))
+    """(label, v): usable vectors with components floor(scale * x), under their ids."""
+    scaled = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * F.when(F.abs(x) * scale < F.lit(float(LARGEST)), x.cast("double"))))
+    usable = F.col(vec_id).isNotNull() & F.col(vector).isNotNull()
+    ready = vectors.where(usable).select(F.col(vec_id).alias("label"), scaled.alias("v"))
+    return ready.where(F.forall("v", lambda x: x.isNotNull()))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,7 +63,7 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return q @ v.T
 
 
-ENTRIES = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("part", pa.int32()), ("score", pa.int64()), ("cutoff", pa.int64())])
+ENTRIES = pa.schema([("query", pa.int64()), ("row", pa.int64()), ("label", pa.int64()), ("part", pa.int32()), ("score", pa.int64()), ("cutoff", pa.int64())])
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, parts: int = 2, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -63,17 +71,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, parts: int = 2, ve
 
     ``is_query`` is a condition on the column ``id``.
     """
-    ready = stored(prepared(vectors, vec_id, vector, scale).withColumn("is_query", F.coalesce(is_query, F.lit(False))), "vectors")
+    made = prepared(vectors, vec_id, vector, scale).withColumnRenamed("label", "id")
+    numbered = made.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("long").alias("label"), "v", F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    ready = stored(numbered, "vectors").withColumnRenamed("row", "id")
     n, n_queries, width = ready.agg(F.count(F.lit(1)), F.count_if("is_query"), F.max(F.size("v"))).first()
     blocks, query_blocks = max(1, -(-n // VECTORS)), max(1, -(-n_queries // QUERIES))
     step = max(1, -(-(width or 0) // parts))
     padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(step * parts) - F.size("v")))
-    full = ready.select("id", "is_query", padded.alias("v"))
+    full = ready.select("id", "label", "is_query", padded.alias("v"))
     cut = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.slice(F.col("v"), p * step + 1, step).alias("v")) for p in range(parts)])).alias("p")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     block = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
     keys = ["part", "vb", "qb"]
-    data = full.select("id", block(blocks).alias("vb"), every(query_blocks).alias("qb"), "v").select("id", "vb", "qb", cut).select(F.col("id").alias("other"), "vb", "qb", "p.part", F.col("p.v").alias("w"))
+    data = full.select("id", "label", block(blocks).alias("vb"), every(query_blocks).alias("qb"), "v").select("id", "label", "vb", "qb", cut).select(F.col("id").alias("other"), "label", "vb", "qb", "p.part", F.col("p.v").alias("w"))
     asked = full.where("is_query").select("id", "v")
 
     def met(queries: DataFrame, send) -> DataFrame:
@@ -88,9 +98,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, parts: int = 2, ve
             rows, columns = send(scores, ids[:, None] != others[None, :], q.column("cutoff").to_numpy(zero_copy_only=False))
             cutoff = q.column("cutoff").take(pa.array(rows))
             part = np.full(len(rows), q.column("part")[0].as_py(), np.int32)
-            return pa.table([pa.array(ids[rows]), pa.array(others[columns]), pa.array(part), pa.array(scores[rows, columns]), cutoff], schema=ENTRIES)
+            return pa.table([pa.array(ids[rows]), pa.array(others[columns]), v.column("label").take(pa.array(columns)), pa.array(part), pa.array(scores[rows, columns]), cutoff], schema=ENTRIES)
 
-        return left.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, part int, score long, cutoff long")
+        return left.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(run, "query long, row long, label long, part int, score long, cutoff long")
 
     def best(scores, other, cutoff):
         masked = np.where(other, scores, np.iinfo(np.int64).min)
@@ -106,27 +116,31 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, parts: int = 2, ve
         return np.nonzero(other & (open_[:, None] | (scores * parts >= bound[:, None])))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        """Full scores of (query_id, vec_id)."""
+        """Full scores of (query, row)."""
         return (
-            pairs.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
-            .join(full.select(F.col("id").alias("vec_id"), "v"), "vec_id")
+            pairs.join(asked.select(F.col("id").alias("query"), F.col("v").alias("qv")), "query")
+            .join(full.select(F.col("id").alias("row"), "v"), "row")
             .withColumn("score", dot(F.col("qv"), F.col("v"))).drop("qv", "v")
         )
 
     # 1: local lists, and the cutoff that follows from them.
     lists = met(asked.withColumn("cutoff", F.lit(None).cast("long")), best)
-    place = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "vec_id"))
-    candidates = lists.withColumn("place", place).where(F.col("place") <= k).select("query_id", "vec_id").distinct()
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    cutoffs = stored(scored(candidates).withColumn("place", place).where(F.col("place") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff")), "cutoffs")
+    place = F.row_number().over(Window.partitionBy("query", "part").orderBy(F.desc("score"), "row"))
+    candidates = lists.withColumn("place", place).where(F.col("place") <= k).select("query", "row").distinct()
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "row"))
+    cutoffs = stored(scored(candidates).withColumn("place", place).where(F.col("place") == k).select(F.col("query").alias("id"), F.col("score").alias("cutoff")), "cutoffs")
 
     # 2: entries that suffice, summed; what cannot reach the cutoff is dropped.
     entries = met(asked.join(cutoffs, "id", "left"), enough)
-    sums = entries.groupBy("query_id", "vec_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("sent"), F.max("cutoff").alias("cutoff"))
+    sums = entries.groupBy("query", "row", "label").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("sent"), F.max("cutoff").alias("cutoff"))
     reach = F.col("score") * parts + (F.lit(parts) - F.col("sent")) * F.col("cutoff")
     sums = stored(sums.where(F.col("cutoff").isNull() | (reach >= F.col("cutoff") * parts)), "entries")
 
     # 3: the rest of the scores, and the answer.
-    whole = sums.where(F.col("sent") == parts).select("query_id", "vec_id", "score")
-    found = whole.unionByName(scored(sums.where(F.col("sent") < parts).select("query_id", "vec_id")).select("query_id", "vec_id", "score"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    columns = ("query", "row", "label", "score")
+    whole = sums.where(F.col("sent") == parts).select(*columns)
+    found = whole.unionByName(scored(sums.where(F.col("sent") < parts).select("query", "row", "label")).select(*columns))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "label", "row"))
+    answer = found.withColumn("rank", place).where(F.col("rank") <= k)
+    names = ready.where("is_query").select(F.col("id").alias("query"), F.col("label").alias("query_id"))
+    return answer.join(names, "query").select("query_id", "rank", F.col("label").alias("vec_id"), "score")

@@ -27,10 +27,12 @@ without any label of one kind get the score 0.5. Repeated rows each count.
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -241,10 +243,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
     kept = [f for f in docs.schema.fields if f.name not in ("score", "passages")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    # Of fixed size; as bytes by value, for a broadcast refers to classes by name, which executors may lack.
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def run(batches):
-        model, finder = shared.value, Words(HEADS)
+        model, finder = pickle.loads(shared.value), Words(HEADS)
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
             values, passages = [], []

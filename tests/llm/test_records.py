@@ -92,19 +92,19 @@ def test_top_k(spark, parts, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES", 4)
     rng = random.Random(4)
     rows = [(i, [rng.choice([-1.0, 0.25, 0.5]) for _ in range(rng.choice([4, 5]))]) for i in range(120)]
-    usable = dict(rows)
-    rows += [(200, None), (210, [1.0, None]), (220, [float("nan")]), (None, [1.0]), (rows[0][0], rows[0][1]), (230, [float("inf")])]
-    usable[300] = []
-    rows.append((300, []))
-    ints = {i: [int(np.floor(1024 * x)) for x in v] for i, v in usable.items()}
-    frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, rank string")
+    rows += [(300, []), (0, [0.5] * 5), (0, rows[0][1]), (7, rows[7][1])]  # ids may repeat
+    usable = list(rows)
+    rows += [(200, None), (210, [1.0, None]), (220, [float("nan")]), (None, [1.0]), (230, [float("inf")]), (240, [1.0, -1e30]), (250, [16384.0])]
+    ints = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in usable]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, rank string, row int")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(frame, F.col("id") % 10 == 0, parts=parts).collect())
     want = []
-    for q in (i for i in ints if i % 10 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(ints[q], ints[x])), x) for x in ints if x != q)[:10]
-        want += [(q, k, x, -s) for k, (s, x) in enumerate(scores, 1)]
+    for place, (q, v) in enumerate(ints):
+        if q % 10 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), x) for other, (x, w) in enumerate(ints) if other != place)[:10]
+            want += [(q, k, x, -s) for k, (s, x) in enumerate(scores, 1)]
     assert got == sorted(want)
-    few = topk.search(frame.where("vec_id < 3"), F.col("id") == 0, parts=parts).collect()
+    few = topk.search(frame.where("vec_id between 1 and 3"), F.col("id") == 1, parts=parts).collect()
     assert len(few) == 2 and topk.search(frame.limit(0), F.col("id") == 0).count() == 0
 
 
@@ -215,3 +215,61 @@ def test_pipeline_stages(spark, tmp_path):
     first = sorted(set(all_ids) - {"40", "41", "42"})
     second = sorted(set(first) - {"20"})
     assert kept == [sorted([*first, "20"]), second, second, sorted(set(second) - {"30"}), sorted(set(second) - {"30"})]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_pipeline_carries_columns_of_any_name(spark, tmp_path, kind):
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    passage = prose(60)
+    texts = [prose(50), f"{prose(20)} {passage}", f"{prose(20)} {passage} {prose(5)}", prose(50)]
+    names = ["dk", "th", "spans", "kept", "__dk", "__th", "a.b", "removed_spans", "text_bytes", "carried", "lang_pred", "score", "row", "__row", "key", "component_id", "own_dk"]
+    rows = [(k if kind == "long" else f"id{k}", t, "en", *[f"{n}-{k}" for n in names]) for k, t in enumerate([*texts, texts[0]])] + [(None, prose(30), "en", *names)]
+    schema = f"doc_id {kind}, text string, lang string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(0, prose(30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    carried = {r[0]: r[3:] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == ["doc_id", "text", "lang", *names]
+        assert all(tuple(r)[3:] == carried[r.doc_id] for r in docs.collect())
+    assert sorted((r.doc_id for r in docs.collect()), key=str) == sorted([r[0] for r in rows if r[0] not in (4, "id4")], key=str)
+    assert all(passage[30:-30] not in r.text for r in docs.collect())
+
+
+def test_operators_run_where_tasks_lack_the_package(tmp_path):
+    """Tasks get code by value: the driver alone has the repository on its path."""
+    import os
+    import subprocess
+    import sys
+    import textwrap
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+        import sys
+        sys.path.insert(0, {repo!r})
+        import random
+        from chronoframe.session import local_session
+        from chronoframe.llm import queries
+        spark = local_session("2", "bare", **{{"spark.checkpoint.dir": "shared", "spark.sql.shuffle.partitions": "2"}})
+        def lacking(batches):
+            import importlib.util
+            for b in batches:
+                assert importlib.util.find_spec("chronoframe") is None
+                yield b
+        spark.range(1).mapInArrow(lacking, "id long").collect()
+        rng = random.Random(1)
+        text = lambda: " ".join(rng.choices(["the", "very", "bad", "word", "of", "no", "use"], k=40))
+        spark.createDataFrame([(k, text() + (" bad" * (k % 2)), "en", f"s{k % 2}") for k in range(60)], "doc_id long, text string, lang string, source string").write.parquet("documents.parquet")
+        spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int").write.parquet("labels.parquet")
+        spark.createDataFrame([(k, t, "user", text()) for k in range(5) for t in range(3)], "conv_id long, turn long, role string, text string").write.parquet("conversations.parquet")
+        for name in ("op2_toxic_passages", "op7_language_id", "op11_conversation_repair", "op12_source_divergence", "op13_ngram_jaccard_join"):
+            assert queries.QUERIES[name](spark, ".").count() > 0, name
+        print("all ran")
+    """
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=600)
+    assert "all ran" in done.stdout, done.stderr[-3000:]
