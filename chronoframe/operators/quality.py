@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions import day_of, effective_end
@@ -121,17 +122,19 @@ def ordered(df: DataFrame, low: str, high: str, *, strict: bool) -> DataFrame:
     return df.filter(wrong)
 
 
+def shape_rules() -> dict[str, Column]:
+    """What breaks a version row, by name."""
+    return {
+        "version below one": F.col("version_number") < 1,
+        "current flag and end disagree": F.col("is_current") != F.col("valid_to").isNull(),
+        "ends before it starts": F.col("valid_to") < F.col("valid_from"),
+        "unknown change reason": ~F.col("change_reason").isin(list(CHANGE_REASONS)),
+    }
+
+
 def scd2_shape(dim: DataFrame) -> DataFrame:
     """Version rows breaking a row-level rule, with the rule they break."""
-    rules = F.filter(
-        F.array(
-            F.when(F.col("version_number") < 1, F.lit("version below one")),
-            F.when(F.col("is_current") != F.col("valid_to").isNull(), F.lit("current flag and end disagree")),
-            F.when(F.col("valid_to") < F.col("valid_from"), F.lit("ends before it starts")),
-            F.when(~F.col("change_reason").isin(list(CHANGE_REASONS)), F.lit("unknown change reason")),
-        ),
-        lambda rule: rule.isNotNull(),
-    )
+    rules = F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in shape_rules().items()]), lambda rule: rule.isNotNull())
     return dim.select("ticker", "version_number", "valid_from", "valid_to", F.explode(rules).alias("broken_rule"))
 
 
@@ -160,11 +163,169 @@ def run_suite(checks: Mapping[str, DataFrame]) -> DataFrame:
         )
         for name, violations in checks.items()
     ]
-    return reduce(DataFrame.unionByName, counted).withColumn(
-        "status", F.when(F.col("violations") == 0, F.lit("pass")).otherwise(F.lit("fail"))
-    )
+    return verdicts(reduce(DataFrame.unionByName, counted))
 
 
 def warnings(checks: Mapping[str, DataFrame]) -> DataFrame:
     """Only the checks that found something."""
     return run_suite(checks).filter("status = 'fail'").drop("status")
+
+
+# --- all checks of a table in one pass ---------------------------------------------------
+
+
+@dataclass(frozen=True)
+class NotNull:
+    """Counts the columns that hold a NULL."""
+
+    columns: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class Unique:
+    """Counts the key values that occur more than once."""
+
+    key: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class Accepted:
+    """Counts the different values outside of the allowed ones; NULL is allowed."""
+
+    column: str
+    values: tuple[str, ...]
+
+
+@dataclass(frozen=True, eq=False)
+class Rows:
+    """Counts the rows that meet any of the conditions, once for each."""
+
+    broken: tuple[Column, ...]
+
+
+Rule = NotNull | Unique | Accepted | Rows
+
+
+def table_checks(df: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
+    """(check_name, violations) of all rules of one table, which is read once.
+
+    Every key and every checked value is a grouping set of one aggregation, the whole table
+    another; conditions are counted along. Only keys that must be unique cost a shuffle of
+    their size, the rest is reduced where it is read.
+    """
+    grouped: list[tuple[str, ...]] = []
+    conditions: list[Column] = []
+
+    def group(columns: tuple[str, ...]) -> int:
+        if columns not in grouped:
+            grouped.append(columns)
+        return grouped.index(columns)
+
+    places: dict[str, tuple[int, list[int]]] = {}
+    for name, rule in rules.items():
+        match rule:
+            case Unique(key):
+                places[name] = (group(key), [])
+            case Accepted(column, _):
+                places[name] = (group((column,)), [])
+            case NotNull(columns):
+                broken = [F.col(f"`{c}`").isNull() for c in columns]
+                places[name] = (group(()), list(range(len(conditions), len(conditions) + len(broken))))
+                conditions += broken
+            case Rows(broken):
+                places[name] = (group(()), list(range(len(conditions), len(conditions) + len(broken))))
+                conditions += broken
+    columns = sorted({c for key in grouped for c in key})
+    flags = [c.alias(f"_flag{k}") for k, c in enumerate(conditions)]
+    narrow = df.select(*[F.col(f"`{c}`").alias(f"_key{k}") for k, c in enumerate(columns)], *flags)
+    counts = [F.count(F.lit(1)).alias("_n"), *[F.count_if(f"_flag{k}").alias(f"_c{k}") for k in range(len(flags))]]
+    number = {c: f"_key{k}" for k, c in enumerate(columns)}
+    if columns:
+        sets = [[F.col(number[c]) for c in key] for key in grouped]
+        found = narrow.groupingSets(sets, *number.values()).agg(F.grouping_id().alias("_set"), *counts)
+    else:
+        found = narrow.agg(*counts).withColumn("_set", F.lit(0).cast("bigint"))
+    # A set's number has a bit for each column that it leaves out, the first column highest.
+    bits = [sum(1 << (len(columns) - 1 - k) for k, c in enumerate(columns) if c not in key) for key in grouped]
+
+    def violations(name: str, rule: Rule) -> Column:
+        at, flagged = places[name]
+        here = F.col("_set") == bits[at]
+        match rule:
+            case Unique():
+                return F.count_if(here & (F.col("_n") > 1))
+            case Accepted(column, values):
+                return F.count_if(here & ~F.col(number[column]).isin(list(values)))
+            case NotNull():
+                return sum((F.count_if(here & (F.col(f"_c{k}") > 0)) for k in flagged), F.lit(0).cast("bigint"))
+            case Rows():
+                return F.coalesce(F.max(F.when(here, sum((F.col(f"_c{k}") for k in flagged), F.lit(0).cast("bigint")))), F.lit(0).cast("bigint"))
+
+    return _as_rows(found.agg(*[violations(name, rule).alias(f"_v{k}") for k, (name, rule) in enumerate(rules.items())]), list(rules))
+
+
+def _as_rows(counted: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row of counts ``_v0``, ``_v1``, ... as rows of name and count."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(f"_v{k}").alias("violations")) for k, n in enumerate(names)])
+    return counted.select(F.explode(pairs).alias("_check")).select("_check.*")
+
+
+# Fixed order of what ``history_checks`` reports.
+HISTORY_CHECKS = ("versions do not overlap", "exactly one current version", "no observed day in a gap", "every fact resolves to one version", "version rows are well formed")
+
+
+def history_checks(dim: DataFrame, facts: DataFrame, *, key: str = "ticker", time: str = "trade_date") -> DataFrame:
+    """(check_name, violations) of the checks on versions and on the facts that they label.
+
+    Versions and facts are read once each, brought together by key once and walked in order of
+    days; the counts are those of ``overlaps``, ``current_row_violations``, ``gap_days``,
+    ``integrity_violations`` and ``scd2_shape``. Facts of one key and day go on as one row.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    until = effective_end(F.col("valid_to"))
+    upright = F.col("valid_from") <= until
+    broken = sum((F.coalesce(rule, F.lit(False)).cast("int") for rule in shape_rules().values()), F.lit(0))
+
+    def mark(day: Column, kind: int, opened: Column, seen: Column, **version: Column) -> Column:
+        return F.struct(
+            day.alias("_day"), F.lit(kind).alias("_kind"), opened.cast("bigint").alias("_opened"), seen.cast("bigint").alias("_seen"),
+            version.get("number", none("int")).alias("_number"), version.get("until", none("date")).alias("_until"),
+            version.get("current", none("boolean")).alias("_current"), version.get("broken", none("int")).alias("_broken"),
+        )
+
+    zero = F.lit(0)
+    begin = mark(F.col("valid_from"), 0, upright.cast("int"), zero, number=F.col("version_number").cast("int"), until=until, current=F.col("is_current"), broken=broken)
+    end = F.when(upright & F.col("valid_to").isNotNull(), mark(F.col("valid_to"), 2, F.lit(-1), zero))
+    versions = dim.select(F.col(key).alias("_key"), F.explode(F.array_compact(F.array(begin, end))).alias("_mark")).select("_key", "_mark.*")
+    seen = facts.groupBy(F.col(key).alias("_key"), day_of(time).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    observed = seen.select("_key", mark(F.col("_day"), 1, zero, F.col("_n")).alias("_mark")).select("_key", "_mark.*")
+
+    whole = Window.partitionBy("_key")
+    in_order = whole.orderBy("_day", "_kind", "_number")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begun = F.col("_kind") == 0
+    walked = versions.unionByName(observed).select(
+        "*",
+        F.max("_until").over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("_reach"),
+        F.last("_until", ignorenulls=True).over(so_far).alias("_latest"),
+        F.sum("_opened").over(so_far).alias("_open"),
+        F.count_if(begun).over(so_far).alias("_begun"),
+        F.row_number().over(in_order).alias("_place"),
+        F.count_if(begun).over(whole).alias("_versions"),
+        F.count_if(F.col("_current")).over(whole).alias("_currents"),
+    )
+    fact = F.col("_kind") == 1
+    in_gap = fact & (F.col("_latest") < F.col("_day")) & (F.col("_begun") < F.col("_versions"))
+    counts = (
+        F.count_if(begun & (F.col("_reach") >= F.col("_day"))),
+        F.count_if((F.col("_place") == 1) & (F.col("_versions") > 0) & (F.col("_currents") != 1)),
+        F.coalesce(F.sum(F.when(in_gap, F.col("_seen"))), zero.cast("bigint")),
+        F.count_if(fact & (F.col("_open") * F.col("_seen") != 1)),
+        F.coalesce(F.sum("_broken"), zero).cast("bigint"),
+    )
+    return _as_rows(walked.agg(*[c.alias(f"_v{k}") for k, c in enumerate(counts)]), HISTORY_CHECKS)
+
+
+def verdicts(counted: DataFrame) -> DataFrame:
+    """Counts of violations with the verdict beside them."""
+    return counted.withColumn("status", F.when(F.col("violations") == 0, F.lit("pass")).otherwise(F.lit("fail")))

@@ -161,6 +161,13 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                     ELSE is_current END AS is_current,
                version_number, change_reason
         FROM dim"""),
+    # Covered days spelled out one by one within the calendar of the prices, then looked up.
+    "covered": (("prices", "dim_broken"), """
+        SELECT ticker, unnest(range(greatest(valid_from, low), least(ifnull(valid_to, high), high) + 1, INTERVAL 1 DAY))::DATE AS trade_date
+        FROM dim_broken, (SELECT min(trade_date) AS low, max(trade_date) AS high FROM prices)"""),
+    "unresolved": (("prices", "covered"), """
+        SELECT ticker, trade_date, ifnull(n, 0) AS matching_dimension_rows
+        FROM prices LEFT JOIN (SELECT ticker, trade_date, count(*) AS n FROM covered GROUP BY ALL) USING (ticker, trade_date) WHERE n IS DISTINCT FROM 1"""),
     "registry": ((), """
         SELECT * FROM (VALUES ('5-LOW', DATE '1998-07-01', CAST(NULL AS DATE)),
                               ('5-LEGACY', DATE '1900-01-01', DATE '1998-06-30'),

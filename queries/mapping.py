@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.model import RECLASSIFICATION, SECTOR_RENAME, ReportingWindow
 from chronoframe.operators import scd2, windows
+from queries.storage import new_folder
 
 WINDOW = ReportingWindow(date(1996, 1, 1), date(2000, 12, 31))
 RENAME_DAY = date(1998, 7, 1)
@@ -48,6 +49,12 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self._once(name, lambda: self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
+    def stored(self, name: str, df: DataFrame) -> DataFrame:
+        """Written to the shared folder and read back, for what several steps read."""
+        folder = new_folder(self.spark, name)
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
     # --- observations -----------------------------------------------------
     def _shipments(self, orders: DataFrame) -> DataFrame:
         items = self.table("lineitem").select(

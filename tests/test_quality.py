@@ -113,3 +113,50 @@ def test_suite_and_gate(healthy, frame, rows):
     dq.assert_empty(checks["current"], "current")
     with pytest.raises(IntegrityError, match="starts"):
         dq.assert_empty(checks["starts"], "starts")
+
+
+def test_rules_of_a_table_in_one_pass_count_what_each_check_finds(frame, rows):
+    table = frame("k:s v:i d:d", [("a", 1, "2020-01-01"), ("a", 1, None), ("b", 2, "2020-01-02"), (None, 3, "2020-01-03"), (None, 3, None), ("c", None, None)])
+    rules = {
+        "one k": dq.Unique(("k",)), "one k and v": dq.Unique(("k", "v")), "one day": dq.Unique(("d",)), "again": dq.Unique(("k",)),
+        "v known": dq.Accepted("v", (1,)), "k known": dq.Accepted("k", ("a", "b", "c")),
+        "present": dq.NotNull(("k", "v", "d")), "v present": dq.NotNull(("v",)),
+        "small": dq.Rows((table["v"] > 2, table["v"] > 1)),
+    }
+    found = dict(rows(dq.table_checks(table, rules)))
+    alone = {
+        "one k": dq.unique(table, ["k"]), "one k and v": dq.unique(table, ["k", "v"]), "one day": dq.unique(table, ["d"]), "again": dq.unique(table, ["k"]),
+        "v known": dq.accepted(table, "v", [1]), "k known": dq.accepted(table, "k", ["a", "b", "c"]),
+        "present": dq.not_null(table, ["k", "v", "d"]), "v present": dq.not_null(table, ["v"]),
+    }
+    assert found == {name: check.count() for name, check in alone.items()} | {"small": 2 + 3}
+    assert {n for _, n in rows(dq.table_checks(table.limit(0), rules))} == {0}
+    only_rows = {"small": dq.Rows((table["v"] > 2,)), "present": dq.NotNull(("k",))}
+    assert dict(rows(dq.table_checks(table, only_rows))) == {"small": 2, "present": 1}
+
+
+def test_history_checks_count_what_each_check_finds(spark, frame, rows):
+    """Well-formed random versions with overlaps, gaps, missing and double current rows, against the single checks."""
+    dim = spark.range(200).selectExpr(
+        "concat('K', id % 11) AS ticker", "'x' AS gics_sector", "date_add(DATE '2020-01-01', CAST((id * 37) % 211 AS INT)) AS valid_from",
+        "CASE WHEN id % 13 <> 0 THEN date_add(DATE '2020-01-01', CAST((id * 37) % 211 + id % 17 AS INT)) END AS valid_to",
+        "id % 13 = 0 OR id % 50 = 0 AS is_current", "CAST(id AS INT) AS version_number", "IF(id % 9 = 0, 'other', 'initial') AS change_reason",
+    )
+    facts = spark.range(600).selectExpr("concat('K', id % 12) AS ticker", "date_add(DATE '2019-12-20', CAST((id * 7) % 260 AS INT)) AS trade_date")
+    alone = (dq.overlaps(dim), dq.current_row_violations(dim), dq.gap_days(dim, facts), dq.integrity_violations(facts, dim), dq.scd2_shape(dim))
+    counts = [check.count() for check in alone]
+    assert dict(rows(dq.history_checks(dim, facts))) == dict(zip(dq.HISTORY_CHECKS, counts)) and min(counts) > 0
+    assert {n for _, n in rows(dq.history_checks(dim.limit(0), facts.limit(0)))} == {0}
+
+
+def test_fused_checks_read_each_table_once(spark, tmp_path):
+    dim = spark.sql("SELECT 'A' AS ticker, DATE '2020-01-01' AS valid_from, CAST(NULL AS DATE) AS valid_to, TRUE AS is_current, 1 AS version_number, 'initial' AS change_reason")
+    dim.write.parquet(str(tmp_path / "dim"))
+    spark.sql("SELECT 'A' AS ticker, DATE '2020-01-01' AS trade_date").write.parquet(str(tmp_path / "facts"))
+    dim, facts = spark.read.parquet(str(tmp_path / "dim")), spark.read.parquet(str(tmp_path / "facts"))
+    rules = {"a": dq.Unique(("ticker",)), "b": dq.Unique(("ticker", "valid_from")), "c": dq.NotNull(("ticker",)), "d": dq.Accepted("change_reason", ("initial",))}
+
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+    assert scans(dq.table_checks(dim, rules)) == 1 and scans(dq.history_checks(dim, facts)) == 2

@@ -22,11 +22,23 @@ def test_entry_runs(spark):
     assert contract.entry(spark).limit(1).count() == 1
 
 
+@needs_data
+def test_every_oracle_can_be_planned():
+    import compare
+
+    connection = compare.oracle(SMALL)
+    for name, sql in contract.oracle_sql().items():
+        try:
+            connection.execute(f"EXPLAIN {sql}")
+        except Exception as error:
+            raise AssertionError(f"{name}: {error}") from error
+
+
 @needs_data
 @pytest.mark.parametrize(
     "name",
     ["universe", "exclusions", "dim_scd2_relabelled", "chain_calendar", "snapshot_check", "fact_pit_sliced",
-     "anchor_metric_relabelled", "dq_integrity"],
+     "anchor_metric_relabelled", "dq_integrity", "dq_suite"],
 )
 def test_agrees_with_the_oracle(spark, name):
     import compare

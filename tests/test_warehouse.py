@@ -107,6 +107,7 @@ def test_suite_passes_on_a_healthy_warehouse(spark, built):
     result = suite.run(spark)
     assert result.filter("status = 'fail'").collect() == []
     assert result.count() == len(suite.warehouse_checks(spark)) >= 35
+    assert {r.check_name for r in result.collect()} == set(suite.warehouse_checks(spark))
 
 
 def test_one_layer_can_be_rebuilt(spark, built, corpus):
