@@ -2,9 +2,11 @@
 
 The join is exact and works with combinations of tokens, where a token is one n-gram:
 
-1. Equal sets are one set from here on, told by a 64-bit sum over their tokens. Tokens are
-   counted over the different sets; the rarest come first in the order of all tokens, and those
-   of one set only are merely numbered.
+1. Equal sets are one set from here on, told by a 64-bit sum over their tokens. A similar set
+   lacks a bounded number of a set's tokens; if more than so many are in no other set already
+   among the tokens whose hash is divisible by ``SAMPLE``, the set is linked with nothing. Only
+   the sets that are left are looked at any more, and all of their tokens are counted; the rarest
+   come first in the order of all tokens, and those of one set only are merely numbered.
 2. Tokens are of three classes by their number of sets. A class asks for k = 1, 2 or 3 shared
    tokens, and is dealt into buckets by hash so that long texts have no more combinations than
    short ones. If the tokens of a prefix in some bucket are a, it can lack a - k + 1 of them
@@ -31,11 +33,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm.graph import components
 from chronoframe.llm.storage import stored
+from chronoframe.llm.substring import bit_table
 from chronoframe.llm.text import BASE, Words, mix, shingle_hashes, text_buffer
 
 SIZE, PERCENT = 3, 90
@@ -46,6 +50,8 @@ CAP = 1 << 20  # tokens of more sets than this are of one frequency
 CROWD = 4096
 SKETCH = 4  # words of 64 bits
 SEEN = 1 << 20
+SAMPLE = 4
+LEAST_BITS, MOST_BITS = 20, 28  # of the table that spares the tokens of sets that are out; what it lets through costs work only
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -113,25 +119,31 @@ def _each(batches, size: int):
 
 def _marks(size: int):
     def run(batches):
-        for batch, first, last, _, count, key in _each(batches, size):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], names=["doc_id", "key", "n"])
+        for batch, first, last, tokens, count, key in _each(batches, size):
+            sampled = np.bincount(np.repeat(np.arange(len(count)), count)[tokens % np.uint64(SAMPLE) == 0], minlength=len(count))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *[pa.array(x.astype(np.int64, copy=False)) for x in (key.view(np.int64), count, sampled)]], names=["doc_id", "key", "n", "sampled"])
 
     return run
 
 
-def _tokens(size: int):
-    """(token, key) of every set; sets that a task has just seen are not sent again."""
+def _tokens(size: int, table: Broadcast | None = None, bits: int = 0):
+    """(token, key) of every set, sampled tokens alone or those of sets in the table; sets that a task has just seen are not sent again."""
 
     def run(batches):
         seen: set[int] = set()
+        present = None if table is None else np.unpackbits(table.value, bitorder="little").view(bool)
         for _, _, _, tokens, count, key in _each(batches, size):
             fresh = np.zeros(len(key), bool)
-            for t, k in enumerate(key.tolist()):
-                if k and k not in seen:
+            open_ = key != 0 if present is None else (key != 0) & present[key >> np.uint64(64 - bits)]
+            for t in np.flatnonzero(open_).tolist():
+                if (k := int(key[t])) not in seen:
                     seen.add(k)
                     fresh[t] = True
             seen = set() if len(seen) > SEEN else seen
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[np.repeat(fresh, count)].view(np.int64)), pa.array(np.repeat(key, np.where(fresh, count, 0)).view(np.int64))], names=["token", "key"])
+            send = np.repeat(fresh, count)
+            if present is None:
+                send &= tokens % np.uint64(SAMPLE) == 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[send].view(np.int64)) for x in (tokens, np.repeat(key, count))], names=["token", "key"])
 
     return run
 
@@ -318,10 +330,19 @@ class Join:
         self.percent, self.crowd = percent, crowd
         source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
         kind = source.schema["doc_id"].dataType.simpleString()
-        self.marks = stored(source.mapInArrow(_marks(size), f"doc_id {kind}, key long, n long"), "sets")
-        self.distinct = self.marks.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"))
-        tokens = source.select("text").mapInArrow(_tokens(size), "token long, key long")
-        shared = tokens.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared(cap), "key long, token long, sets long")
+        self.marks = stored(source.mapInArrow(_marks(size), f"doc_id {kind}, key long, n long, sampled long"), "sets")
+        self.distinct = self.marks.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sampled").alias("sampled"), F.min("doc_id").alias("first"))
+
+        def shared(tokens: DataFrame) -> DataFrame:
+            return tokens.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared(cap), "key long, token long, sets long")
+
+        texts = source.select("text")
+        in_others = shared(texts.mapInArrow(_tokens(size), "token long, key long")).groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
+        own = F.col("sampled") - F.coalesce("shared", F.lit(0))
+        left = stored(self.distinct.join(in_others, "key", "left").where(100 * own <= (100 - percent) * F.col("n")).select("key"), "left")
+        bits = min(MOST_BITS, max(LEAST_BITS, (8 * left.count()).bit_length()))
+        table = docs.sparkSession.sparkContext.broadcast(bit_table(left, bits))
+        shared = shared(texts.mapInArrow(_tokens(size, table, bits), "token long, key long"))
         gathered = shared.groupBy("key").agg(F.collect_list("token").alias("tokens"), F.collect_list("sets").alias("sets"))
         sized = gathered.join(self.distinct.select("key", "n"), "key").where((100 - percent) * F.col("n") >= 100 * (F.col("n") - F.size("tokens")))
         self.sets = stored(sized.select("key", "n", "tokens", "sets").mapInArrow(_sign(percent, rare, common), SIGNED), "signed")
