@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from chronoframe.functions import covers, day_of, differs, effective_end
 from chronoframe.model import OPEN_END, OPEN_START
 from chronoframe.operators.shaping import distinct_keys, require, union_all
+from chronoframe.session import stored
 
-STRATEGIES = ("range", "sliced", "asof")
+STRATEGIES = ("range", "sliced", "asof", "prefix")
 
 
 def pit_join(
@@ -33,6 +34,7 @@ def pit_join(
     strategy: str = "range",
     slice_unit: str = "year",
     days: tuple[date, date] | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Join each fact to the version of its key in force on the fact's day.
 
@@ -47,7 +49,13 @@ def pit_join(
       slice. Linear in both, whatever the number of versions, but an overlap is
       resolved silently instead of showing up twice.
 
-    The last two cut the calendar within ``days``; what lies outside goes to the
+    * ``prefix`` – versions and facts are sorted once over all tasks and cut into ``ranges``
+      of about equal size (by default, as many as shuffle partitions); the last version of
+      each range is carried on to the next ones. Neither a key nor a day binds a task: for
+      keys that hold a large share of all facts. Overlaps as in ``asof``. The sorted rows
+      are stored in the shared folder, since two steps must see the same ranges.
+
+    ``sliced`` and ``asof`` cut the calendar within ``days``; what lies outside goes to the
     first or last slice, so any period is right and a good one is fast. By default
     it spans the days on which versions end and begin, from one aggregate over the
     dimension; the facts are not read for it.
@@ -66,6 +74,8 @@ def pit_join(
         *attributes,
     )
     in_force = day_of(time).between(F.col("_from"), F.col("_until"))
+    if strategy == "prefix":
+        return _merge_over_ranges(facts, span, key, time, attributes, how, ranges)
     if strategy == "range":
         joined = facts.join(span, (F.col(key) == F.col("_key")) & in_force, how)
         return joined.drop("_key", "_from", "_until")
@@ -144,6 +154,40 @@ def _merge_in_order(
     )
 
 
+def _merge_over_ranges(
+    facts: DataFrame, span: DataFrame, key: str, time: str, attributes: Sequence[str], how: str, ranges: int | None
+) -> DataFrame:
+    """Give each fact the last version begun by its day, wherever the sort put it, if that version is still in force.
+
+    Rows are ordered by key, day, kind (a version before the facts of its day) and, among
+    facts, a hash, so that even the facts of one key and day spread over ranges.
+    """
+    spark = facts.sparkSession
+    fact = F.struct(*[F.col(f"`{c}`") for c in facts.columns])
+    observed = facts.select(
+        F.col(key).alias("_key"), day_of(time).alias("_day"), F.lit(1).alias("_is_fact"), F.xxhash64(fact).alias("_tie"), fact.alias("_fact")
+    )
+    version = F.struct(F.col("_key").alias("_owner"), F.col("_from"), F.col("_until"), *attributes)
+    begun = span.select("_key", F.col("_from").alias("_day"), F.lit(0).alias("_is_fact"), F.lit(0).cast("bigint").alias("_tie"), version.alias("_version"))
+    order = ("_key", "_day", "_is_fact", "_tie")
+    count = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    merged = observed.unionByName(begun, allowMissingColumns=True).repartitionByRange(count, *order)
+    cut = stored(merged.withColumn("_range", F.spark_partition_id()), "ranges")
+
+    # A row for each range: its last version, and with it the last one of all ranges before.
+    last = cut.groupBy("_range").agg(F.max_by("_version", F.when(F.col("_is_fact") == 0, F.struct("_key", "_day"))).alias("_last"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("_range", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+
+    so_far = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = cut.withColumn("_within", F.last("_version", ignorenulls=True).over(so_far)).filter(F.col("_is_fact") == 1)
+    latest = F.coalesce("_within", "_carried")
+    known = walked.join(carried, "_range").withColumn("_latest", latest)
+    in_force = F.coalesce((F.col("_latest._owner") == F.col("_key")) & (F.col("_day") <= F.col("_latest._until")), F.lit(False))
+    kept = known.filter(in_force) if how == "inner" else known
+    return kept.select("_fact.*", *[F.when(in_force, F.col("_latest").getField(a)).alias(a) for a in attributes])
+
+
 def naive_join(
     facts: DataFrame,
     dim: DataFrame,

@@ -8,17 +8,19 @@ lets the window and the range join run without a shuffle.
 
 from __future__ import annotations
 
+import hashlib
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoframe.model import IntegrityError, ReportingWindow
-from chronoframe.operators import scd2
+from chronoframe.operators import scd2, universe
 from chronoframe.operators.quality import assert_empty, current_row_violations, unique, warnings
 from chronoframe.plans import layers
-from chronoframe.sinks import analyze, create_namespaces, replace_table
+from chronoframe.sinks import analyze, create_namespaces, drop_table, noted, store_table
+from chronoframe.sinks.tables import BUILT_FROM, CONTENT
 
 LAYERS = ("silver", "gold")
 BRONZE_TABLES = {
@@ -33,9 +35,10 @@ MEMBERSHIP_TABLE = "bronze.sp500_membership"
 
 @dataclass
 class BuildReport:
-    """Seconds per table and the diagnostics that found something."""
+    """Seconds per table stored, tables left as they are, and the diagnostics that found something."""
 
     seconds: dict[str, float] = field(default_factory=dict)
+    unchanged: list[str] = field(default_factory=list)
     warnings: DataFrame | None = None
 
     @property
@@ -56,12 +59,12 @@ def load_bronze(
     names = {**BRONZE_TABLES, "membership": MEMBERSHIP_TABLE}
     if recreate:
         for name in names.values():
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop_table(spark, name)
     for role, df in frames.items():
         if tables is not None and role not in tables:
             continue
         keyed = role == "daily_prices" and buckets
-        replace_table(
+        store_table(
             df, names[role], bucket_by=("ticker",) if keyed else (), sort_by=("ticker", "trade_date") if keyed else (),
             buckets=buckets or 0,
         )
@@ -72,9 +75,67 @@ def read_bronze(spark: SparkSession) -> layers.Bronze:
     return layers.Bronze(**{role: spark.table(name) for role, name in BRONZE_TABLES.items()})
 
 
+@dataclass(frozen=True)
+class Step:
+    """A table, what it is built from, and what must hold once it is stored.
+
+    ``build`` and ``holds`` take the tables read, in the order of ``reads``, and the window;
+    ``holds`` gets the table itself first and gives names and violating rows.
+    """
+
+    name: str
+    reads: tuple[str, ...]
+    build: Callable[..., DataFrame]
+    by_key: tuple[str, ...] = ()
+    cluster_by: tuple[str, str] | None = None
+    windowed: bool = False
+    holds: Callable[..., Mapping[str, DataFrame]] | None = None
+
+
+_PRICES, _SNAPSHOT, _LOG, _REGISTRY, _HELD = BRONZE_TABLES.values()
+_UNIVERSE, _EVENTS, _DIM, _RETURNS = "silver.ticker_universe", "silver.stg_sector_events", "silver.dim_sector_scd", "silver.fact_returns"
+_FACT, _DAILY = "gold.fact_returns_pit", "gold.sector_daily_returns"
+
+STEPS = (
+    Step(_UNIVERSE, (_PRICES, _SNAPSHOT, _HELD), lambda prices, snapshot, held, window: universe.build_universe(prices, snapshot, held)),
+    Step(
+        "silver.excluded_tickers", (_PRICES, _SNAPSHOT, _HELD, _UNIVERSE),
+        lambda prices, snapshot, held, analysable, window: universe.build_exclusions(prices, snapshot, held, analysable),
+    ),
+    Step(
+        _EVENTS, (_LOG, _UNIVERSE), lambda log, analysable, window: scd2.stage_events(log, analysable),
+        holds=lambda events, log, analysable: {
+            "repeated change events": unique(events, ["ticker", "first_trading_day"]),
+            "closed and opened versions": scd2.replay_imbalance(analysable, events),
+        },
+    ),
+    Step(
+        _DIM, (_UNIVERSE, _EVENTS), lambda analysable, events, window: layers.build_dimension(analysable, events), by_key=("ticker", "valid_from"),
+        holds=lambda dim, analysable, events: {"current versions": current_row_violations(dim)},
+    ),
+    Step("silver.dim_reconciliation", (_DIM, _UNIVERSE), lambda dim, analysable, window: scd2.reconcile(dim, analysable)),
+    Step(
+        "silver.sector_existence_violations", (_DIM, _REGISTRY),
+        lambda dim, registry, window: scd2.existence_violations(dim, registry, window), windowed=True,
+    ),
+    Step(
+        _RETURNS, (_PRICES, _UNIVERSE), lambda prices, analysable, window: layers.build_returns(prices, analysable), by_key=("ticker", "trade_date"),
+        holds=lambda returns, prices, analysable: {"repeated prices": unique(prices, ["ticker", "trade_date"])},
+    ),
+    Step(
+        _FACT, (_RETURNS, _DIM), lambda returns, dim, window: layers.build_fact_pit(returns, dim),
+        cluster_by=("sector_at_trade_date", "trade_date"),
+    ),
+    Step(_DAILY, (_FACT,), lambda fact, window: layers.build_group_series(fact, window)[0], windowed=True),
+    Step("gold.sector_cumulative_returns", (_DAILY,), lambda daily, window: layers.windows.cumulative_index(daily)),
+    Step("gold.anchor_metric", (_DAILY, _FACT, _DIM), layers.build_anchor, windowed=True),
+)
+BUILT_TABLES = tuple(step.name for step in STEPS)
+
+
 def build_all(
     spark: SparkSession, window: ReportingWindow, *, buckets: int, only: Sequence[str] = LAYERS,
-    strict: bool = False,
+    strict: bool = False, resume: bool = False,
 ) -> BuildReport:
     """Build silver, gold or both, in dependency order.
 
@@ -83,68 +144,53 @@ def build_all(
     replay that closes and opens unlike numbers of versions, and keys without
     exactly one current version stop the build before gold is touched;
     ``strict`` does the same for non-empty diagnostics.
+
+    With ``resume``, a table stays as it is if it was built from the same rows before, by the
+    fingerprints noted with the tables, for the same window and buckets. So a build that stopped goes on
+    where it was, and a change costs its descendants only, as far as their own rows change.
+    A check that failed leaves no note, so its table is built again.
     """
     unknown = set(only) - set(LAYERS)
     if unknown:
         raise ValueError(f"unknown layers: {sorted(unknown)}")
     create_namespaces(spark)
     report = BuildReport()
+    contents: dict[str, str | None] = {}
 
-    def store(name: str, build: Callable[[], DataFrame], **how) -> DataFrame:
-        started = time.perf_counter()
-        replace_table(build(), name, **how)
-        analyze(spark, name)
-        report.seconds[name] = time.perf_counter() - started
-        return spark.table(name)
-
-    by_key = {"bucket_by": ("ticker",), "buckets": buckets}
-    if "silver" in only:
-        bronze = read_bronze(spark)
-        analysable = store("silver.ticker_universe", lambda: layers.build_universe(bronze))
-        store("silver.excluded_tickers", lambda: layers.build_exclusions(bronze, analysable))
-        events = store(
-            "silver.stg_sector_events", lambda: scd2.stage_events(bronze.sector_history, analysable)
-        )
-        assert_empty(unique(events, ["ticker", "first_trading_day"]), "repeated change events")
-        assert_empty(unique(bronze.daily_prices, ["ticker", "trade_date"]), "repeated prices")
-        assert_empty(scd2.replay_imbalance(analysable, events), "closed and opened versions")
-        dim = store(
-            "silver.dim_sector_scd",
-            lambda: layers.build_dimension(analysable, events),
-            sort_by=("ticker", "valid_from"),
-            **by_key,
-        )
-        assert_empty(current_row_violations(dim), "current versions")
-        store("silver.dim_reconciliation", lambda: scd2.reconcile(dim, analysable))
-        store(
-            "silver.sector_existence_violations",
-            lambda: scd2.existence_violations(dim, bronze.sector_registry, window),
-        )
-        store(
-            "silver.fact_returns",
-            lambda: layers.build_returns(bronze.daily_prices, analysable),
-            sort_by=("ticker", "trade_date"),
-            **by_key,
-        )
+    def content(name: str) -> str | None:
+        if name not in contents:
+            contents[name] = noted(spark, name, CONTENT)
+        return contents[name]
+
+    def judge() -> None:
         report.warnings = warnings(diagnostics(spark))
         if strict and not report.warnings.isEmpty():
             raise IntegrityError("silver diagnostics are not empty")
 
-    if "gold" in only:
-        dim = spark.table("silver.dim_sector_scd")
-        fact = store(
-            "gold.fact_returns_pit",
-            lambda: layers.build_fact_pit(spark.table("silver.fact_returns"), dim),
-            cluster_by=("sector_at_trade_date", "trade_date"),
-        )
-        daily = store(
-            "gold.sector_daily_returns", lambda: layers.build_group_series(fact, window)[0]
-        )
-        store(
-            "gold.sector_cumulative_returns",
-            lambda: layers.windows.cumulative_index(daily),
-        )
-        store("gold.anchor_metric", lambda: layers.build_anchor(daily, fact, dim, window))
+    for step in STEPS:
+        layer = step.name.partition(".")[0]
+        if layer not in only:
+            continue
+        if layer == "gold" and "silver" in only and report.warnings is None:
+            judge()
+        known = [content(name) for name in step.reads]
+        told = [step.name, *map(str, known), str(window) if step.windowed else "", str(buckets) if step.by_key else ""]
+        built_from = hashlib.sha256("\n".join(told).encode()).hexdigest()
+        if resume and None not in known and noted(spark, step.name, BUILT_FROM) == built_from:
+            report.unchanged.append(step.name)
+            continue
+        started = time.perf_counter()
+        read = [spark.table(name) for name in step.reads]
+        how = {"bucket_by": step.by_key[:1], "sort_by": step.by_key, "buckets": buckets} if step.by_key else {"cluster_by": step.cluster_by}
+        contents[step.name] = store_table(step.build(*read, window), step.name, **how)
+        if step.holds:
+            for name, violations in step.holds(spark.table(step.name), *read).items():
+                assert_empty(violations, name)
+        spark.sql(f"ALTER TABLE {step.name} SET TBLPROPERTIES ('{BUILT_FROM}' = '{built_from}')")
+        analyze(spark, step.name)
+        report.seconds[step.name] = time.perf_counter() - started
+    if "silver" in only and report.warnings is None:
+        judge()
     return report
 
 
@@ -154,10 +200,3 @@ def diagnostics(spark: SparkSession) -> dict[str, DataFrame]:
         for name in ("silver.dim_reconciliation", "silver.sector_existence_violations")
     }
 
-
-BUILT_TABLES = (
-    "silver.ticker_universe", "silver.excluded_tickers", "silver.stg_sector_events",
-    "silver.dim_sector_scd", "silver.dim_reconciliation", "silver.sector_existence_violations",
-    "silver.fact_returns", "gold.fact_returns_pit", "gold.sector_daily_returns",
-    "gold.sector_cumulative_returns", "gold.anchor_metric",
-)

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.model import DAILY_PRICES, SourceError
@@ -32,22 +33,24 @@ MARKERS = ("Ticker", "Date")
 # Spellings of a missing number.
 MISSING = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None")
 
+
 @dataclass(frozen=True)
 class Landing:
-    """Parsed rows, and the files left out as (file, reason)."""
+    """Parsed rows, and what was left out: files as (file, reason), or lines as (value, reason)."""
 
     rows: DataFrame
     rejects: DataFrame
 
 
-# A comma that an even number of quotes follows.
-_BETWEEN_CELLS = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# A comma and the cell after it: quoted parts, in which commas stand and quotes are doubled, and other text.
+_CELL = ',((?:"(?:[^"]++|"")*+"|[^,"]++|")*+)'
 
 
 def _cells(line: Column) -> Column:
-    """Cells of one line; a quoted cell may hold commas and doubled quotes."""
+    """Cells of one line, in one pass over it; a quoted cell may hold commas and doubled quotes."""
     bare = lambda cell: F.regexp_replace(F.regexp_replace(F.trim(cell), '^"(.*)"$', "$1"), '""', '"')
-    return F.transform(F.split(F.regexp_replace(line, "^\ufeff", ""), _BETWEEN_CELLS), lambda cell: F.trim(bare(cell)))
+    led = F.concat(F.lit(","), F.regexp_replace(line, "^\ufeff", ""))
+    return F.transform(F.regexp_extract_all(led, F.lit(_CELL), 1), lambda cell: F.trim(bare(cell)))
 
 
 def read_keyed_csv(
@@ -58,17 +61,29 @@ def read_keyed_csv(
     renames: Mapping[str, str] = RENAMES,
     on_all_failed: str = "error",
 ) -> Landing:
-    """All CSV files of a folder; see ``parse_lines``. A file without any line is rejected too."""
-    source = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    """All CSV files of a folder; see ``parse_lines``. A file without any line is rejected too.
+
+    The entity is the file's name. Where the folder holds directories ``file=NAME.csv``, as
+    Spark writes them, each is one file in as many pieces as it has.
+    """
+    try:
+        source = spark.read.text(path)
+        by_folder = "file" in source.columns
+        if not by_folder:
+            source = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    except AnalysisException as error:
+        raise SourceError(f"cannot read {path}: {error.getCondition()}") from error
+    name = F.col("file") if by_folder else F.col("_metadata.file_name")
     # No reader yields a row for an empty file; the listing is the one the source keeps on the driver anyway.
-    names = [unquote(urlparse(uri).path).rpartition("/")[2] for uri in source.inputFiles()]
+    parts = [unquote(urlparse(uri).path).split("/") for uri in source.inputFiles()]
+    names = sorted({p[-2].removeprefix("file=") if by_folder else p[-1] for p in parts})
     if not names:
         raise SourceError(f"no CSV files found in {path}")
     files = spark.createDataFrame(pa.table({"file": names}))
-    lines = source.select(F.col("_metadata.file_name").alias("file"), "value")
+    lines = source.select(name.alias("file"), "value")
     landed = parse_lines(lines, date_column=date_column, renames=renames)
     nothing = F.lit(_missing_text(sorted([date_column, *renames])))
-    empty = files.join(lines.filter(F.trim("value") != "").select("file"), "file", "left_anti").select("file", nothing.alias("reason"))
+    empty = files.join(lines.filter(F.trim("value") != "").select("file").distinct(), "file", "left_anti").select("file", nothing.alias("reason"))
     rejects = landed.rejects.unionByName(empty)
     if on_all_failed == "error" and files.join(rejects, "file", "left_anti").isEmpty():
         raise SourceError(f"every file in {path} failed to parse")
@@ -82,24 +97,22 @@ def _missing_text(columns: list[str]) -> str:
 def parse_lines(
     lines: DataFrame, *, date_column: str = DATE_COLUMN, renames: Mapping[str, str] = RENAMES
 ) -> Landing:
-    """Rows and rejected files from lines given as (file, value), in one shuffle by file.
+    """Rows and rejected files from lines given as (file, value).
 
     A file is rejected as a whole when its header lacks a column or comes twice, a
     marker line comes twice, a line has other than the header's number of cells, or a
-    date or number cannot be read. One file is one entity's series, which the calendar
-    bounds.
+    date or number cannot be read.
+
+    Lines of one file may lie in any number of tasks: headers are found in a first pass and
+    joined to the lines, verdicts are counts that are summed where the lines are, and rejected
+    files drop out by an anti join. Nothing is ordered or gathered by file.
     """
-    of_file = Window.partitionBy("file")
     cells = lines.filter(F.trim("value") != "").select("file", _cells(F.col("value")).alias("_cells"))
     is_header = F.array_contains("_cells", date_column)
+    headers = cells.filter(is_header).groupBy("file").agg(F.max("_cells").alias("_header"), F.count(F.lit(1)).alias("_headers"))
     first = F.get("_cells", F.lit(0))
-    known = cells.withColumns(
-        {
-            "_header": F.max(F.when(is_header, F.col("_cells"))).over(of_file),
-            "_headers": F.count_if(is_header).over(of_file),
-            "_is_header": is_header,
-            "_marker": F.when(~is_header & first.isin(*MARKERS), first),
-        }
+    known = cells.join(headers.withColumnRenamed("file", "_of"), F.col("file") == F.col("_of"), "left").withColumns(
+        {"_is_header": is_header, "_marker": F.when(~is_header & first.isin(*MARKERS), first)}
     )
     names = F.coalesce("_header", F.array().cast("array<string>"))
     expected = F.array(*[F.lit(c) for c in sorted([date_column, *renames])])
@@ -118,15 +131,9 @@ def parse_lines(
         F.concat(F.lit("unusable: "), F.nullif(F.concat_ws(", ", *texts), F.lit("")))
     )
     rejects = parsed.groupBy("file").agg(reason.alias("reason")).filter(F.col("reason").isNotNull())
-
-    over = lambda flag: F.sum(flag.cast("int")).over(of_file)
-    faults = (F.size("_cells") != F.size("_header")) | (body & (F.col("_bad_date") | F.col("_bad_number")))
-    sound = (F.size("_missing") == 0) & (F.col("_headers") == 1) & (over(F.coalesce(faults, F.lit(True))) == 0)
-    for marker in MARKERS:
-        sound = sound & (over(F.coalesce(F.col("_marker") == marker, F.lit(False))) <= 1)
     key = F.regexp_replace("file", r"\.csv$", "").alias("ticker")
     columns = [f.name for f in DAILY_PRICES.fields if f.name in {"trade_date", *renames.values()}]
-    rows = parsed.withColumn("_sound", sound).filter(F.col("_sound") & body).select(key, *columns)
+    rows = parsed.filter(body).join(rejects.select("file"), "file", "left_anti").select(key, *columns)
     return Landing(rows, rejects)
 
 

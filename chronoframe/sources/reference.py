@@ -18,6 +18,7 @@ from chronoframe.model import (
     SECTOR_REGISTRY,
     SourceError,
 )
+from chronoframe.sources.prices import Landing
 
 # Snapshot column -> table column.
 SNAPSHOT_RENAMES = {
@@ -152,6 +153,58 @@ def read_seed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return _shaped(text.select(*strict), schema)
 
 
+def lines_to_rows(lines: DataFrame, schema: T.StructType, header: str | None = None) -> Landing:
+    """Typed rows from lines of CSV text in column ``value``, and the lines that do not fit as (value, reason).
+
+    ``header`` names the columns in the order of the lines (by default, that of the schema);
+    lines equal to it are skipped, blank ones too. A line does not fit when it has another number
+    of cells, when a cell is not of its column's type, or when a column that must be present is
+    empty. Cells hold no line breaks, so files are split between tasks.
+    """
+    order = [c.strip() for c in header.split(",")] if header else schema.fieldNames()
+    missing = sorted(set(schema.fieldNames()) - set(order))
+    if missing:
+        raise SourceError(f"missing expected columns {missing}")
+    kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+    declared = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in order)
+    options = {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unfit", "dateFormat": "yyyy-MM-dd", "escape": '"',
+        "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true",
+    }
+    bare = F.regexp_replace("value", "^\ufeff|\r$", "")
+    wanted = lines.select("value", bare.alias("_line")).filter((F.trim("_line") != "") & (F.trim("_line") != ",".join(order)))
+    read = wanted.select("value", F.from_csv("_line", declared + ", `_unfit` string", options).alias("_row"))
+    lacking = F.array_compact(F.array(*[F.when(F.col(f"_row.{f.name}").isNull(), F.lit(f.name)) for f in schema.fields if not f.nullable]))
+    reason = F.when(F.col("_row._unfit").isNotNull(), "cells do not fit the columns").when(
+        F.size(lacking) > 0, F.concat(F.lit("empty: "), F.array_join(lacking, ", "))
+    )
+    judged = read.withColumn("reason", reason)
+    rows = judged.filter(F.col("reason").isNull()).select([F.col(f"_row.{f.name}").alias(f.name, metadata=f.metadata) for f in schema.fields])
+    return Landing(rows, judged.filter(F.col("reason").isNotNull()).select("value", "reason"))
+
+
+def registry_from_lines(lines: DataFrame, header: str | None = None) -> Landing:
+    """Label lifetimes from lines of text."""
+    return lines_to_rows(lines, SECTOR_REGISTRY, header)
+
+
+def holdouts_from_lines(lines: DataFrame, header: str | None = None) -> Landing:
+    """Hold-outs from lines of text."""
+    return lines_to_rows(lines, EXCLUDED_ENTITIES, header)
+
+
+def land_seed(spark: SparkSession, path: str, schema: T.StructType) -> Landing:
+    """A CSV file with declared column types; its first line names the columns. Lines that do not fit are rejects."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as error:
+        raise SourceError(f"cannot read {path}: {error.getErrorClass()}") from error
+    header = lines.first()
+    if header is None:
+        raise SourceError(f"{path}: missing expected columns {sorted(schema.fieldNames())}")
+    return lines_to_rows(lines, schema, header["value"].lstrip("\ufeff").strip())
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table; a missing one is named, with how to produce it."""
     try:

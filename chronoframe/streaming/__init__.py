@@ -1,5 +1,5 @@
 """Scheduled forward tracking."""
 
-from chronoframe.streaming.tracking import apply_batch, track
+from chronoframe.streaming.tracking import Tracker, apply_batch, track
 
-__all__ = ["apply_batch", "track"]
+__all__ = ["Tracker", "apply_batch", "track"]

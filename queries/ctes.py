@@ -120,6 +120,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                100.0::DOUBLE - CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS close_price,
                CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"""),
+    "nation_prices": ((), """
+        SELECT CAST(c_nationkey AS BIGINT) AS ticker, CAST(l_shipdate AS DATE) AS trade_date,
+               100.0::DOUBLE - CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS close_price,
+               CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""),
     "named_prices": ((), """
         SELECT DISTINCT printf('Customer-%09d', o_custkey) AS ticker, CAST(l_shipdate AS DATE) AS trade_date
         FROM lineitem, orders WHERE l_orderkey = o_orderkey"""),
@@ -203,6 +208,17 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "universe_user": (("user_walked",), """
         SELECT ticker, label AS current_gics_sector, CAST(NULL AS VARCHAR) AS current_sub_industry
         FROM user_walked WHERE is_last"""),
+    "crowd_walked": ((), """
+        SELECT *, lag(label) OVER (ORDER BY day) AS old_label, day = max(day) OVER () AS is_last
+        FROM (SELECT 0::BIGINT AS ticker, CAST(ts AS DATE) AS day, arg_max(event_type, (ts, event_id)) AS label FROM events GROUP BY 2)"""),
+    "log_crowd": (("crowd_walked",), """
+        SELECT ticker, 'reclassification' AS change_type, old_label AS old_gics_sector, label AS new_gics_sector,
+               CAST(NULL AS VARCHAR) AS old_gics_sub_industry, CAST(NULL AS VARCHAR) AS new_gics_sub_industry,
+               day - 1 AS effective_after_close, day AS first_trading_day
+        FROM crowd_walked WHERE label <> old_label"""),
+    "universe_crowd": (("crowd_walked",), """
+        SELECT ticker, label AS current_gics_sector, CAST(NULL AS VARCHAR) AS current_sub_industry
+        FROM crowd_walked WHERE is_last"""),
     "membership": ((), """
         SELECT o_custkey AS ticker, CAST(o_orderdate AS DATE) AS start_date, CAST(o_orderdate AS DATE) + 30 AS end_date
         FROM orders"""),
@@ -210,6 +226,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     **_family("_rl", "states_rl"),
     **_dimension("_gap", "log_gap", "universe"),
     **_dimension("_user", "log_user", "universe_user"),
+    **_dimension("_crowd", "log_crowd", "universe_crowd"),
     **_facts(""),
     **_facts("_rl"),
     "dim_held": (("dim_rl",), """

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from chronoframe.model import SECTOR_RENAME
 from chronoframe.operators import chains, comparison, joins, scd2, windows
+from chronoframe.streaming import Tracker
 from queries.family import Family
 from queries.mapping import WINDOW, Inputs
+from queries.storage import new_folder
 
 FAMILY = Family()
 DIM = "ticker, gics_sector, gics_sub_industry, valid_from, valid_to, is_current, version_number, change_reason"
@@ -258,15 +260,15 @@ def _step_sql(before: str, source: str, day: date) -> str:
   WHERE t.ticker IS NULL OR {changed}"""
 
 
-@FAMILY.query(
-    f""",
+_TRACKED = f""",
 s0 AS ({_state_sql(RUNS[0])}), s1 AS ({_state_sql(RUNS[1])}), s2 AS ({_state_sql(RUNS[2], "current_sub_industry <> 'P'")}),
 t0 AS (SELECT *, DATE '{RUNS[0]}' AS valid_from, CAST(NULL AS DATE) AS valid_to FROM s0),
 t1 AS ({_step_sql("t0", "s1", RUNS[1])}),
 t2 AS ({_step_sql("t1", "s2", RUNS[2])})
-SELECT * FROM t2""",
-    "states",
-)
+SELECT * FROM t2"""
+
+
+@FAMILY.query(_TRACKED, "states")
 def snapshot_check(i: Inputs) -> DataFrame:
     """Three scheduled runs; before the last one some customers left the source."""
     tracked = scd2.snapshot_start(i.state_on(RUNS[0]), RUNS[0])
@@ -275,6 +277,20 @@ def snapshot_check(i: Inputs) -> DataFrame:
     return scd2.snapshot_check(tracked, remaining, RUNS[2])
 
 
+@FAMILY.query(_TRACKED, "states")
+def tracked_by_stream(i: Inputs) -> DataFrame:
+    """The same three runs, scheduled: states arrive as files, a stream takes what is new; a fourth run finds nothing."""
+    folder = new_folder(i.spark, "tracked")
+    tracker, arrivals = Tracker(i.spark, f"{folder}/dimension"), f"{folder}/arrivals"
+    for number, day in enumerate((*RUNS, None)):
+        if day is not None:
+            states = i.state_on(day).filter(F.col("current_sub_industry") != "P") if day == RUNS[2] else i.state_on(day)
+            states.withColumn("seen", F.lit(number)).write.mode("append").parquet(arrivals)
+        source = i.spark.readStream.schema(i.spark.read.parquet(arrivals).schema).parquet(arrivals)
+        tracker.run(source, f"{folder}/progress", order="seen", clock=lambda day=day: day).awaitTermination()
+    return tracker.rows().select("ticker", "current_gics_sector", "current_sub_industry", "valid_from", "valid_to")
+
+
 @FAMILY.query(
     """
 SELECT ticker, trade_date FROM prices p

@@ -73,6 +73,17 @@ def pit_join_left_gapped(i: Inputs) -> DataFrame:
     return joins.pit_join(i.prices().select("ticker", "trade_date"), i.gapped_dim(), how="left")
 
 
+@FAMILY.query(
+    f"""SELECT f.event_id, f.ticker, d.gics_sector
+FROM (SELECT event_id, 0::BIGINT AS ticker, CAST(ts AS DATE) AS trade_date FROM events) f JOIN dim_crowd d ON d.ticker = f.ticker AND {IN_FORCE}""",
+    "dim_crowd",
+)
+def pit_join_prefix(i: Inputs) -> DataFrame:
+    """All events under one key, each with the last action of its day over all users."""
+    events = i.table("events").select("event_id", F.lit(0).cast("bigint").alias("ticker"), "ts")
+    return joins.pit_join(events, i.crowd_dim(), time="ts", strategy="prefix").drop("ts")
+
+
 @FAMILY.query(
     f"SELECT f.ticker, f.trade_date, d.gics_sector FROM prices f JOIN dim_gap d ON d.ticker = f.ticker AND {IN_FORCE}",
     "prices",

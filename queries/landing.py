@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoframe import sources
 from chronoframe.operators import quality as dq
@@ -16,10 +17,9 @@ from queries.storage import new_folder
 FAMILY = Family()
 
 
-def price_lines(i: Inputs) -> DataFrame:
-    """One file per customer. By the key modulo 11 its first day, header or markers are broken (1 to 5)."""
+def price_lines(prices: DataFrame, prefix: str = "C") -> DataFrame:
+    """One file per key. By the key modulo 11 its first day, header or markers are broken (1 to 5)."""
     fault = F.col("ticker") % 11
-    prices = i.prices()
     firsts = prices.groupBy("ticker").agg(F.min("trade_date").alias("first"))
     broken = lambda k: (F.col("trade_date") == F.col("first")) & (fault == k)
     day = F.when(broken(4), "soon").otherwise(F.date_format("trade_date", "yyyy-MM-dd"))
@@ -33,7 +33,7 @@ def price_lines(i: Inputs) -> DataFrame:
         *[F.when(fault != 5, F.lit(m)) for m in marks], F.when(fault == 3, F.lit(marks[0])),
     )
     heads = firsts.select("ticker", F.explode(F.array_compact(head)).alias("value"))
-    return heads.unionByName(body).select(F.concat(F.lit("C"), F.col("ticker").cast("string"), F.lit(".csv")).alias("file"), "value")
+    return heads.unionByName(body).select(F.concat(F.lit(prefix), F.col("ticker").cast("string"), F.lit(".csv")).alias("file"), "value")
 
 
 @FAMILY.query(
@@ -41,7 +41,7 @@ def price_lines(i: Inputs) -> DataFrame:
     "prices",
 )
 def prices_from_lines(i: Inputs) -> DataFrame:
-    return sources.parse_lines(price_lines(i)).rows.select("ticker", "trade_date", "close_price", "volume")
+    return sources.parse_lines(price_lines(i.prices())).rows.select("ticker", "trade_date", "close_price", "volume")
 
 
 @FAMILY.query(
@@ -51,7 +51,96 @@ def prices_from_lines(i: Inputs) -> DataFrame:
     "prices",
 )
 def rejects_from_lines(i: Inputs) -> DataFrame:
-    return sources.parse_lines(price_lines(i)).rejects
+    return sources.parse_lines(price_lines(i.prices())).rejects
+
+
+def _price_folder(i: Inputs) -> sources.Landing:
+    """One file per nation, each in several pieces, as the tasks of a job write them."""
+    folder = new_folder(i.spark, "prices")
+    price_lines(i.nation_prices(), "N").write.partitionBy("file").text(folder)
+    return sources.read_keyed_csv(i.spark, folder)
+
+
+@FAMILY.query(
+    f"SELECT 'N' || ticker AS ticker, trade_date, {r('close_price')}, volume FROM nation_prices WHERE ticker % 11 NOT BETWEEN 1 AND 5",
+    "nation_prices",
+)
+def prices_from_folder(i: Inputs) -> DataFrame:
+    return _price_folder(i).rows.select("ticker", "trade_date", "close_price", "volume")
+
+
+@FAMILY.query(
+    """SELECT 'N' || ticker || '.csv' AS file,
+    ['unusable: 1 numbers', 'unusable: 1 lines of other length', 'unusable: 1 Ticker lines', 'unusable: 1 dates', 'missing expected columns [Volume]'][ticker % 11] AS reason
+    FROM (SELECT DISTINCT ticker FROM nation_prices) WHERE ticker % 11 BETWEEN 1 AND 5""",
+    "nation_prices",
+)
+def rejects_from_folder(i: Inputs) -> DataFrame:
+    return _price_folder(i).rejects
+
+
+_TEXT = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
+@FAMILY.query(
+    """SELECT gics_sector, existed_from, existed_to, notes, NULL::VARCHAR AS reason FROM (
+        SELECT c_mktsegment || '-' || c_nationkey AS gics_sector, DATE '1990-01-01' + CAST(c_nationkey AS INTEGER) AS existed_from,
+               CASE WHEN c_nationkey % 2 = 1 THEN DATE '2010-01-01' END AS existed_to, min(c_custkey) || ', the first' AS notes, c_nationkey
+        FROM customer GROUP BY c_mktsegment, c_nationkey)
+    WHERE c_nationkey % 7 NOT IN (3, 5, 6)
+    UNION ALL SELECT NULL, NULL, NULL, NULL, CASE WHEN c_nationkey % 7 = 5 THEN 'empty: gics_sector' ELSE 'cells do not fit the columns' END
+    FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer) WHERE c_nationkey % 7 IN (3, 5, 6)"""
+)
+def registry_from_text(i: Inputs) -> DataFrame:
+    """A label per segment and nation; by the nation modulo 7 its date is none (3), its name is missing (5), or it has a cell too many (6)."""
+    labels = i.table("customer").groupBy("c_mktsegment", "c_nationkey").agg(F.min("c_custkey").alias("first"))
+    fault = F.col("c_nationkey") % 7
+    day = F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("c_nationkey").cast("int")), "yyyy-MM-dd")
+    cells = (
+        F.concat(F.lit('"'), F.col("first").cast("string"), F.lit(', the first"')), F.when(fault == 3, "soon").otherwise(day),
+        F.when(fault == 5, " ").otherwise(F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string"))),
+        F.when(F.col("c_nationkey") % 2 == 1, "2010-01-01").otherwise(""), F.when(fault == 6, "S,").otherwise("S"),
+    )
+    landed = sources.registry_from_lines(labels.select(F.concat_ws(",", *cells).alias("value")), "notes,existed_from,gics_sector,existed_to,source_id")
+    return landed.rows.drop("source_id").unionByName(landed.rejects.select("reason"), allowMissingColumns=True)
+
+
+@FAMILY.query(
+    """SELECT c_name AS ticker, CASE WHEN c_acctbal < -500 THEN 'entity_discontinuity' ELSE 'unverified_sector_history' END AS exclusion_class,
+           'in debt, "' || c_mktsegment || '"' AS exclusion_reason, NULL::VARCHAR AS reason
+    FROM customer WHERE c_acctbal < 0 AND c_custkey % 9 <> 4
+    UNION ALL SELECT NULL, NULL, NULL, 'empty: exclusion_class' FROM customer WHERE c_acctbal < 0 AND c_custkey % 9 = 4"""
+)
+def holdouts_from_text(i: Inputs) -> DataFrame:
+    """Customers in debt, some of them without a class; reasons hold commas and quotes."""
+    kind = F.when(F.col("c_custkey") % 9 == 4, "").when(F.col("c_acctbal") < -500, "entity_discontinuity").otherwise("unverified_sector_history")
+    why = F.concat(F.lit('"in debt, ""'), "c_mktsegment", F.lit('"""'))
+    landed = sources.holdouts_from_lines(i.table("customer").filter("c_acctbal < 0").select(F.concat_ws(",", "c_name", F.lit(""), kind, why).alias("value")))
+    return landed.rows.drop("company_name").unionByName(landed.rejects.select("reason"), allowMissingColumns=True)
+
+
+_SEED = T.StructType([
+    T.StructField("o_orderkey", T.LongType(), False), T.StructField("o_totalprice", T.DoubleType()),
+    T.StructField("ordered", T.DateType(), False), T.StructField("open", T.BooleanType()),
+])
+
+
+@FAMILY.query(
+    f"""SELECT o_orderkey, {r('o_totalprice')}, ordered, open, reason FROM (
+        SELECT o_orderkey, o_totalprice::DOUBLE AS o_totalprice, CAST(o_orderdate AS DATE) AS ordered, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus = 'O' END AS open, NULL::VARCHAR AS reason
+        FROM orders WHERE o_orderkey % 13 NOT IN (2, 5, 7)
+        UNION ALL SELECT NULL, NULL, NULL, NULL, CASE WHEN o_orderkey % 13 = 5 THEN 'empty: ordered' ELSE 'cells do not fit the columns' END
+        FROM orders WHERE o_orderkey % 13 IN (2, 5, 7))"""
+)
+def seed_from_text(i: Inputs) -> DataFrame:
+    """Orders as lines under another order of columns: a price that is no number (2), no day (5), a cell missing (7)."""
+    fault = F.col("o_orderkey") % 13
+    cells = (
+        F.when(fault == 5, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")), F.when(fault == 2, "cheap").otherwise(F.col("o_totalprice").cast("string")),
+        F.when(F.col("o_orderstatus") == "P", "").otherwise((F.col("o_orderstatus") == "O").cast("string")), F.when(fault != 7, F.col("o_orderkey").cast("string")),
+    )
+    landed = sources.lines_to_rows(i.table("orders").select(F.concat_ws(",", *cells).alias("value")), _SEED, "ordered,o_totalprice,open,o_orderkey")
+    return landed.rows.unionByName(landed.rejects.select("reason"), allowMissingColumns=True)
 
 
 @FAMILY.query(

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.model import RECLASSIFICATION, SECTOR_RENAME, ReportingWindow
 from chronoframe.operators import scd2, windows
-from queries.storage import new_folder
+from queries.storage import stored
 
 WINDOW = ReportingWindow(date(1996, 1, 1), date(2000, 12, 31))
 RENAME_DAY = date(1998, 7, 1)
@@ -51,9 +51,7 @@ class Inputs:
 
     def stored(self, name: str, df: DataFrame) -> DataFrame:
         """Written to the shared folder and read back, for what several steps read."""
-        folder = new_folder(self.spark, name)
-        df.write.parquet(folder)
-        return self.spark.read.schema(df.schema).parquet(folder)
+        return stored(df, name)
 
     # --- observations -----------------------------------------------------
     def _shipments(self, orders: DataFrame) -> DataFrame:
@@ -66,6 +64,12 @@ class Inputs:
         )
         return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
+    def nation_prices(self) -> DataFrame:
+        """Prices by the customer's nation: few keys with long series."""
+        nations = self.table("customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("ticker"))
+        orders = self.table("orders").select("o_orderkey", "o_custkey").join(nations, F.col("o_custkey") == F.col("c_custkey"))
+        return _daily_close(self._shipments(orders.select("o_orderkey", "ticker")))
+
     def prices(self) -> DataFrame:
         orders = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("ticker"))
         return _daily_close(self._shipments(orders))
@@ -253,8 +257,16 @@ class Inputs:
         )
 
     def user_dim(self) -> DataFrame:
+        return self._event_dim(self.user_states())
+
+    def crowd_dim(self) -> DataFrame:
+        """All users as one key, 0: the last action of each day."""
+        one = self.table("events").groupBy(F.lit(0).cast("bigint").alias("ticker"), F.col("ts").cast("date").alias("day"))
+        return self._event_dim(one.agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("label")))
+
+    def _event_dim(self, states: DataFrame) -> DataFrame:
         history = Window.partitionBy("ticker").orderBy("day")
-        walked = self.user_states().select(
+        walked = states.select(
             "*",
             F.lag("label").over(history).alias("old_label"),
             F.lead("day").over(history).isNull().alias("is_last"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queries import comparing, dimension, facts, landing, quality, reporting, universe
+from queries import comparing, dimension, facts, landing, quality, reporting, universe, warehouse
 
-FAMILIES = (universe, dimension, facts, comparing, quality, reporting, landing)
+FAMILIES = (universe, dimension, facts, comparing, quality, reporting, landing, warehouse)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,17 +1,5 @@
 """Folders for what a query writes."""
 
-from __future__ import annotations
+from chronoframe.session import new_folder, stored
 
-import uuid
-
-from pyspark.sql import SparkSession
-
-from chronoframe.session import shared_folder
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, deleted when the application ends."""
-    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
+__all__ = ["new_folder", "stored"]

@@ -192,3 +192,31 @@ def test_two_current_versions_are_refused(frame, facts):
     dim = frame(DIM, [("G", "x", "1900-01-01", None, True, 1), ("G", "a", "2018-09-21", None, True, 2), ("M", "IT", "1900-01-01", None, True, 1)])
     with pytest.raises(Exception, match="more than one current version of G"):
         joins.dual_label(facts, dim).collect()
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_merge_over_ranges_matches_the_range_join(spark, rows, how, ranges):
+    """One key with most rows, days with many facts, gaps, keys on one side only, null keys and days."""
+    dim = spark.range(60).selectExpr(
+        "IF(id % 3 = 0, concat('K', id % 4), 'HOT') AS ticker", "concat('L', id) AS gics_sector",
+        "date_add(DATE '2020-01-01', CAST(id * 5 AS INT)) AS valid_from",
+        "IF(id = 59, NULL, date_add(DATE '2020-01-01', CAST(id * 5 + 3 + id % 2 AS INT))) AS valid_to",
+    )
+    facts = spark.range(900).selectExpr(
+        "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 9 = 0 THEN concat('K', id % 6) ELSE 'HOT' END AS ticker",
+        "IF(id % 37 = 0, NULL, date_add(DATE '2019-12-15', CAST(IF(id % 2 = 0, 150, id % 380) AS INT))) AS trade_date", "id AS `a.b`",
+    )
+    merged = joins.pit_join(facts, dim, how=how, strategy="prefix", ranges=ranges)
+    assert rows(merged) == rows(joins.pit_join(facts, dim, how=how)) and merged.columns == [*facts.columns, "gics_sector"]
+
+
+def test_merge_over_ranges_leaves_no_task_to_a_key(spark):
+    dim = spark.sql("SELECT 'A' AS ticker, 'x' AS gics_sector, DATE '2020-01-01' AS valid_from, CAST(NULL AS DATE) AS valid_to")
+    facts = spark.range(5000).selectExpr("'A' AS ticker", "DATE '2020-06-01' AS trade_date", "id")
+    merged = joins.pit_join(facts, dim, strategy="prefix", ranges=8)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_range" in plan and "hashpartitioning(_key" not in plan and "hashpartitioning(ticker" not in plan
+    scanned = spark.read.parquet(*{f.rpartition("/")[0] for f in merged.inputFiles()})
+    sizes = [r["count"] for r in scanned.groupBy("_range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 5000 / 8 * 2

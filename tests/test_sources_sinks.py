@@ -2,6 +2,7 @@ import os
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronoframe import sources
 from chronoframe.model import DAILY_PRICES, EXCLUDED_ENTITIES, SourceError
@@ -156,7 +157,7 @@ def test_a_swap_that_fails_half_way_gives_the_old_table_back(spark, rows, monkey
     plain = tables._rename
     monkeypatch.setattr(tables, "_rename", lambda s, name, to: (_ for _ in ()).throw(OSError("no second rename")) if to == "silver.swapped" and "incoming" in name else plain(s, name, to))
     with pytest.raises(OSError, match="second rename"):
-        replace_table(spark.range(5), "silver.swapped")
+        replace_table(spark.range(5).selectExpr("id", "1 AS more"), "silver.swapped")  # other columns: by renaming
     assert rows(spark.table("silver.swapped")) == [(0,), (1,)]
     assert [t.name for t in spark.catalog.listTables("silver") if "swapped" in t.name] == ["swapped"]
 
@@ -194,3 +195,114 @@ def test_comments_travel_with_the_table(spark, frame):
     described = {r.col_name: r.comment for r in spark.sql("DESCRIBE silver.dim_sector_scd").collect()}
     assert described["valid_from"].startswith("First day in force")
     spark.sql("DROP TABLE silver.dim_sector_scd")
+
+
+def test_a_reader_always_finds_a_table_that_is_replaced(spark):
+    """Old rows or new ones, never none: also with a scan planned on the version before."""
+    import threading
+
+    create_namespaces(spark)
+    replace_table(spark.range(10), "silver.read_on")
+    seen, failures, stop = set(), [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            try:
+                seen.add(spark.table("silver.read_on").count())
+            except Exception as error:  # noqa: BLE001
+                failures.append(error)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    planned = spark.table("silver.read_on")
+    for n in (20, 30, 40):
+        replace_table(spark.range(n), "silver.read_on")
+        if n == 20:
+            assert planned.count() == 10
+    stop.set()
+    reader.join()
+    assert not failures and seen <= {10, 20, 30, 40}
+    assert spark.table("silver.read_on").count() == 40
+    folder = spark.catalog.getDatabase("silver").locationUri.removeprefix("file:")
+    assert len([f for f in os.listdir(folder) if f.startswith("read_on__v_")]) == 2
+    from chronoframe.sinks import drop_table
+
+    drop_table(spark, "silver.read_on")
+    assert not [f for f in os.listdir(folder) if f.startswith("read_on")]
+
+
+def test_reloading_days_leaves_the_files_of_other_partitions(spark, frame, rows):
+    from chronoframe.sinks import reload_partitions
+
+    create_namespaces(spark)
+    spec = "ticker:s trade_date:d volume:l month:s"
+    replace_table(frame(spec, [("A", "2020-01-05", 1, "2020-01"), ("B", "2020-01-06", 2, "2020-01"), ("A", "2020-02-05", 3, "2020-02")]), "silver.monthly", partition_by=("month",))
+    files = lambda: {f for f in spark.table("silver.monthly").inputFiles() if "2020-02" in f}
+    before = files()
+    reload_partitions(frame(spec, [("A", "2020-01-05", 9, "2020-01"), ("C", "2020-03-01", 4, "2020-03")]), "silver.monthly", key=("ticker", "trade_date"), partition="month")
+    assert files() == before
+    assert rows(spark.table("silver.monthly"), "ticker", "volume", "month") == [("A", 3, "2020-02"), ("A", 9, "2020-01"), ("B", 2, "2020-01"), ("C", 4, "2020-03")]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+    reload_partitions(frame(spec, []), "silver.monthly", key=("ticker",), partition="month")
+
+
+def test_statistics_change_the_order_of_joins(spark):
+    """Two dimensions: the one whose filter leaves little is joined first once its values are known."""
+    create_namespaces(spark)
+    replace_table(spark.range(20_000).selectExpr("id", "id % 1000 AS a", "id % 997 AS b"), "silver.cbo_fact")
+    replace_table(spark.range(1000).selectExpr("id AS a", "id % 2 AS kind"), "silver.cbo_wide")
+    replace_table(spark.range(997).selectExpr("id AS b", "id AS kind"), "silver.cbo_narrow")
+    sql = "SELECT count(*) FROM silver.cbo_fact f JOIN silver.cbo_wide w ON f.a = w.a JOIN silver.cbo_narrow n ON f.b = n.b WHERE w.kind = 1 AND n.kind = 5"
+    settings = {"spark.sql.cbo.enabled": "true", "spark.sql.cbo.joinReorder.enabled": "true", "spark.sql.statistics.histogram.enabled": "true"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        def first_joined():
+            plan = spark.sql(sql)._jdf.queryExecution().optimizedPlan().toString()
+            # The deeper a table, the earlier it is joined.
+            depth = {t: next(len(line) - len(line.lstrip(" :+-|")) for line in plan.splitlines() if f"cbo_{t}" in line) for t in ("wide", "narrow")}
+            return max(depth, key=depth.get)
+
+        assert first_joined() == "wide"
+        for table in ("cbo_fact", "cbo_wide", "cbo_narrow"):
+            analyze(spark, f"silver.{table}", columns=True)
+        assert first_joined() == "narrow"
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
+def test_lines_that_do_not_fit_a_seed_are_rejects(spark, tmp_path, rows):
+    from chronoframe.model import SECTOR_REGISTRY
+
+    path = tmp_path / "registry.csv"
+    path.write_text('\ufeffgics_sector,existed_from,existed_to,source_id,notes\r\nIT,1900-01-01,,S1,"a, ""b"""\r\n\nEN,never,,S1,\nFI,1900-01-01,,S1\n,1900-01-01,,S1,x\n')
+    landed = sources.land_seed(spark, str(path), SECTOR_REGISTRY)
+    assert rows(landed.rows, "gics_sector", "existed_from", "existed_to", "notes") == [("IT", date(1900, 1, 1), None, 'a, "b"')]
+    assert rows(landed.rejects, "reason") == [("cells do not fit the columns",), ("cells do not fit the columns",), ("empty: gics_sector",)]
+    path.write_text("gics_sector,notes\nIT,x\n")
+    with pytest.raises(SourceError, match="existed_from"):
+        sources.land_seed(spark, str(path), SECTOR_REGISTRY)
+    path.write_text("")
+    with pytest.raises(SourceError, match="gics_sector"):
+        sources.land_seed(spark, str(path), SECTOR_REGISTRY)
+
+
+def test_a_file_in_many_pieces_is_judged_as_one(spark, tmp_path, rows):
+    head = ["Price,Close,High,Low,Open,Volume", "Ticker,x,x,x,x,x", "Date,,,,,"]
+    lines = [("A.csv", h) for h in head] + [("A.csv", f"2020-01-{d:02},1,1,1,\"1\",5") for d in range(1, 29)]
+    lines += [("B.csv", h) for h in head] + [("B.csv", "2020-01-01,1,1,1,1,5"), ("B.csv", "2020-01-02,one,1,1,1,5")]
+    spark.createDataFrame(lines, "file string, value string").repartition(7).write.partitionBy("file").text(str(tmp_path / "pieces"))
+    landed = sources.read_keyed_csv(spark, str(tmp_path / "pieces"))
+    assert rows(landed.rows.groupBy("ticker").count()) == [("A", 28)]
+    assert rows(landed.rejects) == [("B.csv", "unusable: 1 numbers")]
+    assert "Window" not in landed.rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_split_in_one_pass(spark):
+    from chronoframe.sources.prices import _cells
+
+    texts = ['a,b', ',', 'a,', '"x,y",z', '"q""r",', ' "s" , t', 'open"ed,u', '"never closed,v', '', "x" * 20_000 + "," + '"' + "y,z" * 5_000 + '"']
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "line string").select(_cells(F.col("line"))).collect()]
+    assert got[:9] == [["a", "b"], ["", ""], ["a", ""], ["x,y", "z"], ['q"r', ""], ["s", "t"], ['open"ed', "u"], ['"never closed', "v"], [""]]
+    assert [len(c) for c in got[9]] == [20_000, 15_000]

@@ -122,6 +122,40 @@ def test_selected_tables_can_be_reloaded(spark, built, corpus):
     assert spark.table("bronze.daily_prices").count() == 20
 
 
+def test_a_build_goes_on_where_rows_have_changed(spark, built, corpus, frame):
+    warehouse.build_all(spark, W, buckets=4)
+    assert warehouse.build_all(spark, W, buckets=4, resume=True).seconds == {}
+    load(spark, corpus, buckets=4)  # the same rows again
+    assert warehouse.build_all(spark, W, buckets=4, resume=True).seconds == {}
+    other = ReportingWindow.of("2018-09-01", "2018-12-31")
+    assert list(warehouse.build_all(spark, other, buckets=4, resume=True).seconds) == [
+        "silver.sector_existence_violations", "gold.sector_daily_returns", "gold.anchor_metric"
+    ]  # the daily rows are the same, so what is built of them alone stays
+    held = frame("ticker:s company_name:s exclusion_class:s exclusion_reason:s", [("HELD", "Held", "entity_discontinuity", "still two companies")])
+    warehouse.load_bronze(spark, {"excluded_entities": held})
+    again = warehouse.build_all(spark, other, buckets=4, resume=True)
+    assert list(again.seconds) == ["silver.ticker_universe", "silver.excluded_tickers"]
+    warehouse.load_bronze(spark, {"excluded_entities": held.limit(0)})
+    again = warehouse.build_all(spark, other, buckets=4, resume=True)
+    assert tuple(again.seconds) == warehouse.BUILT_TABLES  # another universe: everything reads it in the end
+    spark.sql("DROP TABLE gold.sector_daily_returns")
+    assert "gold.sector_daily_returns" in warehouse.build_all(spark, other, buckets=4, resume=True).seconds
+    load(spark, corpus, buckets=4)
+    warehouse.build_all(spark, W, buckets=4, resume=True)
+
+
+def test_a_table_whose_check_failed_is_built_again(spark, built, corpus):
+    log = spark.table("bronze.sector_history")
+    doubled = log.unionByName(log)
+    doubled.createOrReplaceTempView("doubled")
+    warehouse.load_bronze(spark, {"sector_history": spark.createDataFrame(doubled.toPandas(), log.schema)})
+    for _ in range(2):
+        with pytest.raises(IntegrityError, match="repeated change events"):
+            warehouse.build_all(spark, W, buckets=4, resume=True)
+    load(spark, corpus, tables=("sector_history",))
+    assert "silver.stg_sector_events" in warehouse.build_all(spark, W, buckets=4, resume=True).seconds
+
+
 def test_exports(spark, built, tmp_path):
     exported = export_all(spark, str(tmp_path))
     assert exported["dim_sector_scd.parquet"] == 4 and exported["excluded_tickers.parquet"] == 3
@@ -132,7 +166,7 @@ def test_strict_build_stops_before_gold(spark, built, corpus):
     """Without the change log the snapshot's label is claimed before it existed."""
     spark.table("bronze.sector_history").limit(0).createOrReplaceTempView("no_changes")
     try:
-        warehouse.replace_table(spark.table("no_changes"), "bronze.sector_history")
+        warehouse.load_bronze(spark, {"sector_history": spark.table("no_changes")})
         with pytest.raises(IntegrityError):
             warehouse.build_all(spark, W, buckets=4, strict=True)
     finally:
@@ -164,3 +198,51 @@ def test_streamed_snapshot_tracking(spark, frame, tmp_path, rows):
         ("B", "IT", datetime(2024, 1, 1), None), ("C", "EN", datetime(2024, 1, 8), None),
     ], key=repr)
     spark.sql("DROP TABLE silver.tracked")
+
+
+def test_a_tracker_writes_closed_rows_once(spark, frame, tmp_path, rows):
+    import os
+
+    from chronoframe.model import SourceError
+    from chronoframe.streaming import Tracker
+
+    source = "ticker:s current_gics_sector:s current_sub_industry:s seen:l"
+    tracker = Tracker(spark, str(tmp_path / "tracked"))
+    with pytest.raises(SourceError, match="nothing has been tracked"):
+        tracker.rows()
+    arrivals, checkpoint = str(tmp_path / "arrivals"), str(tmp_path / "progress")
+
+    def run(day, *states):
+        if states:
+            frame(source, states).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(frame(source, []).schema).parquet(arrivals)
+        assert tracker.run(stream, checkpoint, order="seen", clock=lambda: datetime(2024, 1, day)).awaitTermination(60) is not False
+
+    def files(part):
+        return sorted(f"{at}/{f}" for at, _, names in os.walk(tmp_path / "tracked") for f in names if f"part={part}" in at and f.endswith(".parquet"))
+
+    run(1, ("A", "IT", "x", 1), ("B", "IT", "y", 1))
+    run(8, ("A", "FIN", "x", 2), ("A", "CS", "x", 3), ("C", "EN", "z", 2))
+    closed = files("closed")
+    run(9)  # nothing new arrived
+    assert tracker.batches() == [0, 1] and files("closed") == closed
+    run(15, ("B", "FIN", "y", 4))
+    run(22, ("C", "IT", "z", 5))
+    assert set(closed) < set(files("closed")) and len({f.partition("batch=")[2][0] for f in files("open")}) == 2
+    expected = sorted([
+        ("A", "IT", datetime(2024, 1, 1), datetime(2024, 1, 8)), ("A", "CS", datetime(2024, 1, 8), None),
+        ("B", "IT", datetime(2024, 1, 1), datetime(2024, 1, 15)), ("B", "FIN", datetime(2024, 1, 15), None),
+        ("C", "EN", datetime(2024, 1, 8), datetime(2024, 1, 22)), ("C", "IT", datetime(2024, 1, 22), None),
+    ], key=repr)
+    columns = ("ticker", "current_gics_sector", "valid_from", "valid_to")
+    assert rows(tracker.rows(), *columns) == expected
+    # A batch delivered twice changes nothing; one that was cut off before its end is not seen, and is written again.
+    tracker.fold(frame(source, [("A", "XX", "x", 9)]), 3, datetime(2024, 2, 1), "seen")
+    assert rows(tracker.rows(), *columns) == expected
+    half = tmp_path / "tracked" / "batch=4" / "part=closed"
+    half.mkdir(parents=True)
+    frame(source, []).write.mode("overwrite").parquet(str(half))
+    (half / "_SUCCESS").unlink()
+    assert rows(tracker.rows(), *columns) == expected
+    tracker.fold(frame(source, [("A", "XX", "x", 9)]), 4, datetime(2024, 2, 1), "seen")
+    assert len(rows(tracker.rows())) == 7 and tracker.batches()[-1] == 4
