@@ -126,8 +126,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""),
     "named_prices": ((), """
-        SELECT DISTINCT printf('Customer-%09d', o_custkey) AS ticker, CAST(l_shipdate AS DATE) AS trade_date
-        FROM lineitem, orders WHERE l_orderkey = o_orderkey"""),
+        SELECT printf('Customer-%09d', o_custkey) AS ticker, CAST(l_shipdate AS DATE) AS trade_date
+        FROM lineitem, orders WHERE l_orderkey = o_orderkey
+        UNION SELECT printf('Vendor-%09d', l_suppkey), CAST(l_shipdate AS DATE) FROM lineitem"""),
     "chained": (("prices",), """
         SELECT *, lag(close_price) OVER (PARTITION BY ticker ORDER BY trade_date) AS prev_close FROM prices"""),
     "returns": (("chained",), """
@@ -180,7 +181,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         AS t(gics_sector, existed_from, existed_to)"""),
     "named_snapshot": ((), """
         SELECT c_name AS ticker, nullif(c_mktsegment, 'FURNITURE') AS gics_sector, CAST(c_nationkey AS VARCHAR) AS gics_sub_industry
-        FROM customer WHERE c_mktsegment <> 'MACHINERY'
+        FROM customer
         UNION ALL SELECT s_name, 'SUPPLIER', CAST(s_nationkey AS VARCHAR) FROM supplier"""),
     "holdouts": ((), """
         SELECT replace(c_name, '#', '-') AS ticker,

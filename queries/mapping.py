@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoframe.model import RECLASSIFICATION, SECTOR_RENAME, ReportingWindow
@@ -55,13 +55,7 @@ class Inputs:
 
     # --- observations -----------------------------------------------------
     def _shipments(self, orders: DataFrame) -> DataFrame:
-        items = self.table("lineitem").select(
-            "l_orderkey",
-            F.col("l_shipdate").cast("date").alias("trade_date"),
-            # Nearest whole percent; ``round`` would go through decimals row by row.
-            (F.col("l_discount") * 100 + 0.5).cast("bigint").alias("percent_off"),
-            F.col("l_quantity").cast("bigint").alias("units"),
-        )
+        items = self.table("lineitem").select("l_orderkey", *_shipped())
         return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
     def nation_prices(self) -> DataFrame:
@@ -75,9 +69,10 @@ class Inputs:
         return _daily_close(self._shipments(orders))
 
     def named_prices(self) -> DataFrame:
-        """Prices under hyphenated customer names."""
-        name = F.concat(F.lit("Customer-"), F.lpad(F.col("ticker").cast("string"), 9, "0"))
-        return self.prices().withColumn("ticker", name)
+        """Prices under hyphenated customer names, and those of vendors, whom no snapshot knows."""
+        named = lambda kind: F.concat(F.lit(f"{kind}-"), F.lpad(F.col("ticker").cast("string"), 9, "0"))
+        sold = self.table("lineitem").select(F.col("l_suppkey").alias("ticker"), *_shipped())
+        return self.prices().withColumn("ticker", named("Customer")).unionByName(_daily_close(sold).withColumn("ticker", named("Vendor")))
 
     def returns(self, slice_unit: str | None = None) -> DataFrame:
         return windows.returns(self.prices(), keep=("volume",), slice_unit=slice_unit)
@@ -216,22 +211,18 @@ class Inputs:
 
     # --- named entities for the universe ----------------------------------
     def named_snapshot(self) -> DataFrame:
-        """Customers outside MACHINERY, of whom FURNITURE has no label, and all suppliers, which have no price."""
+        """All customers, of whom FURNITURE has no label, and all suppliers, which have no price under their own names."""
         suppliers = self.table("supplier").select(
             F.col("s_name").alias("ticker"),
             F.col("s_name").alias("security_name"),
             F.lit("SUPPLIER").alias("gics_sector"),
             F.col("s_nationkey").cast("string").alias("gics_sub_industry"),
         )
-        customers = (
-            self.table("customer")
-            .filter(F.col("c_mktsegment") != "MACHINERY")
-            .select(
-                F.col("c_name").alias("ticker"),
-                F.col("c_name").alias("security_name"),
-                F.nullif(F.col("c_mktsegment"), F.lit("FURNITURE")).alias("gics_sector"),
-                F.col("c_nationkey").cast("string").alias("gics_sub_industry"),
-            )
+        customers = self.table("customer").select(
+            F.col("c_name").alias("ticker"),
+            F.col("c_name").alias("security_name"),
+            F.nullif(F.col("c_mktsegment"), F.lit("FURNITURE")).alias("gics_sector"),
+            F.col("c_nationkey").cast("string").alias("gics_sub_industry"),
         )
         return customers.unionByName(suppliers)
 
@@ -313,6 +304,16 @@ class Inputs:
         )
 
 
+def _shipped() -> tuple[Column, ...]:
+    """Day, discount and units of a line."""
+    return (
+        F.col("l_shipdate").cast("date").alias("trade_date"),
+        # Nearest whole percent; ``round`` would go through decimals row by row.
+        (F.col("l_discount") * 100 + 0.5).cast("bigint").alias("percent_off"),
+        F.col("l_quantity").cast("bigint").alias("units"),
+    )
+
+
 def _daily_close(shipments: DataFrame) -> DataFrame:
     return (
         shipments.groupBy("ticker", "trade_date")
