@@ -183,6 +183,40 @@ def assemble(base: DataFrame, parts: Sequence[DataFrame], key: str = _LABEL) ->
     return base
 
 
+def fact_summary(fact: DataFrame, window: ReportingWindow) -> DataFrame:
+    """All that the comparison needs of the labelled fact, in one aggregation over it.
+
+    Rows with a day are the ``day_cube``; rows with a ticker count the observations of a key
+    that a naive join moves, per label of the day and label of today. Both are reduced where
+    the fact is read, and a row of the fact counts for the second only if it is moved.
+    """
+    labels = ("sector_at_trade_date", "sector_today")
+    none = lambda c: F.lit(None).cast(fact.schema[c].dataType).alias(c)
+    of_day = F.struct(F.col("trade_date"), none("ticker"))
+    of_key = F.when(F.col("is_misattributed"), F.struct(none("trade_date"), F.col("ticker")))
+    marked = in_window(fact, "trade_date", window).select(*labels, "daily_return", F.explode(F.array_compact(F.array(of_day, of_key))).alias("_of"))
+    return marked.groupBy(*labels, "_of.trade_date", "_of.ticker").agg(
+        F.count(F.lit(1)).alias("observations"),
+        F.count("daily_return").alias("measured"),
+        F.sum("daily_return").alias("return_sum"),
+    )
+
+
+def moved_of_summary(summary: DataFrame) -> DataFrame:
+    """``misattribution`` from a summary of the fact."""
+    moved = summary.filter(F.col("ticker").isNotNull())
+    return to_bases(moved, LABEL_OF_BASIS, _LABEL, ["ticker", "observations"]).groupBy(_LABEL).agg(
+        F.sum("observations").alias("misattributed_observations"),
+        F.count_distinct("ticker").alias("reclassified_tickers"),
+    )
+
+
+def anchor_of_summary(summary: DataFrame, dim: DataFrame, window: ReportingWindow) -> DataFrame:
+    """``anchor_metric`` from a summary of the fact, which is read several times: store it first."""
+    daily = daily_from_cube(summary.filter(F.col("trade_date").isNotNull()))
+    return _anchor(daily, moved_of_summary(summary), dim, window)
+
+
 def anchor_metric(
     daily: DataFrame,
     fact: DataFrame,
@@ -196,11 +230,12 @@ def anchor_metric(
     ``daily`` has one row per basis, label and day, and so has the calendar in it:
     the fact itself is read for the moved observations only.
     """
+    return _anchor(daily, misattribution(fact, window, exclude_reasons=exclude_reasons, dim=dim), dim, window)
+
+
+def _anchor(daily: DataFrame, moved: DataFrame, dim: DataFrame, window: ReportingWindow) -> DataFrame:
     pairs = rebased_pairs(daily).withColumn("_calendar", _calendar(daily, window))
-    joined = assemble(
-        pairs,
-        [misattribution(fact, window, exclude_reasons=exclude_reasons, dim=dim), group_birth(dim)],
-    )
+    joined = assemble(pairs, [moved, group_birth(dim)])
     before = F.filter(F.col("_calendar"), lambda day: day < F.col("sector_existed_from"))
     total = F.size("_calendar").cast("bigint")
     absent = F.when(F.col("sector_existed_from").isNull(), F.lit(0)).otherwise(F.size(before)).cast("bigint")

@@ -27,15 +27,20 @@ def daily(i: Inputs, relabel: bool = False) -> DataFrame:
 
 
 def anchor(i: Inputs, relabel: bool = False, hold_out: bool = False) -> DataFrame:
-    """``hold_out`` leaves out customers whose history claims 5-LOW before it existed."""
-    dim = i.dim(relabel)
+    """``hold_out`` leaves out customers whose history claims 5-LOW before it existed.
+
+    The dimension and the summary of the fact have several readers each and are stored; the
+    fact itself has one and is never written.
+    """
+    dim = i.stored("dimension", i.dim(relabel))
     if hold_out:
         early = scd2.existence_violations(dim, i.registry(), WINDOW).filter(F.col("gics_sector") == "5-LOW")
         dim = joins.exclude(dim, early.select("ticker").distinct())
     labelled = joins.dual_label(i.returns(), dim).select(
         "ticker", "trade_date", "daily_return", "sector_at_trade_date", "sector_today", "is_misattributed"
     )
-    return comparison.anchor_metric(comparison.group_daily(labelled, WINDOW), labelled, dim, WINDOW)
+    summary = i.stored("fact summary", comparison.fact_summary(labelled, WINDOW))
+    return comparison.anchor_of_summary(summary, dim, WINDOW)
 
 
 @FAMILY.query(DAILY + " FROM daily", "daily")

@@ -51,7 +51,7 @@ class Inputs:
 
     def stored(self, name: str, df: DataFrame) -> DataFrame:
         """Written to the shared folder and read back, for what several steps read."""
-        return stored(df, name)
+        return stored(df, name.replace(" ", "-"))
 
     # --- observations -----------------------------------------------------
     def _shipments(self, orders: DataFrame) -> DataFrame:
