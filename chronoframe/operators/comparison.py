@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from chronoframe.functions import compound, distinct_from, pct, present
 from chronoframe.model import NAIVE, POINT_IN_TIME, ReportingWindow
 from chronoframe.operators.scd2 import group_birth
-from chronoframe.operators.shaping import in_window, label_in_range, to_bases
+from chronoframe.operators.shaping import in_window, label_in_range, to_bases, union_all
 
 LABEL_OF_BASIS = {POINT_IN_TIME: "sector_at_trade_date", NAIVE: "sector_today"}
 _LABEL = "gics_sector"
@@ -271,6 +273,44 @@ def group_summary(fact: DataFrame, value: str, window: ReportingWindow, label: s
     )
 
 
+def month_summary(fact: DataFrame, label: str = "sector_at_trade_date", time: str = "trade_date") -> DataFrame:
+    """Counts and sums per label and month: to be stored, for ranges that cover whole months."""
+    return fact.groupBy(label, F.trunc(F.col(time), "month").alias("month")).agg(
+        F.count(F.lit(1)).alias("observations"), F.count("daily_return").alias("measured"), F.sum("daily_return").alias("return_sum")
+    )
+
+
+def whole_months(window: ReportingWindow) -> tuple[date, date] | None:
+    """First day of the first and of the last month that lie within the window."""
+    after = lambda day: (day.replace(day=28) + timedelta(days=4)).replace(day=1)
+    first = window.start if window.start.day == 1 else after(window.start)
+    past = (window.end + timedelta(days=1)).replace(day=1)  # the first month that is not whole, or the next one
+    return (first, (past - timedelta(days=1)).replace(day=1)) if first < past else None
+
+
+def group_summary_by_months(
+    fact: DataFrame, months: DataFrame, value: str, window: ReportingWindow, label: str = "sector_at_trade_date", time: str = "trade_date"
+) -> DataFrame:
+    """``group_summary`` from a ``month_summary``; the fact is read for the days outside of whole months only, or not at all."""
+    parts = ("observations", "measured", "return_sum")
+    of_label = F.col(label) == F.lit(value)
+    whole = whole_months(window)
+    edges = window.contains(F.col(time))
+    found = []
+    if whole:
+        first, last = whole
+        found.append(months.filter(of_label & F.col("month").between(F.lit(first), F.lit(last))).select(label, *parts))
+        past = (last.replace(day=28) + timedelta(days=4)).replace(day=1)
+        day = F.col(time).cast("date")
+        sides = [day.between(F.lit(low), F.lit(high)) for low, high in ((window.start, first - timedelta(days=1)), (past, window.end)) if low <= high]
+        edges = reduce(lambda a, b: a | b, sides) if sides else None
+    if edges is not None:
+        found.append(month_summary(fact.filter(of_label & edges), label, time).select(label, *parts))
+    return union_all(*found).groupBy(label).agg(
+        F.sum("observations").alias("observations"), (F.sum("return_sum") / F.nullif(F.sum("measured"), F.lit(0))).alias("mean_return")
+    )
+
+
 def kpi_totals() -> tuple[Column, Column]:
     """Totals over the labels. They count each observation under both labels."""
     return (

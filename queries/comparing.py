@@ -183,3 +183,17 @@ GROUP BY sector_at_trade_date""",
 )
 def group_range_agg(i: Inputs) -> DataFrame:
     return comparison.group_summary(fact(i), "1-URGENT", ReportingWindow.of("1997-01-01", "1998-12-31"))
+
+
+@FAMILY.query(
+    f"""
+SELECT sector_at_trade_date, count(*) AS observations, {r('avg(daily_return)', 'mean_return')}
+FROM fact WHERE sector_at_trade_date = '1-URGENT' AND trade_date BETWEEN DATE '1997-01-11' AND DATE '1998-12-20'
+GROUP BY sector_at_trade_date""",
+    "fact",
+)
+def group_range_agg_by_months(i: Inputs) -> DataFrame:
+    """22 whole months from a stored summary, the days before and after them from the fact."""
+    labelled = i.stored("fact", fact(i))
+    months = i.stored("months", comparison.month_summary(labelled))
+    return comparison.group_summary_by_months(labelled, months, "1-URGENT", ReportingWindow.of("1997-01-11", "1998-12-20"))

@@ -170,3 +170,47 @@ def test_inverted_window_is_refused():
         ReportingWindow.of("2020-02-01", "2020-01-01")
     with pytest.raises(ValueError, match="must precede"):
         ReportingWindow.of("2020-02-01", "2020-02-01")
+
+
+@pytest.mark.parametrize(
+    ("start", "end", "whole"),
+    [("2020-01-01", "2020-03-31", (1, 3)), ("2020-01-02", "2020-03-31", (2, 3)), ("2020-01-01", "2020-03-30", (1, 2)), ("2020-01-31", "2020-03-01", (2, 2)),
+     ("2020-01-02", "2020-02-28", None), ("2020-01-05", "2020-01-20", None), ("2020-02-01", "2020-02-29", (2, 2))],
+)
+def test_ranges_from_months_and_their_edges(spark, start, end, whole):
+    window = ReportingWindow.of(start, end)
+    found = comparison.whole_months(window)
+    assert (None if found is None else tuple(d.month for d in found)) == whole
+    fact = spark.range(400).selectExpr(
+        "IF(id % 3 = 0, 'OTHER', 'OLD') AS sector_at_trade_date", "date_add(DATE '2019-12-20', CAST(id % 120 AS INT)) AS trade_date",
+        "IF(id % 7 = 0, NULL, id / 8.0D) AS daily_return",
+    )
+    months = comparison.month_summary(fact)
+    got = comparison.group_summary_by_months(fact, months, "OLD", window).first()
+    wanted = comparison.group_summary(fact, "OLD", window).first()
+    assert got.observations == wanted.observations and got.mean_return == pytest.approx(wanted.mean_return)
+
+
+def test_whole_months_do_not_read_the_fact(spark, fact, tmp_path):
+    fact.write.parquet(str(tmp_path / "fact"))
+    stored = spark.read.parquet(str(tmp_path / "fact"))
+    comparison.month_summary(stored).write.parquet(str(tmp_path / "months"))
+    months = spark.read.parquet(str(tmp_path / "months"))
+    df = comparison.group_summary_by_months(stored, months, "OLD", ReportingWindow.of("2020-01-01", "2020-02-29"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "/months" in plan and "/fact" not in plan
+
+
+def test_the_summary_of_the_fact_gives_the_same_comparison(spark, rows):
+    """Moved and unmoved observations, labels of one basis only, keys that moved twice, days outside of the window."""
+    fact = spark.range(600).selectExpr(
+        "concat('K', id % 17) AS ticker", "date_add(DATE '2019-12-25', CAST(id % 50 AS INT)) AS trade_date", "((id * 37) % 101 - 50) / 4096.0D AS daily_return",
+        "IF(id % 17 < 5, 'OLD', concat('L', id % 3)) AS sector_at_trade_date", "IF(id % 17 < 3, 'NEW', IF(id % 17 < 5, 'OLD', concat('L', id % 2))) AS sector_today",
+    ).selectExpr("*", "sector_at_trade_date <> sector_today AS is_misattributed")
+    dim = spark.sql("SELECT * FROM VALUES ('A', 'OLD', DATE '1900-01-01'), ('B', 'NEW', DATE '2020-01-10'), ('C', 'L1', DATE '2020-01-03') AS t(ticker, gics_sector, valid_from)")
+    window = ReportingWindow.of("2020-01-01", "2020-01-31")
+    direct = comparison.anchor_metric(comparison.group_daily(fact, window), fact, dim, window)
+    summed = comparison.anchor_of_summary(comparison.fact_summary(fact, window), dim, window)
+    assert summed.columns == direct.columns
+    shown = lambda df: [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows(df)]
+    assert shown(summed) == shown(direct) and len(rows(direct)) > 3
