@@ -38,6 +38,7 @@ from chronoframe.llm.text import Words, mix, shingle_hashes, text_buffer
 WORDS, SIMILARITY = 5, 0.8
 REACH, BANDS = 5, 3
 FILTER_BITS = 24
+FEW = 24
 FAR = np.iinfo(np.uint64).max
 WHOLE = np.uint64(0x2545F4914F6CDD1D)
 
@@ -194,11 +195,18 @@ def _looked_up(docs: DataFrame, table: np.ndarray, bits: int, words: int, reach:
 
 
 def _verified(similarity: float):
-    """Over rows sorted by (band, part): links that connect similar paragraphs of each group."""
+    """Over rows sorted by (band, part): links that connect similar paragraphs of each group.
+
+    A few are compared as sets, pair by pair; many in a search from paragraph to similar
+    paragraph, a whole row of comparisons at once. Both connect the same.
+    """
+    from chronoframe.llm.resemblance import similar
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(members: dict[int, frozenset]) -> list[tuple[int, int]]:
+        if len(members) > FEW:
+            return similar(list(members), [np.array(sorted(m), np.int64) for m in members.values()], similarity)
         order = sorted(members, key=lambda k: (len(members[k]), k))
         root = {k: k for k in order}
 

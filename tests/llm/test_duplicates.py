@@ -255,3 +255,19 @@ def test_texts_without_ids_are_told_apart_by_more_than_a_short_hash(spark):
     docs = spark.createDataFrame([(None, pair[0]), (None, pair[1]), (None, pair[0])], "doc_id long, text string")
     got = sorted((r.text, bytes(r.kept).decode()) for r in suffixes.deduplicate(docs).collect())
     assert got == sorted([(pair[0], ""), (pair[0], ""), (pair[1], pair[1])])
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_both_ways_of_comparing_paragraphs_connect_the_same(few, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(substring, "FEW", few)
+    rng = random.Random(12)
+    for _ in range(20):
+        centres = [rng.sample(range(200), 20) for _ in range(5)]
+        sets = [sorted({*rng.sample(c, rng.randint(15, 20)), *rng.sample(range(200), rng.randint(0, 3))}) for c in centres for _ in range(8)]
+        batch = pa.RecordBatch.from_arrays([pa.array([1] * 40), pa.array([0] * 40), pa.array(range(40)), pa.array(sets, pa.list_(pa.int64()))], names=["band", "part", "key", "shingles"])
+        pairs = {(x["a"], x["b"]) for b in substring._verified(0.8)([batch]) for x in b.to_pylist()}
+        near = lambda i, j: 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))
+        assert all(near(a, b) for a, b in pairs)
+        assert groups_of(40, lambda i, j: (i, j) in pairs or (j, i) in pairs) == groups_of(40, near)
