@@ -30,9 +30,12 @@ import struct
 import tempfile
 import unicodedata
 import uuid
+from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +48,9 @@ WORD_END = "</w>"
 CACHED, COUNTED = 100_000, 200_000  # words that a task remembers: with ids; with counts
 # Parts of the pattern that the tokenizer's file states.
 CONTRACTIONS, CLASSES = "'s|'t|'re|'ve|'m|'ll|'d|", r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The Latin letters of the two blocks after ASCII: their own NFC, and but for one they stay among themselves in lower case.
+LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+BEYOND = re.compile("[^\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
 PART, NONE = (1 << 20) - 1, 1 << 62  # a pair of ids in one integer; no merge
 
 
@@ -84,12 +90,12 @@ class Vocabulary:
         self.final = [self.ids.get(x + WORD_END, -1) for x in letters]
         pattern = splits[0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern)
-        # The same words, found faster: in texts without an apostrophe, and in those of ASCII alone.
+        # The same words, found faster: in texts without an apostrophe, and in those of ASCII and Latin letters alone.
         self.bare = self.plain = None
         if pattern.startswith(CONTRACTIONS):
             self.bare = regex.compile(pattern.removeprefix(CONTRACTIONS))
             if pattern == CONTRACTIONS + CLASSES:
-                self.plain = re.compile(r"[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+                self.plain = re.compile(CONTRACTIONS + f"[{LETTERS}]+|[0-9]|[^ \\t-\\r0-9{LETTERS}]+")
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.rare = regex.compile(r"[^\x00-˿]")
         self.file, self.library = file, None
@@ -143,9 +149,11 @@ class Vocabulary:
         return out
 
     def _plain(self, text: str) -> list[str]:
+        if self.plain is not None and (text.isascii() or not BEYOND.search(text)):
+            return self.plain.findall(text.lower())
         find = self.pattern.findall if self.bare is None or "'" in text else self.bare.findall
         if text.isascii():
-            return self.plain.findall(text.lower()) if self.plain is not None and "'" not in text else find(text.lower())
+            return find(text.lower())
         if self.rare.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
             return self._by_library(text)
         # Lower case is by code point: a final sigma is like any other.
@@ -247,14 +255,13 @@ class Encoder:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.begin = [0]
+        self.flat, self.begin = array("i"), array("q", [0])
 
     def add(self, word: str) -> int:
         special = self.vocabulary.special.get(word)
         data = word.encode("utf-8", "surrogateescape")
         ids = [special] if special is not None else self.lexicon and self.lexicon.find(data)
-        self.flat += self.vocabulary.merge(data) if ids is None else ids
+        self.flat.extend(self.vocabulary.merge(data) if ids is None else ids)
         self.begin.append(len(self.flat))
         self.number[word] = n = len(self.begin) - 2
         return n
@@ -262,11 +269,15 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.number) > CACHED:
             self.forget()
-        get, add, placed = self.number.get, self.add, []
+        placed = []
         for text in texts:
             words = self.vocabulary.words(text) if text else []
-            placed.append(np.array([n if (n := get(w)) is not None else add(w) for w in words], np.int64))
-        begin, flat, out = np.array(self.begin), np.array(self.flat, np.int32), []
+            rows = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+            for k in np.flatnonzero(rows < 0).tolist():
+                known = self.number.get(words[k])  # a word may be new twice
+                rows[k] = self.add(words[k]) if known is None else known
+            placed.append(rows)
+        begin, flat, out = np.array(self.begin), np.array(self.flat), []
         for rows in placed:
             sizes = begin[rows + 1] - begin[rows]
             ends = np.cumsum(sizes)
@@ -333,18 +344,21 @@ def encode(docs: DataFrame, file: bytes, lexicon: str, text: str = "text", ids:
 def decode(docs: DataFrame, file: bytes, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with the text of the ids of each row; null ids give an empty text."""
     kept = [f for f in docs.schema.fields if f.name != decoded]
+    tokens = Vocabulary(file).tokens  # all that tasks need of it
 
     def run(batches):
-        tokens = Vocabulary(file).tokens
-        known = np.array([bool(t) for t in tokens])
+        known, spelled = np.array([bool(t) for t in tokens]), pa.array(tokens, pa.string())
         for batch in batches:
             for part in slices(batch):
-                texts = []
-                for row in part.column(0):
-                    values = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.zeros(0, np.int32)
-                    values = values[(values >= 0) & (values < len(known))]
-                    texts.append(" ".join(map(tokens.__getitem__, values[known[values]].tolist())))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], names=[*part.schema.names[1:], decoded])
+                lists = part.column(0)
+                rows = np.where(lists.is_valid().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+                values = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                good = (values >= 0) & (values < len(known))
+                good[good] = known[values[good]]
+                ends = np.concatenate(([0], np.cumsum(good)))[np.concatenate(([0], np.cumsum(rows)))]
+                words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spelled.take(pa.array(values[good])))
+                texts = pc.binary_join(words, " ")
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], texts], names=[*part.schema.names[1:], decoded])
 
     out = StructType([*kept, StructField(decoded, StringType())])
     return docs.select(F.col(ids).alias("__ids"), *[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, out)

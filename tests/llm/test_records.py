@@ -273,3 +273,18 @@ def test_operators_run_where_tasks_lack_the_package(tmp_path):
     environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=600)
     assert "all ran" in done.stdout, done.stderr[-3000:]
+
+
+def test_latin_letters_are_split_as_by_the_pattern():
+    """The quick way for Latin texts, over every code point that it takes and those around it."""
+    import unicodedata
+
+    vocabulary = bpe.Vocabulary(queries.vocabulary_file())
+    for c in map(chr, range(0x20, 0x260)):
+        for text in (c, f"a{c}B", f"1{c}.", f"{c}'s {c}{c}", f"É{c}é'll"):
+            plain = vocabulary.pattern.findall(unicodedata.normalize("NFC", text).lower())
+            assert vocabulary.words(text) == plain, text
+    rng = random.Random(11)
+    for _ in range(500):
+        text = "".join(rng.choices("aé ÑZ'.s1²½ \x1c\x85-_İẞ́漢", k=20))
+        assert vocabulary.words(text) == vocabulary.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
