@@ -279,7 +279,9 @@ def history_checks(dim: DataFrame, facts: DataFrame, *, key: str = "ticker", tim
 
     Versions and facts are read once each, brought together by key once and walked in order of
     days; the counts are those of ``overlaps``, ``current_row_violations``, ``gap_days``,
-    ``integrity_violations`` and ``scd2_shape``. Facts of one key and day go on as one row.
+    ``integrity_violations`` and ``scd2_shape``. Facts of one key and day go on as one row. A day
+    is in a gap if the last version begun by then has ended and another one follows; of versions
+    that begin on one day, the one with the highest number is the last.
     """
     none = lambda kind: F.lit(None).cast(kind)
     until = effective_end(F.col("valid_to"))

@@ -155,7 +155,9 @@ SELECT check_name, violations, CASE WHEN violations = 0 THEN 'pass' ELSE 'fail'
   UNION ALL SELECT 'version rows are well formed', count(*) FROM ({_SHAPE})
   UNION ALL SELECT 'versions do not overlap', count(*) FROM dim_broken b WHERE EXISTS (
     SELECT 1 FROM dim_broken a WHERE a.ticker = b.ticker AND (a.valid_from, a.version_number) < (b.valid_from, b.version_number) AND coalesce(a.valid_to, DATE '9999-12-31') >= b.valid_from)
-  UNION ALL SELECT 'no observed day in a gap', count(*) FROM prices p ASOF JOIN dim_broken d ON d.ticker = p.ticker AND p.trade_date >= d.valid_from
+  UNION ALL SELECT 'no observed day in a gap', count(*) FROM prices p
+    -- Of versions that begin on one day, the one with the highest number is the last begun.
+    ASOF JOIN (FROM dim_broken QUALIFY version_number = max(version_number) OVER (PARTITION BY ticker, valid_from)) d ON d.ticker = p.ticker AND p.trade_date >= d.valid_from
     WHERE d.valid_to < p.trade_date AND EXISTS (SELECT 1 FROM dim_broken n WHERE n.ticker = p.ticker AND n.valid_from > p.trade_date)
   UNION ALL SELECT 'known reasons', count(*) FROM (SELECT DISTINCT change_reason FROM dim_broken WHERE change_reason NOT IN ('initial', 'sector_rename'))
   UNION ALL SELECT 'one version a start', count(*) FROM (SELECT 1 FROM dim_broken GROUP BY ticker, valid_from HAVING count(*) > 1)

@@ -160,3 +160,25 @@ def test_fused_checks_read_each_table_once(spark, tmp_path):
         return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
 
     assert scans(dq.table_checks(dim, rules)) == 1 and scans(dq.history_checks(dim, facts)) == 2
+
+
+def test_suite_oracle_leaves_no_tie_to_chance(frame, rows):
+    """Two versions begin on one day, stored in either order: the one with the highest number is the last, as in the query."""
+    import duckdb
+
+    from queries.quality import _SUITE
+
+    kept, ended = ("2020-01-01", None, True), ("2020-01-01", "2020-01-03", False)
+    later = ("2020-02-01", None, False)
+    versions = [(f"{name}{k}", *v, n, "initial", "x", "y") for k in range(40) for name, order in (("a", (1, 2)), ("b", (2, 1))) for n in order for v in [ended if n == 2 else kept]]
+    versions += [(f"{name}{k}", *later, 3, "initial", "x", "y") for k in range(40) for name in "ab"]
+    dim = frame("ticker:s valid_from:d valid_to:d is_current:b version_number:i change_reason:s gics_sector:s gics_sub_industry:s", versions)
+    facts = frame("ticker:s trade_date:d", [(f"{name}{k}", "2020-01-10") for k in range(40) for name in "ab"])
+    found = dict(rows(dq.history_checks(dim, facts)))
+    connection = duckdb.connect()
+    for name, df in {"dim_broken": dim, "prices": facts}.items():
+        connection.register("given", df.toArrow())
+        connection.execute(f"CREATE TABLE {name} AS FROM given")
+    connection.execute("CREATE TABLE dim AS FROM dim_broken; CREATE TABLE unresolved AS FROM prices; CREATE TABLE universe AS SELECT ticker, gics_sector AS current_gics_sector FROM dim")
+    wanted = {name: n for name, n, _ in connection.execute(_SUITE).fetchall()}
+    assert found["no observed day in a gap"] == wanted["no observed day in a gap"] == 80
