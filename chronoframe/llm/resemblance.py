@@ -156,8 +156,12 @@ def _linked(similarity: float):
     return run
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, component_id) of every row; the component id is the smallest id that can be reached over similar pairs."""
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, filter_bits: int = FILTER_BITS, also: DataFrame | None = None) -> DataFrame:
+    """(doc_id, component_id) of every row; the component id is the smallest id that can be reached over similar pairs.
+
+    ``also`` has (doc_id, component_id) of groups found otherwise, for ids that each name one text:
+    rows of one such group are linked too.
+    """
     lower = F.lower(text).alias("t")
     run, schema = _marks(docs.schema[doc_id].dataType.simpleString(), words, bands, rows)
     marked = stored(docs.select(F.col(doc_id), lower).mapInArrow(run, schema), "marks")
@@ -167,7 +171,13 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     pairs = stored(met.join(several, "band"), "meeting")
     fetched = _shingles(docs.select(lower), bit_table(pairs, filter_bits), filter_bits, words).groupBy("key").agg(F.first("shingles").alias("shingles"))
     gathered = pairs.join(fetched, "key").select("band", "key", "shingles")
-    near = components(gathered.repartition("band").sortWithinPartitions("band").mapInArrow(_linked(similarity), "a long, b long"))
+    linked = gathered.repartition("band").sortWithinPartitions("band").mapInArrow(_linked(similarity), "a long, b long")
+    if also is not None:
+        given = also.select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_group")).distinct()
+        grouped = stored(marked.join(given, F.col("doc_id") == F.col("_id")).select("_group", F.col("key").alias("a")).distinct(), "groups")
+        apart = grouped.groupBy("_group").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").select("_group", "b")
+        linked = linked.unionByName(grouped.join(apart, "_group").select("a", "b"))
+    near = components(linked)
     labelled = distinct.select("key", "first").join(near.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     return marked.select("doc_id", "key").join(labelled.join(lowest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from chronoframe.llm import bpe, contamination, language, resemblance, suffixes
+from chronoframe.llm import bpe, contamination, language, resemblance, simhash, suffixes
 from chronoframe.llm.queries import vocabulary_file
 from chronoframe.llm.storage import new_folder
 
@@ -37,11 +37,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates: five-word Jaccard of 0.8 or more, verified."""
+    """Keep the document with the smallest id of each group of near duplicates.
+
+    Groups are those of the SimHash trie join, and what its three bits miss: pairs with a
+    five-word Jaccard similarity of 0.8 or more, verified.
+    """
     number = isinstance(docs.schema["doc_id"].dataType, NumericType)
     dk = F.coalesce(F.col("doc_id"), F.lit(0)) if number else F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     key = {"dk": dk, "th": F.xxhash64("doc_id", "text")}
-    groups = resemblance.similar_documents(docs.select(F.struct(*[v.alias(k) for k, v in key.items()]).alias("doc_id"), "text"))
+    rows = docs.select(F.struct(*[v.alias(k) for k, v in key.items()]).alias("doc_id"), "text")
+    groups = resemblance.similar_documents(rows, also=simhash.near_duplicates(rows))
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id.*").distinct()
     keyed = packed(docs).select(*[v.alias(k) for k, v in key.items()], "*")
     return unpacked(keyed.join(first, ["dk", "th"]).dropDuplicates(["dk", "th"]), docs)

@@ -232,6 +232,24 @@ def test_the_pipeline_drops_near_copies(spark):
     assert [r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()] == [1]
 
 
+def test_the_pipeline_drops_what_simhash_links(spark):
+    """Copies within three bits of each other, though more than a fifth of their five-word shingles differ; ids may be strings."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    while True:
+        words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(800)]
+        at = set(rng.sample(range(0, 800, 20), 22))
+        a, b = " ".join(words), " ".join("edited" if k in at else w for k, w in enumerate(words))
+        if (simhash.fingerprint_of(a.encode()) ^ simhash.fingerprint_of(b.encode())).bit_count() <= 3:
+            break
+    assert plain_jaccard(a, b) < 0.8
+    other = " ".join(reversed(words))
+    for kind, ids in (("long", (3, 2, 1)), ("string", ("c", "b", "a"))):
+        docs = spark.createDataFrame([(ids[0], a), (ids[1], b), (ids[1], b), (ids[2], other)], f"doc_id {kind}, text string")
+        assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == sorted(ids[1:])
+
+
 def test_copies_of_short_texts_are_reported(spark):
     rng = random.Random(13)
     prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
