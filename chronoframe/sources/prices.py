@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.model import DAILY_PRICES, SourceError
+from chronoframe.session import stored
 
 # Source column -> table column, and the source's name for the date.
 DATE_COLUMN = "Price"
@@ -49,8 +50,11 @@ _CELL = ',((?:"(?:[^"]++|"")*+"|[^,"]++|")*+)'
 def _cells(line: Column) -> Column:
     """Cells of one line, in one pass over it; a quoted cell may hold commas and doubled quotes."""
     bare = lambda cell: F.regexp_replace(F.regexp_replace(F.trim(cell), '^"(.*)"$', "$1"), '""', '"')
-    led = F.concat(F.lit(","), F.regexp_replace(line, "^\ufeff", ""))
-    return F.transform(F.regexp_extract_all(led, F.lit(_CELL), 1), lambda cell: F.trim(bare(cell)))
+    quoted = lambda text: F.contains(text, F.lit('"'))
+    unmarked = F.when(F.startswith(line, F.lit("\ufeff")), F.substring(line, 2, 2**31 - 1)).otherwise(line)
+    found = F.regexp_extract_all(F.concat(F.lit(","), unmarked), F.lit(_CELL), 1)
+    with_quotes = F.transform(found, lambda cell: F.when(quoted(cell), F.trim(bare(cell))).otherwise(F.trim(cell)))
+    return F.when(quoted(line), with_quotes).otherwise(F.transform(F.split(unmarked, ",", -1), lambda cell: F.trim(cell)))
 
 
 def read_keyed_csv(
@@ -103,30 +107,40 @@ def parse_lines(
     marker line comes twice, a line has other than the header's number of cells, or a
     date or number cannot be read.
 
-    Lines of one file may lie in any number of tasks: headers are found in a first pass and
-    joined to the lines, verdicts are counts that are summed where the lines are, and rejected
-    files drop out by an anti join. Nothing is ordered or gathered by file.
+    Lines of one file may lie in any number of tasks: headers are found in a first pass, which
+    takes apart only the lines that name the date column, and joined to the lines; verdicts are
+    counts that are summed where the lines are, and rejected files drop out by an anti join.
+    Nothing is ordered or gathered by file. The values of the lines, which verdicts and rows are
+    both taken from, are stored in the shared folder, so that each line is taken apart once.
     """
-    cells = lines.filter(F.trim("value") != "").select("file", _cells(F.col("value")).alias("_cells"))
+    written = lines.filter(F.trim("value") != "").select("file", "value")
+    may_be_header = F.lit(True) if '"' in date_column else F.contains("value", F.lit(date_column))
     is_header = F.array_contains("_cells", date_column)
-    headers = cells.filter(is_header).groupBy("file").agg(F.max("_cells").alias("_header"), F.count(F.lit(1)).alias("_headers"))
+    named = written.filter(may_be_header).select("file", _cells(F.col("value")).alias("_cells")).filter(is_header)
+    headers = named.groupBy("file").agg(F.max("_cells").alias("_header"), F.count(F.lit(1)).alias("_headers"))
     first = F.get("_cells", F.lit(0))
-    known = cells.join(headers.withColumnRenamed("file", "_of"), F.col("file") == F.col("_of"), "left").withColumns(
+    joined = written.join(headers.withColumnRenamed("file", "_of"), F.col("file") == F.col("_of"), "left")
+    known = joined.select("file", "_header", "_headers", _cells(F.col("value")).alias("_cells")).withColumns(
         {"_is_header": is_header, "_marker": F.when(~is_header & first.isin(*MARKERS), first)}
     )
     names = F.coalesce("_header", F.array().cast("array<string>"))
     expected = F.array(*[F.lit(c) for c in sorted([date_column, *renames])])
-    parsed = _values(known.withColumn("_missing", F.array_except(expected, names)), date_column, renames)
-    body = ~F.col("_is_header") & F.col("_marker").isNull()
+    marked = known.withColumns({
+        "_missing": F.when(is_header | F.col("_header").isNull(), F.array_join(F.array_except(expected, names), ", ")),
+        "_body": ~F.col("_is_header") & F.col("_marker").isNull(), "_uneven": F.size("_cells") != F.size("_header"),
+    })
+    values = _values(marked, date_column, renames).drop("_cells", "_header", "_is_header")
+    parsed = stored(values, "parsed-lines")
+    body = F.col("_body")
     problems = {
         "headers": F.max("_headers") - 1,
         **{f"{m} lines": F.count_if(F.col("_marker") == m) - 1 for m in MARKERS},
-        "lines of other length": F.count_if(F.size("_cells") != F.size("_header")),
+        "lines of other length": F.count_if("_uneven"),
         "dates": F.count_if(body & F.col("_bad_date")),
         "numbers": F.count_if(body & F.col("_bad_number")),
     }
     texts = [F.when(n > 0, F.concat_ws(" ", n.cast("string"), F.lit(what))) for what, n in problems.items()]
-    lacking = F.array_join(F.max("_missing"), ", ")
+    lacking = F.max("_missing")
     reason = F.when(lacking != "", F.concat(F.lit("missing expected columns ["), lacking, F.lit("]"))).otherwise(
         F.concat(F.lit("unusable: "), F.nullif(F.concat_ws(", ", *texts), F.lit("")))
     )
@@ -144,19 +158,21 @@ def _values(lines: DataFrame, date_column: str, renames: Mapping[str, str]) -> D
         text = F.get("_cells", F.array_position("_header", column).cast("int") - 1)
         return F.when(~text.isin(list(MISSING)), text)
 
-    day = raw(date_column).try_cast("date")
+    # In steps, so that no value is worked out more than once.
+    texts = lines.withColumns({"_day": raw(date_column), **{f"_text{k}": raw(source) for k, source in enumerate(renames)}})
+    numbers = {f"_number{k}": F.nanvl(F.col(f"_text{k}").try_cast("double"), F.lit(None).cast("double")) for k in range(len(renames))}
+    typed = texts.withColumns({"trade_date": F.col("_day").try_cast("date"), **numbers})
     values, bad = {}, F.lit(False)
-    for source, target in renames.items():
-        text = raw(source)
-        number = text.try_cast("double")
-        number = F.when(~F.isnan(number), number)
-        bad = bad | (text.isNotNull() & number.isNull())
+    for k, target in enumerate(renames.values()):
+        number = F.col(f"_number{k}")
+        bad = bad | (F.col(f"_text{k}").isNotNull() & number.isNull())
         if target in INTEGRAL:
             whole = number.try_cast("bigint")
             bad = bad | F.coalesce(whole.cast("double") != number, number.isNotNull())
             number = whole
         values[target] = number
-    return lines.withColumns({"trade_date": day, **values, "_bad_date": day.isNull(), "_bad_number": bad})
+    found = typed.withColumns({**values, "_bad_date": F.col("trade_date").isNull(), "_bad_number": bad})
+    return found.drop("_day", *[f"_{kind}{k}" for kind in ("text", "number") for k in range(len(renames))])
 
 
 def corpus_profile(df: DataFrame, key: str = "ticker", time: str = "trade_date") -> DataFrame:

@@ -306,3 +306,20 @@ def test_cells_are_split_in_one_pass(spark):
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "line string").select(_cells(F.col("line"))).collect()]
     assert got[:9] == [["a", "b"], ["", ""], ["a", ""], ["x,y", "z"], ['q"r', ""], ["s", "t"], ['open"ed', "u"], ['"never closed', "v"], [""]]
     assert [len(c) for c in got[9]] == [20_000, 15_000]
+
+
+def test_lines_are_taken_apart_once(spark, tmp_path):
+    """Rows and rejects come from stored values; cells are the same with and without quotes, a mark at the start aside."""
+    head = ["﻿Price,Close,High,Low,Open,Volume", "Ticker,x,x,x,x,x", "Date,,,,,"]
+    lines = [("A.csv", v) for v in [*head, '2020-01-02,"1.5",2,1,,7', " 2020-01-03 , 1.5 ,2,1,NaN,7"]]
+    lines += [("B.csv", v) for v in [*head, '2020-01-02,1.5,2,1,"x"",",7']] + [("C.csv", "2020-01-02,1.5,2,1,1,7")]
+    lines += [("D.csv", v) for v in ['"Price","Close","High","Low","Open"', '"2020-01-02",Price', "2020-01-02,1,1,1,1"]]
+    spark.createDataFrame(lines, "file string, value string").write.parquet(str(tmp_path / "lines"))
+    landed = sources.parse_lines(spark.read.parquet(str(tmp_path / "lines")))
+    got = sorted((r.ticker, str(r.trade_date), r.open_price, r.close_price, r.volume) for r in landed.rows.collect())
+    assert got == [("A", "2020-01-02", None, 1.5, 7), ("A", "2020-01-03", None, 1.5, 7)]
+    everything = "missing expected columns [Close, High, Low, Open, Price, Volume]"
+    assert {r.file: r.reason for r in landed.rejects.collect()} == {"B.csv": "unusable: 1 numbers", "C.csv": everything, "D.csv": "missing expected columns [Volume]"}
+    for df in (landed.rows, landed.rejects):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert str(tmp_path / "lines") not in plan and "regexp_extract_all" not in plan
