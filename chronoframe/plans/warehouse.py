@@ -31,6 +31,8 @@ BRONZE_TABLES = {
     "excluded_entities": "bronze.excluded_entities",
 }
 MEMBERSHIP_TABLE = "bronze.sp500_membership"
+# A task sorts one bucket: so many rows of prices or returns take some hundred megabytes.
+BUCKET_ROWS = 1_000_000
 
 
 @dataclass
@@ -46,6 +48,11 @@ class BuildReport:
         return sum(self.seconds.values())
 
 
+def buckets_for(rows: int, least: int = 4) -> int:
+    """The bucket count for a number of prices, so that a bucket stays of one size however many there are."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def load_bronze(
     spark: SparkSession, frames: dict[str, DataFrame], *, tables: Sequence[str] | None = None, recreate: bool = False,
     buckets: int | None = None,
@@ -140,7 +147,7 @@ def build_all(
     """Build silver, gold or both, in dependency order.
 
     ``buckets`` is the bucket count of the fact tables; choose it so that one
-    bucket is a few hundred megabytes. Repeated (key, day) events or prices, a
+    bucket is a few hundred megabytes, as ``buckets_for`` does. Repeated (key, day) events or prices, a
     replay that closes and opens unlike numbers of versions, and keys without
     exactly one current version stop the build before gold is touched;
     ``strict`` does the same for non-empty diagnostics.

@@ -99,8 +99,9 @@ def built_anchor(i: Inputs) -> DataFrame:
         "sector_registry": i.registry(),
         "excluded_entities": i.holdouts().limit(0),
     }
-    warehouse.load_bronze(i.spark, frames, recreate=True, buckets=4)
-    warehouse.build_all(i.spark, WINDOW, buckets=4)
-    again = warehouse.build_all(i.spark, WINDOW, buckets=4, resume=True)
+    buckets = warehouse.buckets_for(i.table("lineitem").count())  # there are no more prices than lines
+    warehouse.load_bronze(i.spark, frames, recreate=True, buckets=buckets)
+    warehouse.build_all(i.spark, WINDOW, buckets=buckets)
+    again = warehouse.build_all(i.spark, WINDOW, buckets=buckets, resume=True)
     assert not again.seconds, f"built again without a change: {sorted(again.seconds)}"
     return i.spark.table("gold.anchor_metric")

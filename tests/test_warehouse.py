@@ -246,3 +246,16 @@ def test_a_tracker_writes_closed_rows_once(spark, frame, tmp_path, rows):
     assert rows(tracker.rows(), *columns) == expected
     tracker.fold(frame(source, [("A", "XX", "x", 9)]), 4, datetime(2024, 2, 1), "seen")
     assert len(rows(tracker.rows())) == 7 and tracker.batches()[-1] == 4
+
+
+def test_buckets_grow_with_the_prices(spark, monkeypatch):
+    """The task that sorts a bucket holds as much however many prices there are."""
+    import __spark_entry__ as contract
+
+    assert [warehouse.buckets_for(n) for n in (0, 4_000_000, 4_000_001, 216_000_000)] == [4, 4, 5, 216]
+    lines = spark.read.parquet(f"{contract.SMOKE_DIR}/lineitem.parquet").count()
+    monkeypatch.setattr(warehouse, "BUCKET_ROWS", 1000)
+    contract.queries()["built_anchor"](spark, contract.SMOKE_DIR)
+    for name in ("bronze.daily_prices", "silver.fact_returns", "silver.dim_sector_scd"):
+        facts = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE FORMATTED {name}").collect()}
+        assert int(facts["Num Buckets"]) == -(-lines // 1000) > 4
