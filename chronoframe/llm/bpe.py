@@ -6,7 +6,9 @@ encoded by itself. The most frequent words of the corpus (counted over all of it
 automaton that shares prefixes and suffixes. Its arcs carry outputs whose sum along a
 word is the word's number, which leads to its ids. The driver ships the automaton as
 one file of flat arrays; tasks map it into memory. Any other word is merged exactly,
-lowest rank first, leftmost among equal ranks.
+lowest rank first, leftmost among equal ranks. The words that a slice of texts brings
+anew walk through the automaton together, and the rest of them are merged together, one
+pair of each word in a round.
 
 Decoding joins the tokens of the ids by one space, as the tokenizer does when its file
 names no decoder.
@@ -30,7 +32,6 @@ import struct
 import tempfile
 import unicodedata
 import uuid
-from array import array
 from itertools import repeat
 
 import numpy as np
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from chronoframe.llm.storage import stored
-from chronoframe.llm.text import slices
+from chronoframe.llm.text import PIECE, slices
 
 WORD_END = "</w>"
 CACHED, COUNTED = 100_000, 200_000  # words that a task remembers: with ids; with counts
@@ -52,6 +53,8 @@ CONTRACTIONS, CLASSES = "'s|'t|'re|'ve|'m|'ll|'d|", r"[\p{L}]+|[\p{N}]|[^\s\p{L}
 LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 BEYOND = re.compile("[^\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
 PART, NONE = (1 << 20) - 1, 1 << 62  # a pair of ids in one integer; no merge
+PLACE = (1 << 32) - 1  # under the rank of a pair: where it is
+BLOCKS = (8, 16, 32, 100)  # words of so many bytes are merged together; longer ones, rare in any text, one by one
 
 
 def byte_letters() -> list[str]:
@@ -88,6 +91,7 @@ class Vocabulary:
         letters = byte_letters()
         self.inner = [self.ids.get(x, -1) for x in letters]
         self.final = [self.ids.get(x + WORD_END, -1) for x in letters]
+        self.pairs = None
         pattern = splits[0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern)
         # The same words, found faster: in texts without an apostrophe, and in those of ASCII and Latin letters alone.
@@ -95,7 +99,7 @@ class Vocabulary:
         if pattern.startswith(CONTRACTIONS):
             self.bare = regex.compile(pattern.removeprefix(CONTRACTIONS))
             if pattern == CONTRACTIONS + CLASSES:
-                self.plain = re.compile(CONTRACTIONS + f"[{LETTERS}]+|[0-9]|[^ \\t-\\r0-9{LETTERS}]+")
+                self.plain = re.compile(f"[{LETTERS}]+|[0-9]|{CONTRACTIONS}[^ \\t-\\r0-9{LETTERS}]+")  # letters first, as most words begin with one
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.rare = regex.compile(r"[^\x00-˿]")
         self.file, self.library = file, None
@@ -139,6 +143,73 @@ class Vocabulary:
                 heapq.heappush(heap, (left, h))
         return [x for x in ids if x >= 0]
 
+    def _as_arrays(self) -> None:
+        """The merges in the order of their pairs, and those of bytes in a table; only tasks that merge need them."""
+        pairs, found = (np.fromiter(part, np.int64, len(self.merges)) for part in (self.merges.keys(), self.merges.values()))
+        order = np.argsort(pairs)
+        self.pairs = np.append(pairs[order], NONE)  # the last pair is none that ids can make
+        self.ranks = np.append(found[order] >> 20 << 32, NONE)
+        self.merged = np.zeros(int(found.max(initial=0) >> 20) + 1, np.int64)
+        self.merged[found >> 20] = found & PART
+        self.bytes = np.array([*self.inner, *self.final], np.int64)
+        self.first = self._ranks(self.bytes[:256, None], self.bytes)
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words, one word after another, and how many each has."""
+        if self.pairs is None:
+            self._as_arrays()
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        counts, order, parts, least = np.zeros(len(words), np.int64), [], [], 0
+        for most in BLOCKS:
+            chosen = np.flatnonzero((sizes > least) & (sizes <= most))
+            if len(chosen):
+                ids, counts[chosen] = self._merge_block(b"".join([words[k] for k in chosen.tolist()]), sizes[chosen])
+                order.append(chosen)
+                parts.append(ids)
+            least = most
+        for k in np.flatnonzero(sizes > least).tolist():
+            ids = np.array(self.merge(words[k]), np.int64)
+            counts[k] = len(ids)
+            order.append(np.array([k]))
+            parts.append(ids)
+        if not order:
+            return np.zeros(0, np.int64), counts
+        place = np.empty(len(words), np.int64)  # of each word among the parts
+        place[np.concatenate(order)] = np.arange(len(words))
+        begin = np.concatenate(([0], np.cumsum(counts[np.concatenate(order)])))
+        return np.concatenate(parts)[runs(begin, place)[0]], counts
+
+    def _merge_block(self, data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends, size = np.cumsum(sizes), len(data)
+        first = begin = ends - sizes
+        kind = np.frombuffer(data, np.uint8).astype(np.int64)
+        kind[ends - 1] += 256
+        ids = np.append(self.bytes[kind], -1)  # the last place stands for what is before and after a word
+        after, before = np.arange(1, size + 2), np.arange(-1, size)
+        after[ends - 1] = before[begin] = size
+        found = np.full(size + 1, NONE)
+        inner = np.flatnonzero(kind < 256)  # bytes that another of their word follows
+        found[inner] = self.first[kind[inner], kind[inner + 1]] | inner
+        while len(begin):
+            best = np.minimum.reduceat(found, begin)  # a word that is done has no more pairs, so it may follow another's
+            more = best < NONE
+            begin, best = begin[more], best[more]
+            i = best & PLACE
+            j, h = after[i], before[i]
+            k = after[j]
+            ids[i], ids[j], found[j] = self.merged[best >> 32], -1, NONE
+            after[i], before[k] = k, i
+            found[i] = self._ranks(ids[i], ids[k]) | i
+            found[h] = self._ranks(ids[h], ids[i]) | h
+        left = ids[:size] >= 0
+        return ids[:size][left], np.add.reduceat(left, first, dtype=np.int64)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, above the room for a place, or ``NONE``."""
+        pair = a << 20 | b
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.ranks[at], NONE)
+
     def words(self, text: str) -> list[str]:
         """The words of a text, special tokens among them."""
         if self.cut is None or "<" not in text and all("<" in s for s in self.special):
@@ -169,6 +240,13 @@ class Vocabulary:
         return [bytes(self.letters[c] for c in part).decode("utf-8", "surrogateescape") for part, _ in parts]
 
 
+def runs(begin: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values of some rows, where each row's begin at ``begin``; and where each row ends in them."""
+    sizes = begin[rows + 1] - begin[rows]
+    ends = np.cumsum(sizes)
+    return np.repeat(begin[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), ends
+
+
 def compile_lexicon(entries: list[tuple[bytes, list[int]]]) -> bytes:
     """A minimal acyclic transducer over sorted distinct words, as flat arrays.
 
@@ -227,62 +305,87 @@ class Lexicon:
         with open(path, "rb") as file:
             self.map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
         self.root, *sizes = struct.unpack("<8Q", self.map[:64])
-        view, at, parts = memoryview(self.map), 64, []
+        at, parts = 64, []
         for k, size in enumerate(sizes):
-            parts.append(view[at : at + size].cast("I" if k < 5 else "B"))
-            self.labels = at if k == 5 else 0 if k < 5 else self.labels
+            kind = np.dtype(np.uint32 if k < 5 else np.uint8)
+            parts.append(np.frombuffer(self.map, kind, size // kind.itemsize, at))
             at += size
-        self.first, self.target, self.output, self.start, self.ids, _, self.final = parts
+        first, self.target, self.output, self.start, self.ids, label, self.final = parts
+        # Labels rise within a state, so arcs are in the order of their states and labels.
+        self.arcs = np.append(np.repeat(np.arange(len(first) - 1), np.diff(first)) << 8 | label, NONE)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, -1 for those that are not in the lexicon."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begin, data = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(words), np.uint8)
+        node, number, depth = np.full(len(words), self.root), np.zeros(len(words), np.int64), 0
+        alive = np.arange(len(words))
+        while len(alive := alive[sizes[alive] > depth]):
+            arc = node[alive] << 8 | data[begin[alive] + depth]
+            at = np.searchsorted(self.arcs, arc)
+            there = self.arcs[at] == arc
+            node[alive[~there]] = -1
+            alive, at, depth = alive[there], at[there], depth + 1
+            node[alive] = self.target[at]
+            number[alive] += self.output[at]
+        return np.where((node >= 0) & (self.final[node] > 0), number, -1)
 
     def find(self, word: bytes) -> list[int] | None:
-        node, number = self.root, 0
-        first, target, output, find, base = self.first, self.target, self.output, self.map.find, self.labels
-        for c in word:
-            arc = find(c.to_bytes(), base + first[node], base + first[node + 1]) - base
-            if arc < 0:
-                return None
-            number += output[arc]
-            node = target[arc]
-        return self.ids[self.start[number] : self.start[number + 1]].tolist() if self.final[node] else None
+        number = int(self.numbers([word])[0])
+        return None if number < 0 else self.ids[self.start[number] : self.start[number + 1]].tolist()
 
 
 class Encoder:
-    """Ids of words; those seen last are kept as rows of one array."""
+    """Ids of words; those seen last, and those of the lexicon, are kept as rows of one array."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None) -> None:
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.forget()
+        self.number: dict[str, int] = {}
+        self.flat, self.begin, self.frequent = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.begin = array("i"), array("q", [0])
-
-    def add(self, word: str) -> int:
-        special = self.vocabulary.special.get(word)
-        data = word.encode("utf-8", "surrogateescape")
-        ids = [special] if special is not None else self.lexicon and self.lexicon.find(data)
-        self.flat.extend(self.vocabulary.merge(data) if ids is None else ids)
-        self.begin.append(len(self.flat))
-        self.number[word] = n = len(self.begin) - 2
-        return n
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """All words but those of the lexicon, and these too if they are many."""
+        rows = np.flatnonzero(self.frequent) if self.frequent.sum() <= CACHED // 2 else np.zeros(0, np.int64)
+        place = dict(zip(rows.tolist(), range(len(rows))))
+        self.number = {word: place[n] for word, n in self.number.items() if n in place}
+        at, ends = runs(self.begin, rows)
+        self.flat, self.begin, self.frequent = self.flat[at], np.append(0, ends), self.frequent[rows]
+
+    def add(self, words: list[str]) -> None:
+        """Take in distinct words that are not known."""
+        data = [word.encode("utf-8", "surrogateescape") for word in words]
+        numbers = self.lexicon.numbers(data) if self.lexicon else np.full(len(words), -1)
+        special = [k for k, word in enumerate(words) if word in self.vocabulary.special]
+        numbers[special] = -1
+        listed = np.flatnonzero(numbers >= 0)
+        other = np.setdiff1d(np.flatnonzero(numbers < 0), special)
+        at, ends = runs(self.lexicon.start.astype(np.int64), numbers[listed]) if len(listed) else (listed, listed)
+        merged, counts = self.vocabulary.merge_all([data[k] for k in other.tolist()])
+        ids = [self.lexicon.ids[at]] if len(listed) else []
+        ids += [merged, [self.vocabulary.special[words[k]] for k in special]]
+        sizes = np.concatenate((np.diff(ends, prepend=0), counts, np.ones(len(special), np.int64)))
+        for n, k in enumerate((*listed.tolist(), *other.tolist(), *special), len(self.number)):
+            self.number[words[k]] = n
+        self.flat = np.concatenate((self.flat, *ids)).astype(np.int32)
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(sizes))
+        self.frequent = np.append(self.frequent, np.arange(len(words)) < len(listed))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after another, and where each text's begin and the last one's end."""
         if len(self.number) > CACHED:
             self.forget()
-        placed = []
+        words, ends = [], [0]
         for text in texts:
-            words = self.vocabulary.words(text) if text else []
-            rows = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-            for k in np.flatnonzero(rows < 0).tolist():
-                known = self.number.get(words[k])  # a word may be new twice
-                rows[k] = self.add(words[k]) if known is None else known
-            placed.append(rows)
-        begin, flat, out = np.array(self.begin), np.array(self.flat), []
-        for rows in placed:
-            sizes = begin[rows + 1] - begin[rows]
-            ends = np.cumsum(sizes)
-            out.append(flat[np.repeat(begin[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+            words += self.vocabulary.words(text) if text else ()
+            ends.append(len(words))
+        rows = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            unknown = [words[k] for k in new.tolist()]
+            self.add(list(dict.fromkeys(unknown)))
+            rows[new] = [self.number[word] for word in unknown]
+        at, last = runs(self.begin, rows)
+        return self.flat[at], np.append(0, last)[ends]
 
 
 def word_counts(docs: DataFrame, file: bytes, text: str = "text") -> DataFrame:
@@ -331,10 +434,9 @@ def encode(docs: DataFrame, file: bytes, lexicon: str, text: str = "text", ids:
     def run(batches):
         encoder = Encoder(Vocabulary(file), Lexicon(SparkFiles.get(lexicon)))
         for batch in batches:
-            for part in slices(batch):
-                rows = encoder.encode(part.column(0).to_pylist())
-                ends = np.cumsum([0, *map(len, rows)])
-                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+            for part in slices(batch, PIECE // 2):  # all words of a slice are held at once
+                values, ends = encoder.encode(part.column(0).to_pylist())
+                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], column], names=[*part.schema.names[1:], ids])
 
     out = StructType([*kept, StructField(ids, ArrayType(IntegerType()))])

@@ -188,6 +188,31 @@ def test_both_ways_of_merging_agree():
         assert vocabulary._merge_short(list(ids)) == vocabulary._merge_long(list(ids))
 
 
+def test_new_words_are_merged_together(tmp_path, monkeypatch):
+    """Words that a slice brings anew take no merge of their own, and those of the lexicon outlast the others."""
+    file, rng = queries.vocabulary_file(), random.Random(9)
+    vocabulary, library = bpe.Vocabulary(file), tokenizers.Tokenizer.from_str(file.decode())
+    words = ["".join(rng.choices("theinganorxé漢'", k=rng.choice([1, 2, 3, 8, 9, 16, 17, 32, 33, 100]))).encode()[:100] for _ in range(3000)]
+    words += [b"x", b"a" * 101, b"ab" * 5000]
+    ids, counts = vocabulary.merge_all(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [vocabulary.merge(w) for w in words]
+    assert [x.tolist() for x in vocabulary.merge_all([])] == [[], []]
+
+    frequent = sorted({b"the", b"cat", "für".encode()})
+    (tmp_path / "l").write_bytes(bpe.compile_lexicon([(w, vocabulary.merge(w)) for w in frequent]))
+    monkeypatch.setattr(bpe, "CACHED", 50)
+    monkeypatch.setattr(bpe.Vocabulary, "merge", lambda self, word: pytest.fail("merged by itself"))
+    encoder = bpe.Encoder(vocabulary, bpe.Lexicon(str(tmp_path / "l")))
+    for _ in range(5):
+        texts = ["the cat <|endoftext|> für " + " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40)) for _ in range(3)] + [None, "", "the"]
+        ids, ends = encoder.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    encoder.forget()
+    assert sorted(w.encode() for w in encoder.number) == frequent
+    plain = bpe.Encoder(vocabulary, None)
+    assert plain.encode(["the cat"])[0].tolist() == library.encode("the cat", add_special_tokens=False).ids
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
