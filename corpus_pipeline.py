@@ -8,13 +8,34 @@ follows the text; ids may be numbers or strings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from chronoframe.llm import bpe, contamination, language, resemblance, simhash, suffixes
 from chronoframe.llm.queries import vocabulary_file
-from chronoframe.llm.storage import new_folder
+from chronoframe.llm.storage import new_folder, stored
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let the session hand rows to Python in batches of 4 MB, unless it names a size of its own.
+
+    Spark's 64 MB let a task hold all texts of its partition at once, in the executor's buffers
+    and again in its Python worker. The setting stays, as a stage's result is computed later.
+    """
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(BATCH_BYTES, None) is None:
+            spark.conf.set(BATCH_BYTES, str(4 << 20))
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -29,6 +50,7 @@ def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
     return rows.select([(new[c] if c in new else F.col(c) if c in whole else F.col("carried").getField(c)).alias(c) for c in docs.columns])
 
 
+@in_small_batches
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents in which no language can be told: null, empty or without a letter."""
     names, prototypes = language.learn(docs.select("text", "lang"))
@@ -36,6 +58,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return unpacked(marked.where(F.col("lang_pred") != language.UNKNOWN), docs)
 
 
+@in_small_batches
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near duplicates.
 
@@ -52,6 +75,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return unpacked(keyed.join(first, ["dk", "th"]).dropDuplicates(["dk", "th"]), docs)
 
 
+@in_small_batches
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated byte strings out of the texts; a document may end up empty, but stays."""
     cut = suffixes.deduplicate(packed(docs), as_text=True)
@@ -61,17 +85,23 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return unpacked(cut, docs, **new)
 
 
+@in_small_batches
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return unpacked(contamination.decontaminate(packed(docs), items), docs)
 
 
+@in_small_batches
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, and the text that they stand for."""
+    """Ids of each text, and the text that they stand for.
+
+    The ids are stored in between: a task that encodes and decodes has two Python workers,
+    and an executor keeps all of them, with their memory, for what comes next.
+    """
     file = vocabulary_file()
     texts = docs.select("doc_id", "text")
-    ids = bpe.encode(texts, file, bpe.build_lexicon(texts, file)).select("doc_id", "ids")
+    ids = stored(bpe.encode(texts, file, bpe.build_lexicon(texts, file)).select("doc_id", "ids"), "ids")
     return bpe.decode(ids, file).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -242,6 +242,38 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept == [sorted([*first, "20"]), second, second, sorted(set(second) - {"30"}), sorted(set(second) - {"30"})]
 
 
+def test_pipeline_hands_texts_over_in_small_batches(spark, monkeypatch):
+    """A partition of 20 MB of texts; a size that the session names is kept."""
+    import corpus_pipeline
+    from chronoframe.llm import language
+
+    def small(batch, size, most=6 << 20, slices=language.slices):
+        assert batch.nbytes <= most, batch.nbytes
+        return slices(batch, size)
+
+    monkeypatch.setattr(language, "slices", small)
+    before = spark.conf.get(corpus_pipeline.BATCH_BYTES, None)
+    try:
+        spark.conf.unset(corpus_pipeline.BATCH_BYTES)
+        docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 900).alias("text"), F.lit("en").alias("lang"))
+        assert corpus_pipeline.known_language(spark, docs, "").select("text").distinct().count() == 1
+        spark.conf.set(corpus_pipeline.BATCH_BYTES, "5m")
+        corpus_pipeline.known_language(spark, docs.limit(1), "")
+        assert spark.conf.get(corpus_pipeline.BATCH_BYTES) == "5m"
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_BYTES, before) if before else spark.conf.unset(corpus_pipeline.BATCH_BYTES)
+
+
+def test_pipeline_encodes_and_decodes_in_tasks_of_their_own(spark):
+    """One Python worker for each task; the ids are stored in between."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "the cat"), (2, None)], "doc_id long, text string")
+    made = corpus_pipeline.token_ids(spark, docs, "")
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id: r.n_tokens == len(r.ids) for r in made.collect()} == {1: True, 2: True}
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_pipeline_carries_columns_of_any_name(spark, tmp_path, kind):
     import corpus_pipeline
