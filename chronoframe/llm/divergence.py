@@ -1,7 +1,8 @@
 """How far the sources of a language differ in their words: every pair of sources, and the words that stand out.
 
-1. Words are counted per (lang, source, term) in the tasks that read the texts; the words of
-   at least ``least_docs`` documents of the language are kept.
+1. Words are counted per (lang, source, term) in the tasks that read the texts. One shuffle by
+   (lang, term) then brings all counts of a word together: they are added up, and the words of at
+   least ``least_docs`` documents of the language are kept.
 2. A kept term has one *level* per source, its count there. Think of a matrix with a row a
    term and an indicator column a (source, level). Its transpose times itself counts, for two
    sources and two levels, the terms on both: the joint table of each pair of sources. The
@@ -27,6 +28,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +39,13 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 # Bytes from 0x80 on belong to non-ASCII characters only, so bytes and characters give the same runs.
 RUN = re.compile(rb"[a-z\x80-\xff]+")
 GAP = re.compile(rb"[^a-zA-Z\x80-\xff]")
+# The byte of a term that each byte gives, 0 for those of gaps.
+FOLD = np.array([b if RUN.match(bytes([b])) else 0 for b in LOWER], np.uint8)
 PIECE = 1 << 20
-HELD = 300_000  # counters in a task before they are sent on
+SLICE = 1 << 22  # bytes of texts that are counted together
+HELD = 500_000  # counts in a task before they are sent on, and texts of a slice
+SENT = 1 << 16  # counts of a batch
+WIDE = 9_000_000_000  # counts from here on are scaled in decimals
 BLOCK_CELLS = 1 << 17  # cells of a block of terms, about
 PRODUCTS = 1 << 21  # entries of a product at once
 DEALT = 32  # parts of a language in joins by language
@@ -60,45 +67,83 @@ def words_of(data: bytes) -> Counter:
     return found
 
 
+def _tally(group: np.ndarray, texts: pa.LargeBinaryArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of texts without nulls, and for each (group, term): number of the group, place of the term, n, docs."""
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = FOLD[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]]
+    at = at - at[0]
+    inside = data != 0
+    # A term begins and ends where a gap does, and never runs on into the next text.
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    filled = at[:-1] < at[1:]
+    for edges, places in ((begins, at[:-1][filled]), (ends, at[1:][filled] - 1)):
+        edges[places] = inside[places]
+    first = np.flatnonzero(begins)
+    offsets = np.concatenate(([0], np.cumsum(np.flatnonzero(ends) + 1 - first)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    term, size = words.indices.to_numpy().astype(np.int64), max(1, len(words.dictionary))
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(first, at)))
+    cell, n = np.unique(group[doc] * size + term, return_counts=True)
+    seen, _ = np.unique(doc * size + term, return_counts=True)
+    doc, term = np.divmod(seen, size)
+    _, docs = np.unique(group[doc] * size + term, return_counts=True)
+    return words.dictionary, cell // size, cell % size, n, docs
+
+
 def _count(batches):
     """(lang, source, term, n, docs) of runs of texts."""
-    groups: dict[tuple, tuple[Counter, Counter]] = {}
-    held = 0
+    held: list[pa.Table] = []
+    rows = 0
 
-    def send() -> pa.RecordBatch:
-        rows = [(*group, term.decode(), n, docs[term]) for group, (counts, docs) in groups.items() for term, n in counts.items()]
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), COUNTED)] if rows else [pa.array([], f.type) for f in COUNTED], schema=COUNTED)
+    def added() -> pa.Table:
+        sums = pa.concat_tables(held).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        return sums.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(COUNTED.names)
 
     for batch in batches:
-        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            counts, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-            held -= len(counts)
-            words = words_of(text.as_buffer().to_pybytes()) if text.is_valid else {}
-            counts.update(words)
-            docs.update(words.keys())
-            held += len(counts)
-            if held > HELD:
-                yield send()
-                groups, held = {}, 0
-    if held:
-        yield send()
+        langs, sources = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
+        texts = pc.fill_null(batch.column(2), b"").cast(pa.large_binary())
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, min(low + HELD, int(np.searchsorted(at, at[low] + SLICE, "right")) - 1))
+            if at[high] - at[low] <= SLICE:
+                terms, of, term, n, docs = _tally(group[low:high], texts[low:high])
+            else:
+                words = words_of(texts[low].as_buffer().to_pybytes())
+                terms, term, n = pa.array(list(words), pa.large_binary()), np.arange(len(words)), np.array(list(words.values()), np.int64)
+                of, docs = np.full(len(words), group[low]), np.ones(len(words), np.int64)
+            named = [langs.dictionary.take(pa.array(of // len(sources.dictionary))), sources.dictionary.take(pa.array(of % len(sources.dictionary)))]
+            columns = [*named, terms.cast(pa.binary()).cast(pa.string()).take(pa.array(term)), pa.array(n), pa.array(docs)]
+            held.append(pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, COUNTED)], schema=COUNTED))
+            rows += len(term)
+            low = high
+            if rows > HELD:
+                held = [added()]
+                rows = len(held[0])
+                if rows > HELD // 2:
+                    yield from held[0].to_batches(SENT)
+                    held, rows = [], 0
+    if rows:
+        yield from (added() if len(held) > 1 else held[0]).to_batches(SENT)
 
 
 def _products(products: int):
-    """Over rows (lang, block, term, source, n) sorted by the first three: the joint tables of each block's sources."""
-
-    def finish(lang: str, terms: list, sources: list, levels: list):
-        names, source = np.unique(np.array(sources, object), return_inverse=True)
-        n = np.array(levels, np.int64)
+    """Over rows (lang, block, term, source, n) sorted by block, lang and term: the joint tables of each block's sources."""
+
+    def finish(block: pa.Table):
+        term, source, n = (block.column(k).combine_chunks() for k in (2, 3, 4))
+        source, row = source.dictionary_encode(), term.dictionary_encode().indices.to_numpy().astype(np.int64)
+        # Sources stand in one order in all blocks, so that a pair of them comes one way round.
+        _, place = np.unique(np.array(source.dictionary.to_pylist(), object), return_inverse=True)
+        names = source.dictionary.take(pa.array(np.argsort(place)))
+        levels, level = np.unique(n.to_numpy(), return_inverse=True)
         # Columns of the indicator matrix: the different (source, level), numbered.
-        pair = np.stack([source.astype(np.int64), n])
-        columns, column = np.unique(pair, axis=1, return_inverse=True)
-        column = column.ravel().astype(np.int64)
-        _, row = np.unique(np.array(terms, object), return_inverse=True)
-        order = np.lexsort((column, row))
-        column, row = column[order], row[order]
-        size = np.bincount(row)
-        end = np.cumsum(size)[row]
+        columns, column = np.unique(place[source.indices.to_numpy()] * len(levels) + level, return_inverse=True)
+        row, column = np.divmod(np.sort(row * len(columns) + column), len(columns))
+        end = np.cumsum(np.bincount(row))[row]
         # Entry k of a row meets the entries from k on in its row: the upper triangle of the product.
         width = end - np.arange(len(row))
         low, total = 0, np.concatenate(([0], np.cumsum(width)))
@@ -107,35 +152,47 @@ def _products(products: int):
             reach = width[low:high]
             left = np.repeat(np.arange(low, high), reach)
             right = left + np.arange(len(left)) - np.repeat(np.concatenate(([0], np.cumsum(reach)[:-1])), reach)
-            cell, terms_ = np.unique(column[left] * columns.shape[1] + column[right], return_counts=True)
-            a, b = columns[:, cell // columns.shape[1]], columns[:, cell % columns.shape[1]]
-            text = pa.array(names.tolist(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(cell), pa.string()), text.take(pa.array(a[0])), pa.array(a[1]), text.take(pa.array(b[0])), pa.array(b[1]), pa.array(terms_.astype(np.int64))], schema=JOINT
-            )
+            cell, terms = np.unique(column[left] * len(columns) + column[right], return_counts=True)
+            sides = [x for c in np.divmod(cell, len(columns)) for x in np.divmod(columns[c], len(levels))]
+            a, an, b, bn = (values.take(pa.array(x)) for values, x in zip((names, pa.array(levels)) * 2, sides))
+            lang = block.column(0).combine_chunks().take(pa.array(np.zeros(len(cell), np.int64)))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip((lang, a, an, b, bn, pa.array(terms)), JOINT)], schema=JOINT)
             low = high
 
     def run(batches):
-        at, held = None, ([], [], [])
+        at, held, rows = None, [], 0
         for batch in batches:
-            for lang, block, term, source, n in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            lang, block = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).to_numpy()
+            cuts = (np.flatnonzero((lang[1:] != lang[:-1]) | (block[1:] != block[:-1])) + 1).tolist()
+            for low, high in zip([0, *cuts], [*cuts, len(batch)]):
+                if low == high:
+                    continue
+                part = batch.slice(low, high - low)
+                here = (part.column(0)[0].as_py(), part.column(1)[0].as_py())
+                if held and here != at:
+                    yield from finish(pa.Table.from_batches(held))
+                    held, rows = [], 0
+                at = here
+                held.append(part)
+                rows += len(part)
                 # A term with very many sources is a block of its own when it has to be.
-                if at is not None and ((lang, block) != at or (len(held[0]) >= 4 * BLOCK_CELLS and term != held[0][-1])):
-                    yield from finish(at[0], *held)
-                    held = ([], [], [])
-                at = (lang, block)
-                for values, value in zip(held, (term, source, n)):
-                    values.append(value)
-        if at is not None:
-            yield from finish(at[0], *held)
+                if rows >= 4 * BLOCK_CELLS and (cut := pc.index((table := pa.Table.from_batches(held)).column(2), part.column(2)[-1]).as_py()):
+                    yield from finish(table.slice(0, cut))
+                    held = table.slice(cut).to_batches()
+                    rows -= cut
+        if held:
+            yield from finish(pa.Table.from_batches(held))
 
     return run
 
 
 def smoothed(count: Column | str, total: Column | str, terms: Column | str) -> Column:
     """1 + floor(scale * (count + 1) / (N + V)) in whole numbers; null where V is 0, for there are no terms then."""
-    wide = (F.lit(SCALE).cast("decimal(10,0)") * (F.col(count) if isinstance(count, str) else count).cast("decimal(19,0)") + F.lit(SCALE).cast("decimal(10,0)")).cast("decimal(38,0)")
-    return F.call_function("div", wide, F.nullif((F.col(total) + F.col(terms)).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))) + 1
+    n = F.col(count) if isinstance(count, str) else count
+    whole = F.nullif(F.col(total) + F.col(terms), F.lit(0).cast("long"))
+    wide = (F.lit(SCALE).cast("decimal(10,0)") * n.cast("decimal(19,0)") + F.lit(SCALE).cast("decimal(10,0)")).cast("decimal(38,0)")
+    # Whole numbers of 64 bits do for all but enormous counts, and take far less time.
+    return F.when(n < WIDE, F.call_function("div", F.lit(SCALE).cast("long") * (n + 1), whole)).otherwise(F.call_function("div", wide, whole.cast("decimal(38,0)"))) + 1
 
 
 def price(p: Column, q: Column) -> Column:
@@ -143,16 +200,18 @@ def price(p: Column, q: Column) -> Column:
 
 
 class Levels:
-    """Counts of a corpus, stored: kept cells, groups and languages with their totals."""
+    """Counts of a corpus, stored: kept cells, the first source of a word leading, groups and languages with their totals."""
 
     def __init__(self, docs: DataFrame, lang: str, source: str, text: str, least_docs: int) -> None:
         named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))]
         counted = docs.select(*named, F.col(text).cast("binary")).mapInArrow(_count, "lang string, source string, term string, n long, docs long")
-        cells = stored(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
-        terms = cells.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
-        self.cells = stored(cells.drop("docs").join(terms.drop("docs"), ["lang", "term"]), "kept")
-        kept = terms.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count(F.lit(1)).alias("kept"))
-        totals = self.cells.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("present"))
+        cells = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        word = Window.partitionBy("term", "lang")
+        whole = [F.sum("n").over(word).alias("lang_n"), F.sum("docs").over(word).alias("lang_docs"), (F.col("source") == F.min("source").over(word)).alias("leads")]
+        self.cells = stored(cells.select("lang", "source", "term", "n", *whole).where(F.col("lang_docs") >= least_docs).drop("lang_docs"), "kept")
+        # Few rows, stored as groups and languages are both made of them.
+        totals = stored(self.cells.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("present"), F.count_if("leads").alias("led")), "totals")
+        kept = totals.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.sum("led").alias("kept"))
         zero = F.lit(0).cast("long")
         groups = docs.select(*named).distinct().join(totals, ["lang", "source"], "left").join(kept, "lang", "left")
         self.groups = stored(groups.select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("total", "present", "lang_total", "kept")]), "groups")
@@ -162,7 +221,7 @@ def joint_tables(levels: Levels, block_cells: int = BLOCK_CELLS, products: int =
     """(lang, a, an, b, bn, terms): terms with count an > 0 in source a and bn > 0 in b, for a = b and one order of each pair."""
     blocks = levels.groups.groupBy("lang").agg(F.ceil(F.sum("present") / block_cells).alias("blocks"))
     cells = levels.cells.join(blocks, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "term", "source", "n")
-    dealt = cells.repartition("lang", "block").sortWithinPartitions("lang", "block", "term")
+    dealt = cells.repartition("lang", "block").sortWithinPartitions("block", "lang", "term")
     made = dealt.mapInArrow(_products(products), "lang string, a string, an long, b string, bn long, terms long")
     return made.groupBy("lang", "a", "an", "b", "bn").agg(F.sum("terms").alias("terms"))
 
@@ -224,7 +283,7 @@ def telling_terms(levels: Levels, most: int) -> DataFrame:
 
 
 def _ranked(values: DataFrame) -> DataFrame:
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    order = Window.partitionBy("source", "lang").orderBy(F.desc("value"), "item")
     return values.withColumn("rank", F.row_number().over(order))
 
 
