@@ -108,6 +108,43 @@ def test_top_k(spark, parts, monkeypatch):
     assert len(few) == 2 and topk.search(frame.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_top_k_shuffles_vectors_once_in_each_layout(spark, monkeypatch):
+    """Rows of the blocks are exchanged once by part and once in full; pairs carry no vector."""
+    kept, store = [], topk.stored
+    monkeypatch.setattr(topk, "stored", lambda df, name: kept.append(name) or store(df, name))
+    rng = random.Random(6)
+    frame = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)], "vec_id long, embedding array<float>")
+    found = topk.search(frame, F.col("id") % 10 == 0)
+    assert found.count() == 200 and len(found.collect()) == 200
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert kept == ["vectors"]
+    assert plan.count("ReusedExchange") == 2
+    assert "zip_with" not in plan
+
+
+@pytest.mark.parametrize("size", [0.2, 100.0, 16000.0])
+def test_top_k_is_exact_in_each_number_type(spark, size):
+    rng = random.Random(7)
+    rows = [(i, [rng.uniform(-size, size) for _ in range(48)]) for i in range(150)]
+    ints = np.array([[int(np.floor(1024 * x)) for x in v] for _, v in rows])
+    assert topk.exact(ints, ints)[0].dtype == {0.2: np.float32, 100.0: np.float64, 16000.0: np.int64}[size]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 10 == 0).collect())
+    want = []
+    for q in range(0, 150, 10):
+        scores = sorted((-sum(int(a) * int(b) for a, b in zip(ints[q], ints[x])), x) for x in range(150) if x != q)[:10]
+        want += [(q, k, x, -s) for k, (s, x) in enumerate(scores, 1)]
+    assert got == sorted(want)
+
+
+def test_top_k_of_equal_vectors_takes_the_smallest_ids(spark, monkeypatch):
+    """Every pair ties, so every entry is sent, over several blocks and pieces."""
+    for name, few in (("VECTORS", 40), ("QUERIES", 3), ("SCORES", 100), ("PAIRS", 7), ("TASKS", 5)):
+        monkeypatch.setattr(topk, name, few)
+    frame = spark.createDataFrame([(i, [0.5, -0.25]) for i in range(150)], "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(frame, F.col("id") % 10 == 0).collect())
+    assert got == [(q, k, x, 512**2 + 256**2) for q in range(0, 150, 10) for k, x in enumerate([x for x in range(11) if x != q][:10], 1)]
+
+
 def test_contamination(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
